@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webtrail import fixed_values as fixed
 
@@ -15,7 +16,7 @@ def is_ipv4(value: Column) -> Column:
     return value.rlike("^" + fixed.IPV4 + "$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compressed_ipv6(values: pd.Series) -> pd.Series:
     """The shortest spelling of an IPv6 address, NULL for anything else.
 
@@ -30,7 +31,7 @@ def compressed_ipv6(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_range(values: pd.Series) -> pd.Series:
     """Special-range class of an IPv6 address ('' for a plain one, NULL for junk)."""
     documentation = ipaddress.ip_network("2001:db8::/32")
