@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtrail import fixed_values as fixed
 from webtrail.functions import times, uris
+from webtrail.functions.text import computed_once
 
 SEPARATOR = "\u0001"
 
@@ -21,32 +22,40 @@ def _groups(line: Column, pattern: str, order: list[int]) -> Column:
     return F.regexp_replace(line, F.lit(pattern), F.lit(template))
 
 
-def access_record(line: Column) -> Column:
-    """struct of one access-log line, NULL when neither format fits.
+def with_record(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Adds ``record``: the struct of an access-log line, NULL when no format fits.
 
-    Combined format first, common format only where that fails.
+    Combined format first, common format only where that fails. The steps are columns of
+    their own, so each pattern runs once per line and the plan stays small.
     """
+    line = F.col(value)
     clean = F.when(line.contains(SEPARATOR), F.translate(line, SEPARATOR, "�")).otherwise(line)
-    combined = _groups(clean, fixed.COMBINED_LINE, [1, 2, 3, 4, 5, 6, 7, 8, 9])
-    common = _groups(clean, fixed.COMMON_LINE, [1, 2, 3, 4, 0, 5, 6, 0, 0])
-    found = F.when(combined.startswith(SEPARATOR), combined).otherwise(common)
-    part = F.split(found, SEPARATOR)
-    method, bad = part[3], part[5]
-    regular = method != ""
-    moment = times.clf_time(part[2])
+    part, regular = F.col("_part"), F.col("_part")[3] != ""
     record = F.struct(
         part[1].alias("ip"),
-        moment["epoch"].alias("epoch"),
-        moment["tz"].alias("tz"),
-        F.when(regular, method).otherwise("-").alias("method"),
-        F.when(regular, F.when(part[4] == "", "-").otherwise(part[4]))
-        .otherwise(F.when(bad == "", "-").otherwise(bad)).alias("uri"),
+        F.col("_moment")["epoch"].alias("epoch"),
+        F.col("_moment")["tz"].alias("tz"),
+        F.when(regular, part[3]).otherwise("-").alias("method"),
+        F.coalesce(F.when(regular, _filled(part[4])).otherwise(_filled(part[5])), F.lit("-")).alias("uri"),
         status_code(part[6]).alias("status"),
         response_size(part[7]).alias("size"),
         part[8].alias("referrer"),
         part[9].alias("agent"),
     )
-    return F.when(found.startswith(SEPARATOR), record)
+    staged = (
+        lines.withColumn("_line", clean)
+        .withColumn("_combined", _groups(F.col("_line"), fixed.COMBINED_LINE, [1, 2, 3, 4, 5, 6, 7, 8, 9]))
+        .withColumn("_found", F.when(F.col("_combined").startswith(SEPARATOR), F.col("_combined")).otherwise(
+            _groups(F.col("_line"), fixed.COMMON_LINE, [1, 2, 3, 4, 0, 5, 6, 0, 0])))
+        .withColumn("_part", F.when(F.col("_found").startswith(SEPARATOR), F.split("_found", SEPARATOR)))
+        .withColumn("_moment", times.clf_time(F.col("_part")[2]))
+        .withColumn("record", F.when(F.col("_part").isNotNull(), record))
+    )
+    return computed_once(staged.drop("_line", "_combined", "_found", "_part", "_moment"))
+
+
+def _filled(column: Column) -> Column:
+    return F.when(column != "", column)
 
 
 def status_code(text: Column) -> Column:
@@ -71,18 +80,21 @@ def client_address(raw: Column) -> Column:
     )
 
 
-def error_record(line: Column) -> Column:
-    """struct(epoch_naive, client, message) of an error-log line, NULL otherwise."""
-    apache = _groups(line, fixed.APACHE_ERROR_LINE, [1, 3, 4])
-    nginx = _groups(line, fixed.NGINX_ERROR_LINE, [1, 0, 3])
-    found = F.when(apache.startswith(SEPARATOR), apache).otherwise(nginx)
-    part = F.split(found, SEPARATOR)
-    record = F.struct(
-        times.error_log_seconds(part[1]).alias("epoch_naive"),
-        client_address(part[2]).alias("client"),
-        part[3].alias("message"),
+def with_error_record(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Adds epoch_naive, client and message of an error-log line; other lines leave."""
+    part = F.col("_part")
+    staged = (
+        lines.withColumn("_apache", _groups(F.col(value), fixed.APACHE_ERROR_LINE, [1, 3, 4]))
+        .withColumn("_found", F.when(F.col("_apache").startswith(SEPARATOR), F.col("_apache")).otherwise(
+            _groups(F.col(value), fixed.NGINX_ERROR_LINE, [1, 0, 3])))
+        .withColumn("_part", F.when(F.col("_found").startswith(SEPARATOR), F.split("_found", SEPARATOR)))
+        .withColumn("record", F.when(part.isNotNull(), F.struct(
+            times.error_log_seconds(part[1]).alias("epoch_naive"), client_address(part[2]).alias("client"),
+            part[3].alias("message"))))
+        .drop("_apache", "_found", "_part")
     )
-    return F.when(found.startswith(SEPARATOR), record)
+    rest = [c for c in lines.columns if c != value]
+    return staged.select(*rest, F.inline(F.array_compact(F.array("record"))))
 
 
 def php_paths(message: Column) -> Column:

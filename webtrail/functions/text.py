@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ def holds(column: Column, text: str) -> Column:
 
 def truncate(column: Column, limit: int) -> Column:
     """Trimmed text, cut at ``limit`` characters with an ellipsis when cut."""
-    text = F.trim(column)
+    text = F.trim(column, F.lit(" \t\n\r\x0b\x0c"))
     return F.when(F.length(text) <= limit, text).otherwise(
         F.concat(F.substring(text, 1, limit), F.lit("…"))
     )
@@ -77,3 +77,13 @@ def grouped_number(column: Column) -> Column:
 
 def join_nonempty(separator: str, *parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: F.length(p) > 0), separator)
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed exactly here.
+
+    A filter on a computed column is pushed below it and repeats the computation, once
+    per use. Costly columns (a parsed line, decoded bytes) pass through a generator of one
+    row instead, which a filter does not cross. It is narrow: no shuffle, no copy to disk.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from webtrail import fixed_values as fixed
 from webtrail.functions import uris
 
-_PATH = F.col
-
 
 def _text(content: Column, limit: int | None = None) -> Column:
     data = F.substring(content, 1, limit) if limit else content
@@ -108,10 +106,10 @@ def wordpress_items(files: DataFrame, found: DataFrame) -> DataFrame:
         "root", F.lit("Theme").alias("type"), F.coalesce("n", "slug").alias("name"), "slug", F.coalesce("v", unknown).alias("version"),
         F.concat("root", F.lit("/wp-content/themes/"), "slug").alias("path"), F.coalesce("s", F.lit("")).alias("version_source"))
 
-    below = F.slice("part", 4, F.size("part") - 4)  # directories between theme and file
+    below = F.slice("part", F.lit(4), F.greatest(F.size("part") - 4, F.lit(0)))  # directories between theme and file
     bundled = themed.filter(F.col("php")).withColumn("dirs", below).filter(
         F.size("dirs").between(1, 2) & ~F.exists("dirs", lambda d: d.isin("node_modules", "vendor"))).withColumns({
-            "theme": F.col("slug"), "dir": F.element_at("dirs", -1), "header": plugin_name, "version": version,
+            "theme": F.col("slug"), "dir": F.try_element_at("dirs", F.lit(-1)), "header": plugin_name, "version": version,
             "folder": F.regexp_replace("path", r"/[^/]+$", "")})
     inner = _pick(bundled, ["root", "theme", "folder", "dir"]).filter("h.header is not null").select(
         "root", F.concat(F.lit("Plugin (bundled in theme "), F.col("theme"), F.lit(")")).alias("type"),

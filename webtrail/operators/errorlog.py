@@ -15,12 +15,12 @@ EVIDENCE_CAP = 300
 def named_paths(lines: DataFrame) -> DataFrame:
     """(logged path, message, time, ...) per PHP file an interesting message names.
     ``lines``: source, pos, value."""
-    parsed = lines.select("source", "pos", loglines.error_record(F.col("value")).alias("r")).filter("r is not null")
-    message = F.col("r.message")
-    kept = parsed.filter(is_.interesting_error(message))
-    return kept.select(
-        "source", "pos", F.col("r.epoch_naive").alias("at"), F.col("r.client").alias("client"),
-        message.alias("message"), is_.hard_error(message).alias("hard"),
+    # Most lines name no PHP file: a plain substring test comes before any pattern.
+    worth = lines.filter(F.lower("value").contains(".ph") | F.lower("value").contains(".inc"))
+    parsed = loglines.with_error_record(worth)
+    message = F.col("message")
+    return parsed.filter(is_.interesting_error(message)).select(
+        "source", "pos", F.col("epoch_naive").alias("at"), "client", "message", is_.hard_error(message).alias("hard"),
         F.explode(loglines.php_paths(message)).alias("p")).select(
         "source", "pos", "at", "client", "message", "hard", F.col("p.path").alias("logged"), F.col("p.line").alias("line"))
 

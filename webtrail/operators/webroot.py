@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webtrail import fixed_values as fixed
 from webtrail.functions import predicates as is_, uris
-from webtrail.functions.text import any_of, fingerprint, truncate
+from webtrail.functions.text import any_of, computed_once, fingerprint, truncate
 
 _STRUCTURAL = {rule_id: severity for rule_id, severity, _ in fixed.STRUCTURAL_RULES}
 
@@ -30,7 +30,14 @@ def typed(files: DataFrame) -> DataFrame:
 
 
 def latin(files: DataFrame) -> DataFrame:
-    return files.withColumn("text", F.decode("content", "ISO-8859-1"))
+    """Typed files with their text instead of their bytes, decoded once."""
+    kept = [c for c in files.columns if c not in ("content", "root")]
+    return computed_once(files.select(*kept, F.decode("content", "ISO-8859-1").alias("text")))
+
+
+def _plain_php() -> Column:
+    """PHP files the content rules are for, with bytes to look at."""
+    return F.col("is_php") & ~F.col("is_image") & ~F.col("is_htaccess") & F.col("content").isNotNull()
 
 
 def readable(line: Column) -> Column:
@@ -68,7 +75,7 @@ def structural_findings(files: DataFrame) -> DataFrame:
 
 def inert_files(files: DataFrame) -> DataFrame:
     """Unguarded PHP in an upload directory that can execute nothing."""
-    t = latin(typed(files)).filter(F.col("is_php") & ~F.col("is_image") & ~F.col("is_htaccess") & F.col("text").isNotNull())
+    t = latin(typed(files).filter(_plain_php()))
     inert = (is_.in_upload_directory(F.col("site")) & ~is_.cms_guard(F.col("text"))
              & ~is_.executable_surface(F.col("text")))
     size = F.col("length").cast("string")
@@ -103,8 +110,7 @@ def line_findings(texts: DataFrame, rules) -> DataFrame:
 
 def content_findings(files: DataFrame) -> DataFrame:
     """The content rules, on PHP files only."""
-    php = latin(typed(files)).filter(F.col("is_php") & ~F.col("is_image") & ~F.col("is_htaccess") & F.col("text").isNotNull())
-    texts = php.select("path", "text")
+    texts = latin(typed(files).filter(_plain_php())).select("path", "text")
     rule_id, severity, name = fixed.NO_PHP_RULE
     page = texts.filter(~F.col("text").contains("<?"))  # whole-file negation, then the line with the tag
     return line_findings(texts, fixed.CONTENT_RULES).unionByName(
@@ -126,7 +132,7 @@ def offset_findings(texts: DataFrame, rule, patterns) -> DataFrame:
 
 
 def htaccess_findings(files: DataFrame) -> DataFrame:
-    texts = latin(typed(files)).filter(F.col("is_htaccess") & F.col("text").isNotNull()).select("path", "text")
+    texts = latin(typed(files).filter(F.col("is_htaccess") & F.col("content").isNotNull())).select("path", "text")
     rule_id, severity, name = fixed.HTACCESS_PREPEND
     return offset_findings(texts, fixed.HTACCESS_HANDLER, fixed.HTACCESS_HANDLER_PATTERNS).unionByName(
         line_findings(texts, [(rule_id, severity, name, fixed.HTACCESS_PREPEND_PATTERN)]))
@@ -137,7 +143,7 @@ def own_rule_findings(files: DataFrame, rules, limit: int = fixed.OWN_RULE_MATCH
     begins, never what matched. ``rules``: (id, name, severity or None, pattern).
 
     The report lists the first matches of a file; ``matches`` counts them all."""
-    texts = latin(typed(files)).filter(F.col("text").isNotNull()).select("path", "text")
+    texts = latin(typed(files).filter(F.col("content").isNotNull())).select("path", "text")
     mark = "\u0001"
     per_rule = F.array(*[F.struct(
         F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtrail.functions import uris
+from webtrail.functions.text import computed_once
 
 _SPARK_EPOCH = ("CAST(unix_date(CAST(ts AS DATE)) AS BIGINT) * 86400 + hour(ts) * 3600"
                 " + minute(ts) * 60 + CAST(second(ts) AS BIGINT)")
@@ -107,11 +108,9 @@ _FILE_LAYERS = [[
     ("page_id", "page_id"),
     ("'/srv/copy' || " + _cases("page_id % 8", _FILE_DIRS, "'/shop/inc'") + " || '/f' || CAST(page_id AS STRING) || "
      + _cases("page_id % 7", _FILE_NAMES, "'.php'"), "path"),
-    ("html || {newline} || 'x' || {newline} || "
-     + _cases("page_id % 19", _FILE_SNIPPETS, "'nothing'"), "text"),
+    (_cases("page_id % 19", _FILE_SNIPPETS, "'nothing'") + " || {newline} || html", "text"),
 ]]
 
-# Files whose leaf and path meet the targets of the requests.
 _ACCOUNT_LAYERS = [[
     ("CAST(c_custkey AS STRING)", "user_id"),
     ("lower(replace(c_name, '#', '.'))", "login"),
@@ -279,8 +278,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     """`pages` as web-root files: path, root, length, content bytes."""
     rows = _apply(table(spark, sf, "pages"), _FILE_LAYERS)
     content = F.col("text").cast("binary")
-    return rows.select("path", F.lit("/srv/copy").alias("root"), F.length(content).cast("long").alias("length"),
-                       content.alias("content"))
+    return computed_once(rows.select("path", F.lit("/srv/copy").alias("root"), F.length(content).cast("long").alias("length"),
+                                     content.alias("content")))
 
 
 FILES_SQL = _ctes("files_raw", "pages", _FILE_LAYERS) + (

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from webtrail.plans import (  # noqa: F401
+    file_queries,
     log_queries,
 )
 from webtrail.plans.registry import QUERIES  # noqa: F401

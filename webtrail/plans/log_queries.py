@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from webtrail import fixed_values as fixed
 from webtrail.functions import indicators, loglines, predicates as is_, times, uris
-from webtrail.functions.text import spreadsheet_safe
+from webtrail.functions.text import computed_once, spreadsheet_safe
 from webtrail.operators import actors, alerts, coverage, hunt, sigma, trace
 from webtrail.plans import bindings as b
 from webtrail.plans.registry import query
+from webtrail.sources import logs
 
 # --- parsing ------------------------------------------------------------------
 
@@ -19,7 +20,7 @@ _MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 def log_lines(spark, sf):
     """The derived requests written out as text log lines, one of four shapes each:
     combined, with a vhost token and a trailer, common, and one nobody can parse."""
-    r = b.requests(spark, sf)
+    r = computed_once(b.requests(spark, sf))
     tz = F.coalesce("tz", F.lit(0))
     local = F.col("epoch") + tz
     month = F.element_at(F.array(*[F.lit(m) for m in _MONTHS]),
@@ -41,7 +42,7 @@ def log_lines(spark, sf):
             .when(shape == 3, F.concat(head, F.lit(" panel"), tail))
             .when((shape == 4) & (F.col("pos") % 3 == 0), F.concat(F.lit("cut "), F.substr(head, F.lit(30))))
             .otherwise(F.concat(head, tail)))
-    return r.select("source", "pos", line.alias("value"))
+    return computed_once(r.select("source", "pos", line.alias("value")))
 
 
 _PARSED = b.sql("""SELECT source, pos, ip, epoch, tz, method, uri, status, size,
@@ -52,16 +53,13 @@ _PARSED = b.sql("""SELECT source, pos, ip, epoch, tz, method, uri, status, size,
 
 @query("parsed_log_lines", "S3 P1 P2 P3 P4 P5", _PARSED)
 def parsed_log_lines(spark, sf):
-    lines = log_lines(spark, sf).withColumn("record", loglines.access_record(F.col("value")))
-    return lines.filter("record is not null").select(
-        "source", "pos", *loglines.request_columns(F.col("record")))
+    return logs.requests(logs.parsed(log_lines(spark, sf)))
 
 
 @query("log_source_counts", "A11 S3", b.sql("""SELECT source, count(*) FILTER (WHERE NOT (pos % 5 = 4 AND pos % 3 = 0)) AS lines,
  count(*) FILTER (WHERE pos % 5 = 4 AND pos % 3 = 0) AS unparsed FROM req GROUP BY source"""))
 def log_source_counts(spark, sf):
-    lines = log_lines(spark, sf).withColumn("record", loglines.access_record(F.col("value")))
-    return actors.source_counts(lines)
+    return actors.source_counts(logs.parsed(log_lines(spark, sf)))
 
 
 @query("uri_parts", "P5 P6 P7", b.sql("""SELECT DISTINCT uri, leaf,
@@ -590,7 +588,7 @@ def stale_files(spark, sf):
 def _first_lines(spark, sf):
     lines = log_lines(spark, sf).filter(F.trim("value") != "")
     first = lines.groupBy(F.col("source").alias("path")).agg(F.min_by("value", "pos").alias("first_line"))
-    return first.withColumn("record", loglines.access_record(F.col("first_line")))
+    return loglines.with_record(first, "first_line")
 
 
 @query("truncated_heads", "V2 S5", b.sql("""SELECT source AS path FROM req GROUP BY source
