@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from webtrail.plans import (  # noqa: F401
+    case_queries,
     file_queries,
     log_queries,
 )

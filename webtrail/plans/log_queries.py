@@ -37,10 +37,11 @@ def log_lines(spark, sf):
                     F.col("status").cast("string"), F.lit(" "), size)
     tail = F.concat(F.lit(' "'), "referrer", F.lit('" "'), "agent", F.lit('"'))
     shape = F.col("pos") % 5
-    line = (F.when(shape == 1, F.concat(F.lit("www.example.test "), head, tail, F.lit(" 0.012 extra")))
+    cut = ((shape == 4) & (F.col("pos") % 3 == 0)) | (F.col("pos") == 2)
+    line = (F.when(cut, F.concat(F.lit("cut "), F.substr(head, F.lit(30))))
+            .when(shape == 1, F.concat(F.lit("www.example.test "), head, tail, F.lit(" 0.012 extra")))
             .when((shape == 2) & (F.col("method") != "-"), head)
             .when(shape == 3, F.concat(head, F.lit(" panel"), tail))
-            .when((shape == 4) & (F.col("pos") % 3 == 0), F.concat(F.lit("cut "), F.substr(head, F.lit(30))))
             .otherwise(F.concat(head, tail)))
     return computed_once(r.select("source", "pos", line.alias("value")))
 
@@ -48,7 +49,7 @@ def log_lines(spark, sf):
 _PARSED = b.sql("""SELECT source, pos, ip, epoch, tz, method, uri, status, size,
   CASE WHEN pos % 5 = 2 AND method <> '-' THEN '' ELSE referrer END AS referrer,
   CASE WHEN pos % 5 = 2 AND method <> '-' THEN '' ELSE agent END AS agent, leaf
- FROM req WHERE NOT (pos % 5 = 4 AND pos % 3 = 0)""")
+ FROM req WHERE NOT ((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2)""")
 
 
 @query("parsed_log_lines", "S3 P1 P2 P3 P4 P5", _PARSED)
@@ -56,8 +57,8 @@ def parsed_log_lines(spark, sf):
     return logs.requests(logs.parsed(log_lines(spark, sf)))
 
 
-@query("log_source_counts", "A11 S3", b.sql("""SELECT source, count(*) FILTER (WHERE NOT (pos % 5 = 4 AND pos % 3 = 0)) AS lines,
- count(*) FILTER (WHERE pos % 5 = 4 AND pos % 3 = 0) AS unparsed FROM req GROUP BY source"""))
+@query("log_source_counts", "A11 S3", b.sql("""SELECT source, count(*) FILTER (WHERE NOT ((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2)) AS lines,
+ count(*) FILTER (WHERE (pos % 5 = 4 AND pos % 3 = 0) OR pos = 2) AS unparsed FROM req GROUP BY source"""))
 def log_source_counts(spark, sf):
     return actors.source_counts(logs.parsed(log_lines(spark, sf)))
 
@@ -592,14 +593,14 @@ def _first_lines(spark, sf):
 
 
 @query("truncated_heads", "V2 S5", b.sql("""SELECT source AS path FROM req GROUP BY source
- HAVING arg_min(pos % 5 = 4 AND pos % 3 = 0, pos)"""))
+ HAVING arg_min(((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2), pos)"""))
 def truncated_heads(spark, sf):
     return coverage.truncated_heads(_first_lines(spark, sf))
 
 
 @query("coverage_notes", "V4", b.sql("""SELECT q + t + s AS notes, q AS quiet, t AS truncated, s AS stale FROM (SELECT
  (SELECT count(*) FROM gp, rh WHERE seconds >= threshold AND stamps >= 50) AS q,
- (SELECT count(*) FROM (SELECT source FROM req GROUP BY source HAVING arg_min(pos % 5 = 4 AND pos % 3 = 0, pos))) AS t,
+ (SELECT count(*) FROM (SELECT source FROM req GROUP BY source HAVING arg_min(((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2), pos))) AS t,
  (SELECT count(*) FROM (SELECT l.path FROM listing l JOIN req ON req.source = l.path GROUP BY l.path, m1, m2
    HAVING coalesce(m1, m2) + 60 < max(epoch))) AS s)""", "req", _GAPS + ",\n" + _LISTING))
 def coverage_notes(spark, sf):
