@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webtrail import fixed_values as fixed
 from webtrail.functions import indicators as ind, times
+from webtrail.functions.text import computed_once
 from webtrail.operators.dumps import cms_of, suffix
 
 
@@ -15,8 +16,8 @@ def _names(columns: Column) -> Column:
     return F.transform(columns, lambda c: F.lower(F.trim(F.replace(c, F.lit("`"), F.lit("")))))
 
 
-def _any_named(columns: Column, candidates) -> Column:
-    return F.exists(_names(columns), lambda c: c.isin(*candidates) | c.rlike("_(" + "|".join(candidates) + ")$"))
+def _ending(candidates, from_start: bool) -> str:
+    return ("(^|_)(" if from_start else "_(") + "|".join(candidates) + ")$"
 
 
 def is_user_table(table: Column, columns: Column) -> Column:
@@ -24,19 +25,35 @@ def is_user_table(table: Column, columns: Column) -> Column:
     the three would be half of a shop's tables."""
     low = F.lower(F.replace(table, F.lit("`"), F.lit("")))
     named = suffix(table).isin(*fixed.USER_TABLE_NAMES) | low.rlike("(" + "|".join(fixed.USER_TABLE_NAMES) + ")$")
-    shaped = (_any_named(columns, fixed.LOGIN_COLUMNS) & _any_named(columns, fixed.EMAIL_COLUMNS)
-              & _any_named(columns, fixed.PASSWORD_COLUMNS))
+    def has(candidates):
+        pattern = _ending(candidates, True)
+        return F.exists(_names(columns), lambda c: c.rlike(pattern))
+
+    shaped = has(fixed.LOGIN_COLUMNS) & has(fixed.EMAIL_COLUMNS) & has(fixed.PASSWORD_COLUMNS)
     return named | F.coalesce(shaped, F.lit(False))
 
 
-def column_place(columns: Column, candidates) -> Column:
-    """Where such a column sits (from 1), 0 if nowhere: an exact name before a suffix."""
-    names = _names(columns)
+def column_place(names: Column, candidates) -> Column:
+    """Where such a column sits (from 1), 0 if nowhere: an exact name before a suffix.
+    ``names`` are lower-case column names."""
     exact = F.array_position(F.transform(names, lambda c: c.isin(*candidates)), F.lit(True))
-    ending = F.array_position(F.transform(names, lambda c: c.rlike("_(" + "|".join(candidates) + ")$")), F.lit(True))
+    ending = F.array_position(F.transform(names, lambda c: c.rlike(_ending(candidates, False))), F.lit(True))
     return F.when(exact > 0, exact).otherwise(ending)
 
 
+# What is looked for by name, and under which column the place is kept.
+_PLACES = {"id": fixed.ID_COLUMNS, "login": fixed.LOGIN_COLUMNS, "email": fixed.EMAIL_COLUMNS,
+           "pass": fixed.PASSWORD_COLUMNS, "reg": fixed.REGISTERED_COLUMNS, "last": fixed.LAST_LOGIN_COLUMNS,
+           "block": fixed.BLOCKED_COLUMNS}
+
+
+def with_places(people: DataFrame) -> DataFrame:
+    """Rows with their lower-case column names and the place of everything that is read
+    by name, computed once per row."""
+    named = people.withColumn("names", _names(F.col("columns")))
+    return computed_once(named.withColumns({f"p_{k}": column_place(F.col("names"), c) for k, c in _PLACES.items()}))
+
+
 def _at(values: Column, place: Column) -> Column:
     return F.when(place.between(1, F.size(values)), F.get(values, (place - 1).cast("int")))
 
@@ -107,7 +124,7 @@ def wordpress_account() -> Column:
 def joomla_account() -> Column:
     """By column name where the dump gives names, by position where it does not."""
     def named(name, other):
-        place = F.array_position(_names(F.col("columns")), name)
+        place = F.array_position("names", name)
         return F.when(place.between(1, F.size("values")), F.get("values", (place - 1).cast("int"))).otherwise(other)
 
     none = F.lit(None).cast("string")
@@ -126,23 +143,22 @@ def joomla_account() -> Column:
 def generic_account() -> Column:
     """By column name alone. What cannot be located stays empty; a column called active
     or status says the opposite of blocked."""
-    c, v = F.col("columns"), F.col("values")
+    v = F.col("values")
 
-    def named(candidates):
-        return _at(v, column_place(c, candidates))
+    def named(what):
+        return _at(v, F.col(f"p_{what}"))
 
-    login, email = named(fixed.LOGIN_COLUMNS), named(fixed.EMAIL_COLUMNS)
-    place = column_place(c, fixed.BLOCKED_COLUMNS)
-    raw = F.trim(_at(v, place))
+    login, email = named("login"), named("email")
+    raw = F.trim(named("block"))
     number = F.when(raw == "", 0).otherwise(raw.try_cast("int"))
-    inverted = F.coalesce(F.get(_names(c), (place - 1).cast("int")).rlike("(active|status)$"), F.lit(False))
+    inverted = F.coalesce(F.get("names", (F.col("p_block") - 1).cast("int")).rlike("(active|status)$"), F.lit(False))
     blocked = F.when(number.isNull(), 0).when(inverted, (number == 0).cast("int")).otherwise((number != 0).cast("int"))
     present = (F.coalesce(login, F.lit("")) != "") | (F.coalesce(email, F.lit("")) != "")
     row = _account(
-        F.coalesce(F.trim(named(fixed.ID_COLUMNS)), F.lit("?")),
+        F.coalesce(F.trim(named("id")), F.lit("?")),
         F.when(F.coalesce(login, F.lit("")) != "", login).otherwise(email), email,
-        stamp_or_blank(named(fixed.REGISTERED_COLUMNS)), named(fixed.PASSWORD_COLUMNS),
-        stamp_or_blank(named(fixed.LAST_LOGIN_COLUMNS)), blocked, F.lit(False))
+        stamp_or_blank(named("reg")), named("pass"),
+        stamp_or_blank(named("last")), blocked, F.lit(False))
     return F.when((F.size(v) >= 2) & present, row)
 
 
@@ -186,11 +202,14 @@ def accounts(rows: DataFrame) -> DataFrame:
     reader = (F.when(F.array_contains("cms", "WordPress"), "WordPress").when(F.array_contains("cms", "Joomla"), "Joomla")
               .when(F.coalesce("shaped", F.lit(False)), "WordPress").otherwise(""))
     other = F.when(F.size("cms") > 0, F.array_join("cms", ", ")).otherwise("unknown")
-    read = people.withColumn("reader", reader).select(
-        "dump", "table", "row_no", F.when(F.col("reader") != "", F.col("reader")).otherwise(other).alias("cms"),
-        F.when(F.col("reader") == "WordPress", wordpress_account()).when(
-            F.col("reader") == "Joomla", joomla_account()).otherwise(generic_account()).alias("a")
-    ).filter("a is not null").select("dump", "table", "row_no", "cms", "a.*")
+    placed = with_places(people.withColumns({"reader": reader, "cms": F.when(reader != "", reader).otherwise(other)}))
+
+    def read_by(which, account):
+        rows_of = placed.filter(F.col("reader") == which)
+        return rows_of.select("dump", "table", "row_no", "cms", F.inline(F.array_compact(F.array(account))))
+
+    read = read_by("WordPress", wordpress_account()).unionAll(read_by("Joomla", joomla_account())).unionAll(
+        read_by("", generic_account()))
     return (
         read.join(admin_ids(rows).withColumn("listed", F.lit(True)), ["dump", "user_id"], "left")
         .join(session_signals(rows), ["dump", "user_id"], "left")

@@ -43,8 +43,8 @@ def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
     Tags are a closed list, so the sets collected per value stay small."""
     rows = stored.withColumn("rank", F.lit(0)).unionByName(new.withColumn("rank", F.lit(1)))
     first = F.min_by(F.struct("type", "note", "origin", "added"), F.struct("rank", "added", "type", "origin", "note"))
-    tags = rows.groupBy("value", F.explode_outer("tags").alias("tag")).agg(F.lit(1).alias("one")).groupBy("value").agg(
-        F.array_sort(F.collect_set("tag")).alias("tags"))
+    tags = rows.select("value", F.explode_outer("tags").alias("tag")).distinct().groupBy("value").agg(
+        F.array_sort(F.collect_list("tag")).alias("tags"))
     kept = rows.groupBy("value").agg(first.alias("f"))
     return kept.join(tags, "value").select("value", "f.type", "f.note", "tags", "f.origin", "f.added")
 

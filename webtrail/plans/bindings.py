@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webtrail.functions import uris
 from webtrail.functions.text import computed_once
+from webtrail.session import shared_dir
 
 _SPARK_EPOCH = ("CAST(unix_date(CAST(ts AS DATE)) AS BIGINT) * 86400 + hour(ts) * 3600"
                 " + minute(ts) * 60 + CAST(second(ts) AS BIGINT)")
@@ -153,6 +154,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table of the derived case, written once per application and read back.
+
+    Findings, accounts and the index are stored tables in any real case: later questions
+    read them and do not repeat the scans. The folder is the shared one of the cluster, so
+    the tables outlive the executors that wrote them."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        path = "/".join([shared_dir(spark), "webtrail", key[0], sf.strip("/").replace("/", "_"), name])
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """`events` as access-log requests."""
     rows = _apply(table(spark, sf, "events"), _REQUEST_LAYERS)

@@ -14,6 +14,26 @@ from webtrail.plans import bindings as b, file_queries, log_queries
 from webtrail.plans.registry import query
 from webtrail.sinks import exports
 
+# --- stored tables of the case ---------------------------------------------------
+
+
+def index(spark, sf):
+    """The stored requests with their flags."""
+    return b.stored(spark, sf, "requests", lambda: actors.flagged(b.requests(spark, sf)))
+
+
+def actor_rows(spark, sf):
+    return b.stored(spark, sf, "actors", lambda: actors.actor_table(index(spark, sf)))
+
+
+def alert_rows(spark, sf):
+    return b.stored(spark, sf, "alerts", lambda: alerts.alerts(index(spark, sf), actor_rows(spark, sf)))
+
+
+def account_table(spark, sf):
+    return b.stored(spark, sf, "accounts", lambda: account_ops.accounts(account_rows(spark, sf)))
+
+
 # --- exports --------------------------------------------------------------------
 
 
@@ -205,7 +225,7 @@ def all_accounts(spark, sf):
 
 
 def _signalled(spark, sf):
-    found = account_ops.accounts(account_rows(spark, sf))
+    found = account_table(spark, sf)
     return account_ops.with_signals(found, account_ops.reference_seconds(found))
 
 
@@ -229,7 +249,7 @@ mine AS (SELECT * FROM accounts WHERE cms = 'Joomla' AND admin)
 SELECT login AS value, 'user' AS type, 'account,analyst' AS tags, 'marked by the analyst — Joomla account from jos_users (administrator)' AS origin FROM mine
 UNION ALL SELECT email, 'email', 'analyst,derived', 'e-mail of account ' || login FROM mine""")
 def account_indicators(spark, sf):
-    chosen = account_ops.accounts(account_rows(spark, sf)).filter("cms = 'Joomla' and admin")
+    chosen = account_table(spark, sf).filter("cms = 'Joomla' and admin")
     rows, _ = iocs.flag_accounts(chosen, 1)
     return rows.select("value", "type", F.array_join(F.array_sort("tags"), ",").alias("tags"), "origin")
 
@@ -265,7 +285,7 @@ def dump_totals(spark, sf):
     tables = rows.groupBy("dump", "table").agg(F.count(F.lit(1)).alias("rows"))
     kinds = tables.groupBy("dump").agg(F.sum("rows").alias("n")).select("dump", dumps.kind_of_dump(
         F.col("dump"), [F.lit("")], F.lit(False), F.col("n")).alias("kind"))
-    return account_ops.dump_totals(kinds, tables, account_ops.accounts(rows))
+    return account_ops.dump_totals(kinds, tables, account_table(spark, sf))
 
 
 # --- findings and decisions -----------------------------------------------------
@@ -276,18 +296,20 @@ NOW = 1_700_000_000
 
 def found(spark, sf):
     """Findings of the three engines over the derived evidence."""
-    return (alerts.findings_from_alerts(alerts.alerts(b.requests(spark, sf))),
-            webroot.findings(b.files(spark, sf)), dumps.findings(dumps.value_findings(injected_rows(spark, sf))))
+    return (alerts.findings_from_alerts(alert_rows(spark, sf)),
+            b.stored(spark, sf, "file_findings", lambda: webroot.findings(b.files(spark, sf))),
+            dumps.findings(dumps.value_findings(injected_rows(spark, sf))))
 
 
 def stored_findings(spark, sf):
-    """The findings table after four runs. The second run over the logs had the SQL
-    injection rule switched off, and so retires what that rule had found."""
+    """The findings table after its runs, each a new version of the table. The second run
+    over the logs had the SQL injection rule switched off, and so retires what that rule
+    had found."""
     logs, files, tables = found(spark, sf)
-    first = finding_ops.upsert(finding_ops.empty_findings(spark), logs, 1, NOW)
-    first = finding_ops.upsert(first, files.unionByName(tables), 2, NOW)
+    first = b.stored(spark, sf, "findings_v1", lambda: finding_ops.upsert(finding_ops.empty_findings(spark), logs, 1, NOW))
+    second = b.stored(spark, sf, "findings_v2", lambda: finding_ops.upsert(first, files.unionByName(tables), 2, NOW))
     again = logs.filter("rule_id <> 'logs.sqli'").withColumn("evidence", F.concat("evidence", F.lit(" (again)")))
-    return finding_ops.upsert(first, again, 4, NOW + 100)
+    return b.stored(spark, sf, "findings_v3", lambda: finding_ops.upsert(second, again, 4, NOW + 100))
 
 
 def decisions(findings):
@@ -301,8 +323,8 @@ def decisions(findings):
 
 def case(spark, sf):
     """(findings, completed runs, artifacts) of the derived case after its decisions."""
-    rows = stored_findings(spark, sf)
-    rows = finding_ops.decide(rows, decisions(rows), NOW + 200)
+    undecided = stored_findings(spark, sf)
+    rows = b.stored(spark, sf, "findings_v4", lambda: finding_ops.decide(undecided, decisions(undecided), NOW + 200))
     done = finding_ops.completed_runs(spark.createDataFrame(RUNS, "engine string, run long, completed boolean"))
     return rows, done, finding_ops.artifacts(rows, done)
 
@@ -453,7 +475,7 @@ touch AS (SELECT artifact, ip, count(*) AS hits, count(*) FILTER (WHERE ok) AS o
 
 
 def touched(spark, sf):
-    return touches.touches(b.requests(spark, sf), touches.web_files(target_files(spark), _ROOTS))
+    return touches.touches(index(spark, sf), touches.web_files(target_files(spark), _ROOTS))
 
 
 @query("file_touches", "J4 P6 P8 A23", b.sql("SELECT * FROM touch", "req", _TOUCH))
@@ -465,7 +487,7 @@ def file_touches(spark, sf):
  count(*) FILTER (WHERE ok) AS ok_hits, min(epoch) FILTER (WHERE ok) AS first_ok, max(epoch) FILTER (WHERE ok) AS last_ok FROM req
  WHERE leaf IN ('kb-media.php', 'evil.php', 'index.php', 'x.php', 'shell.php', 'seen.php') GROUP BY leaf, uri, ip"""))
 def file_facts(spark, sf):
-    return chronology.file_facts(b.requests(spark, sf), target_files(spark).select(F.col("artifact").alias("name")))
+    return chronology.file_facts(index(spark, sf), target_files(spark).select(F.col("artifact").alias("name")))
 
 
 @query("propagation", "N5 J5", b.sql("""SELECT ip AS artifact, 'client' AS artifact_kind, previous, max(hits) FILTER (WHERE best) AS hits, max(ok_hits) AS ok_hits,
@@ -500,7 +522,7 @@ def related_addresses(spark, sf):
 def hunt_correlation(spark, sf):
     arts = case(spark, sf)[2]
     box = arts.filter(F.col("artifact").startswith("10.0.")).select(F.col("artifact").alias("value"), F.lit("ip").alias("type"))
-    hits = hunt.library_hunt(b.requests(spark, sf), log_queries.ENTRIES)
+    hits = hunt.library_hunt(index(spark, sf), log_queries.ENTRIES)
     return hunt.correlate(hits, arts, box).select("pattern_id", "ip", "triage", "finding_count", "in_box")
 
 
@@ -510,7 +532,8 @@ def hunt_correlation(spark, sf):
 def collected(spark, sf):
     rows, _, arts = case(spark, sf)
     digests = webroot.digests(b.files(spark, sf), rows.filter("artifact_kind = 'file'"))
-    return iocs.collect_confirmed(rows.filter("triage = 'confirmed'"), touched(spark, sf), digests, _ROOTS, NOW)
+    parts = iocs.collect_confirmed(rows.filter("triage = 'confirmed'"), touched(spark, sf), digests, _ROOTS, NOW)
+    return tuple(b.stored(spark, sf, name, lambda p=part: p) for name, part in zip(("iocs", "links", "provenance"), parts))
 
 
 _BOX = """conf AS (SELECT artifact, artifact_kind, max(CASE WHEN source = 'webshell' THEN 1 ELSE 0 END) AS web,
@@ -577,7 +600,7 @@ _SPANS_SQL = """sp AS (SELECT ip, CAST(DATE '1970-01-01' + CAST(floor((first_epo
 def indicator_csv(spark, sf):
     rows, links, _ = collected(spark, sf)
     box = iocs.merge(rows.limit(0), rows)
-    spans = actors.actor_spans(actors.actor_counts(b.requests(spark, sf)))
+    spans = actors.actor_spans(actor_rows(spark, sf))
     return exports.ioc_csv(box, iocs.edges(box, links), spans).drop("Note", "Origin", "Added")
 
 
@@ -587,7 +610,7 @@ def indicator_csv(spark, sf):
 def stix_patterns(spark, sf):
     rows, _, _ = collected(spark, sf)
     box = iocs.merge(rows.limit(0), rows)
-    spans = actors.actor_spans(actors.actor_counts(b.requests(spark, sf)))
+    spans = actors.actor_spans(actor_rows(spark, sf))
     return exports.stix_indicators(box, spans).select("value", "name", "pattern")
 
 
@@ -595,7 +618,7 @@ def stix_patterns(spark, sf):
 def stix_bundle(spark, sf):
     rows, links, _ = collected(spark, sf)
     box = iocs.merge(rows.limit(0), rows)
-    spans = actors.actor_spans(actors.actor_counts(b.requests(spark, sf)))
+    spans = actors.actor_spans(actor_rows(spark, sf))
     shown = exports.stix_indicators(box, spans)
     return exports.stix_objects(shown, exports.stix_relationships(iocs.edges(box, links), shown), "2026-01-01T00:00:00.000Z")
 
@@ -604,12 +627,16 @@ def stix_bundle(spark, sf):
 def indicator_json(spark, sf):
     rows, links, _ = collected(spark, sf)
     box = iocs.merge(rows.limit(0), rows)
-    spans = actors.actor_spans(actors.actor_counts(b.requests(spark, sf)))
+    spans = actors.actor_spans(actor_rows(spark, sf))
     return exports.ioc_json(box, iocs.edges(box, links), spans).unionAll(exports.chain_json(story(spark, sf)[1]))
 
 
 def case_indicators(spark, sf):
-    return iocs.extract(b.table(spark, sf, "documents"), "text", "source")
+    """Every typed word of `documents` as an indicator of the case its source is."""
+    words = b.table(spark, sf, "documents").select(
+        F.col("source").alias("case"), F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("value")).distinct()
+    typed = computed_once(words.withColumn("type", ind.classify(F.col("value"))))
+    return typed.filter(~ind.may_be_ipv6(F.col("value")) & (F.col("type") != "other"))
 
 
 _EXTRACT = r"""ext AS (SELECT DISTINCT source AS "case", value, type FROM (
@@ -619,21 +646,7 @@ _EXTRACT = r"""ext AS (SELECT DISTINCT source AS "case", value, type FROM (
 
 @query("extracted_indicators", "P25", f'WITH {_EXTRACT}\nSELECT * FROM ext')
 def extracted_indicators(spark, sf):
-    return case_indicators(spark, sf)
-
-
-@query("cross_case_matches", "J17 P26", f"""WITH {_EXTRACT}
-SELECT "case", type AS kind, value AS "key", value FROM ext WHERE "case" <> 'src0' AND (type, value) IN (SELECT (type, value) FROM ext WHERE "case" = 'src0')""")
-def cross_case_matches(spark, sf):
-    return iocs.cross_case(case_indicators(spark, sf), "src0")
-
-
-@query("cross_case_summary", "J17", f"""WITH {_EXTRACT},
-m AS (SELECT * FROM ext WHERE "case" <> 'src0' AND (type, value) IN (SELECT (type, value) FROM ext WHERE "case" = 'src0'))
-SELECT count(DISTINCT (type, value)) AS matched_iocs, count(*) AS matches, count(DISTINCT "case") AS matched_cases,
- (SELECT count(DISTINCT "case") FROM ext WHERE "case" <> 'src0') AS cases_scanned FROM m""")
-def cross_case_summary(spark, sf):
-    return iocs.cross_case_summary(case_indicators(spark, sf), "src0")
+    return iocs.extract(b.table(spark, sf, "documents"), "text", "source")
 
 
 _CLASSED = r"""CASE WHEN regexp_matches(v, '^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$') THEN 'ip'
@@ -642,6 +655,24 @@ _CLASSED = r"""CASE WHEN regexp_matches(v, '^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?
  WHEN regexp_matches(v, '^[\w.\- ()\[\]{}@#%+~!$]{1,255}\.[A-Za-z0-9]{1,12}$') THEN 'path' ELSE 'other' END"""
 
 
+_CASES = f"""cw AS (SELECT DISTINCT source AS "case", unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS v FROM documents),
+ci AS (SELECT "case", v AS value, {_CLASSED} AS kind FROM cw WHERE NOT regexp_matches(v, '^[0-9A-Fa-f:.]+(%\\w+)?$') OR NOT contains(v, ':')),
+ck AS (SELECT *, CASE WHEN kind IN ('hash', 'domain', 'email') THEN lower(value) ELSE value END AS k FROM ci WHERE kind <> 'other'),
+cm AS (SELECT * FROM ck WHERE "case" <> 'src10' AND (kind, k) IN (SELECT (kind, k) FROM ck WHERE "case" = 'src10'))"""
+
+
+@query("cross_case_matches", "J17 P26", f'WITH {_CASES}\nSELECT "case", kind, k AS "key", value FROM cm')
+def cross_case_matches(spark, sf):
+    return iocs.cross_case(case_indicators(spark, sf), "src10")
+
+
+@query("cross_case_summary", "J17", f"""WITH {_CASES}
+SELECT count(DISTINCT (kind, k)) AS matched_iocs, count(*) AS matches, count(DISTINCT "case") AS matched_cases,
+ (SELECT count(DISTINCT "case") FROM ck WHERE "case" <> 'src10') AS cases_scanned FROM cm""")
+def cross_case_summary(spark, sf):
+    return iocs.cross_case_summary(case_indicators(spark, sf), "src10")
+
+
 @query("classified_values", "P24", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS v FROM documents)
 SELECT v AS value, {_CLASSED} AS type FROM w WHERE NOT regexp_matches(v, '^[0-9A-Fa-f:.]+(%\\w+)?$') OR NOT contains(v, ':')""")
 def classified_values(spark, sf):
@@ -660,7 +691,7 @@ def manual_indicators(spark, sf):
  array_to_string(list_filter(['actor', CASE WHEN scanner_uas <> '' THEN 'scanner' END, CASE WHEN login_posts >= 30 THEN 'brute-force' END,
  CASE WHEN {b._SUCCESS} THEN 'successful' END], lambda x: x IS NOT NULL), ',') AS tags FROM actors""", "actors"))
 def actor_indicators(spark, sf):
-    rows = iocs.collect_actors(actors.actor_table(b.requests(spark, sf)), NOW)
+    rows = iocs.collect_actors(actor_rows(spark, sf), NOW)
     return rows.select("value", "origin", F.array_join("tags", ",").alias("tags"))
 
 
@@ -688,7 +719,7 @@ def country_ranges(spark, sf):
  FROM (SELECT DISTINCT ip, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS num FROM req) c
  LEFT JOIN rng ON num BETWEEN "first" AND "last" AND (c.ip LIKE '45.%' OR c.ip LIKE '91.%') GROUP BY c.ip""", "req", _RANGES))
 def countries(spark, sf):
-    return iocs.country_of(b.requests(spark, sf).select("ip"), country_ranges(spark, sf))
+    return iocs.country_of(index(spark, sf).select("ip"), country_ranges(spark, sf))
 
 
 # --- chronology -----------------------------------------------------------------
@@ -697,12 +728,11 @@ def countries(spark, sf):
 def story(spark, sf):
     """(confirmed, events): confirmed clients of the case, six target files that count as
     confirmed, and the administrator accounts of one export."""
-    r = actors.flagged(b.requests(spark, sf))
-    table = actors.actor_table(r)
+    r, table = index(spark, sf), actor_rows(spark, sf)
     clients = table.filter(F.col("ip").startswith("10.0.")).select(F.col("ip").alias("artifact"), F.lit("client").alias("artifact_kind"), F.lit(0).alias("worst"))
     confirmed = clients.unionAll(target_files(spark).select("artifact", "artifact_kind", F.lit(0)))
     timed = chronology.alert_times(alerts.severity_by_kind(alerts.counter_alerts(table)), r)
-    found_accounts = account_ops.accounts(account_rows(spark, sf)).filter("cms = 'Joomla' and admin")
+    found_accounts = account_table(spark, sf).filter("cms = 'Joomla' and admin")
     span = actors.index_totals(r).select("first_epoch", "last_epoch", F.lit(0).alias("tz"))
     events = chronology.file_events(confirmed, touched(spark, sf), _ROOTS).unionByName(
         chronology.client_events(confirmed, table, timed)).unionByName(chronology.account_events(found_accounts, span))
@@ -713,13 +743,13 @@ _STORY = _TOUCH + ",\n" + _ACCOUNTS + """,
 ft AS (SELECT t.artifact, min(t.first_epoch) AS first_any, max(t.last_epoch) AS last_any, min(first_ok) AS first_ok, sum(hits)::BIGINT AS n, sum(ok_hits)::BIGINT AS ok,
  any_value(o.tz) AS tz FROM touch t JOIN (SELECT artifact, coalesce(arg_max(tz, abs(tz) * 10 + CASE WHEN tz > 0 THEN 1 ELSE 0 END), 0) AS tz FROM met GROUP BY artifact) o ON o.artifact = t.artifact
  WHERE first_epoch IS NOT NULL GROUP BY t.artifact),
-at AS (SELECT a.*, m.epoch FROM alerts a LEFT JOIN (SELECT ip, uri, min(epoch) AS epoch FROM req GROUP BY ip, uri) m ON m.ip = a.ip AND m.uri = a.example WHERE a.kind <> 'scanner_ua'),
+atimes AS (SELECT a.*, m.epoch FROM alerts a LEFT JOIN (SELECT ip, uri, min(epoch) AS epoch FROM req GROUP BY ip, uri) m ON m.ip = a.ip AND m.uri = a.example WHERE a.kind <> 'scanner_ua'),
 events AS (SELECT first_ok + tz AS "at", 'success' AS kind, artifact FROM ft WHERE first_ok IS NOT NULL
  UNION ALL SELECT first_any + tz, 'attempt', artifact FROM ft WHERE first_ok IS NULL
  UNION ALL SELECT last_any + tz, 'last_access', artifact FROM ft WHERE last_any <> coalesce(first_ok, first_any)
  UNION ALL SELECT first_epoch + tz, 'first_contact', ip FROM actors WHERE ip LIKE '10.0.%' AND first_epoch IS NOT NULL
  UNION ALL SELECT last_epoch + tz, 'last_access', ip FROM actors WHERE ip LIKE '10.0.%' AND first_epoch IS NOT NULL
- UNION ALL SELECT at.epoch + actors.tz, 'alert', at.ip FROM at JOIN actors ON actors.ip = at.ip WHERE at.ip LIKE '10.0.%' AND at.epoch IS NOT NULL AND severity < 3
+ UNION ALL SELECT atimes.epoch + actors.tz, 'alert', atimes.ip FROM atimes JOIN actors ON actors.ip = atimes.ip WHERE atimes.ip LIKE '10.0.%' AND atimes.epoch IS NOT NULL AND severity < 3
  UNION ALL SELECT s, 'account', '' FROM (SELECT date_diff('second', TIMESTAMP '1970-01-01', CAST(registered AS TIMESTAMP)) AS s FROM accounts WHERE cms = 'Joomla' AND admin AND registered <> '-')
   WHERE s BETWEEN (SELECT min(epoch) FROM req) AND (SELECT max(epoch) FROM req)),
 confirmed AS (SELECT ip AS artifact, 'client' AS artifact_kind FROM actors WHERE ip LIKE '10.0.%' UNION ALL SELECT artifact, 'file' FROM targets)"""
@@ -730,10 +760,9 @@ def chronology_events(spark, sf):
     return story(spark, sf)[1].select("at", "kind", "artifact")
 
 
-@query("alert_times", "J20", b.sql("SELECT ip, kind, severity, detail, example, epoch FROM at", "alerts", _STORY))
+@query("alert_times", "J20", b.sql("SELECT ip, kind, severity, detail, example, epoch FROM atimes", "alerts", _STORY))
 def alert_times(spark, sf):
-    r = actors.flagged(b.requests(spark, sf))
-    return chronology.alert_times(alerts.counter_alerts(actors.actor_table(r)), r)
+    return chronology.alert_times(alerts.counter_alerts(actor_rows(spark, sf)), index(spark, sf))
 
 
 @query("missing_from_story", "N12", b.sql("""SELECT c.artifact, artifact_kind, 'undated.' || artifact_kind AS why FROM confirmed c WHERE artifact NOT IN (SELECT artifact FROM events)""", "alerts", _STORY))
@@ -750,7 +779,7 @@ def story_page(spark, sf):
  (SELECT min("at") FROM events) - (SELECT min(epoch) FROM req) < 60 AS at_log_start, (SELECT count(*) FROM events WHERE kind = 'success') = 0 AS only_attempts,
  (SELECT count(*) FROM events) > 80 AS truncated, true AS logs_clock_set, false AS dump_clock_set, (SELECT count(*) FROM events) AS total_events""", "alerts", _STORY))
 def story_gaps(spark, sf):
-    start = b.requests(spark, sf).select(F.min("epoch"))
+    start = index(spark, sf).select(F.min("epoch"))
     return chronology.gap_statements(*story(spark, sf), start, clock_logs=3600)
 
 
@@ -773,8 +802,8 @@ def milestones(spark, sf):
 def global_search(spark, sf):
     arts = case(spark, sf)[2]
     box = arts.limit(0).select(F.col("artifact").alias("value"), F.lit("ip").alias("type"), F.lit("").alias("note"), F.lit(0).alias("added"))
-    people = account_ops.accounts(account_rows(spark, sf)).filter("cms = 'Joomla'")
-    return search.global_search("10", arts, box, people, actors.actor_counts(b.requests(spark, sf)))
+    people = account_table(spark, sf).filter("cms = 'Joomla'")
+    return search.global_search("10", arts, box, people, actor_rows(spark, sf))
 
 
 @query("report_decisions", "N19", b.sql("""SELECT artifact_kind, CASE artifact_kind WHEN 'file' THEN lower(substr(artifact, 11)) ELSE artifact END AS artifact, min(severity) AS severity,
@@ -792,7 +821,7 @@ def report_decisions(spark, sf):
 def trace_export(spark, sf):
     from webtrail.operators import trace
 
-    return exports.trace_cells(trace.trace_columns(trace.trace(b.requests(spark, sf), log_queries._TRACED)))
+    return exports.trace_cells(trace.trace_columns(trace.trace(index(spark, sf), log_queries._TRACED)))
 
 
 @query("trace_manifest", "K3", None)
@@ -817,7 +846,7 @@ def naive_stamps(spark, sf):
 def index_changes(spark, sf):
     from webtrail.sources import logs
 
-    old = b.requests(spark, sf).groupBy(F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("length")).withColumn("mtime", F.lit(1))
+    old = index(spark, sf).groupBy(F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("length")).withColumn("mtime", F.lit(1))
     new = old.withColumn("path", F.when(F.col("path").contains("other"), F.concat("path", F.lit(".1"))).otherwise(F.col("path")))
     return logs.index_status(old, new).select("path", "length", "change")
 
@@ -827,7 +856,7 @@ def pattern_library(spark, sf):
     """The library of patterns with what each reaches in the derived logs."""
     from webtrail.sources import rules
 
-    own = rules.line_patterns(b.requests(spark, sf).select(F.concat(F.col("leaf"), F.lit(" | leaf")).alias("value")).distinct())
+    own = rules.line_patterns(index(spark, sf).select(F.concat(F.col("leaf"), F.lit(" | leaf")).alias("value")).distinct())
     library = hunt.library_union(rules.bundled_patterns(spark), hunt.usable_paths(own), [])
     return library.select("id", F.array_join("patterns", ",").alias("patterns"), "match", "name", "origin")
 
