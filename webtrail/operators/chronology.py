@@ -133,12 +133,12 @@ def event_order() -> list[Column]:
     return [F.asc("at"), F.asc("kind"), F.asc("artifact"), F.asc("title"), F.asc("detail")]
 
 
-def capped(events: DataFrame, cap: int = fixed.EVENT_CAP) -> DataFrame:
-    """The first events of the story (a top-k); the whole sequence is ``events`` itself."""
-    return events.orderBy(*event_order()).limit(cap)
+def capped(events: DataFrame, cap: int | None = fixed.EVENT_CAP) -> DataFrame:
+    """The first events of the story (a top-k), or with no cap the whole sequence."""
+    return events if cap is None else events.orderBy(*event_order()).limit(cap)
 
 
-def missing_from_story(confirmed: DataFrame, events: DataFrame, cap: int = fixed.EVENT_CAP) -> DataFrame:
+def missing_from_story(confirmed: DataFrame, events: DataFrame, cap: int | None = fixed.EVENT_CAP) -> DataFrame:
     """Confirmed artifacts the story does not show, and why: nothing dates them, or
     their events lie beyond the cap."""
     shown = capped(events, cap).select("artifact").distinct()

@@ -765,9 +765,10 @@ def alert_times(spark, sf):
     return chronology.alert_times(alerts.counter_alerts(actor_rows(spark, sf)), index(spark, sf))
 
 
-@query("missing_from_story", "N12", b.sql("""SELECT c.artifact, artifact_kind, 'undated.' || artifact_kind AS why FROM confirmed c WHERE artifact NOT IN (SELECT artifact FROM events)""", "alerts", _STORY))
+@query("missing_from_story", "N12", b.sql("""SELECT c.artifact, artifact_kind, CASE WHEN artifact IN (SELECT artifact FROM events) THEN 'beyond_cap' ELSE 'undated.' || artifact_kind END AS why FROM confirmed c
+ WHERE artifact NOT IN (SELECT artifact FROM (SELECT * FROM events ORDER BY "at", kind, artifact LIMIT 80))""", "alerts", _STORY))
 def missing_from_story(spark, sf):
-    return chronology.missing_from_story(*story(spark, sf), cap=10**9)
+    return chronology.missing_from_story(*story(spark, sf))
 
 
 @query("story_page", "N12 T3", b.sql('SELECT "at", kind, artifact FROM (SELECT "at", kind, artifact FROM events ORDER BY "at", kind, artifact LIMIT 80)', "alerts", _STORY))
@@ -783,12 +784,13 @@ def story_gaps(spark, sf):
     return chronology.gap_statements(*story(spark, sf), start, clock_logs=3600)
 
 
-@query("milestones", "N14", b.sql("""SELECT DISTINCT ON (n) role, "at", kind FROM (
+@query("milestones", "N14", b.sql("""SELECT role, "at", kind FROM (
  SELECT 1 AS n, 'first' AS role, "at", kind, artifact FROM (SELECT * FROM events ORDER BY "at", kind, artifact LIMIT 1)
  UNION ALL SELECT 2, 'first_success', "at", kind, artifact FROM (SELECT * FROM events WHERE kind = 'success' ORDER BY "at", artifact LIMIT 1)
  UNION ALL SELECT 3, 'account', "at", kind, artifact FROM (SELECT * FROM events WHERE kind = 'account' ORDER BY "at", artifact LIMIT 1)
  UNION ALL SELECT 4, 'first_alert', "at", kind, artifact FROM (SELECT * FROM events WHERE kind = 'alert' ORDER BY "at", artifact LIMIT 1)
- UNION ALL SELECT 5, 'last', "at", kind, artifact FROM (SELECT * FROM events ORDER BY "at" DESC, kind DESC, artifact DESC LIMIT 1))""", "alerts", _STORY))
+ UNION ALL SELECT 5, 'last', "at", kind, artifact FROM (SELECT * FROM events ORDER BY "at" DESC, kind DESC, artifact DESC LIMIT 1))
+ QUALIFY row_number() OVER (PARTITION BY "at", kind, artifact ORDER BY n) = 1""", "alerts", _STORY))
 def milestones(spark, sf):
     return chronology.milestones(story(spark, sf)[1]).select("role", "at", "kind")
 
