@@ -204,12 +204,9 @@ def accounts(rows: DataFrame) -> DataFrame:
     other = F.when(F.size("cms") > 0, F.array_join("cms", ", ")).otherwise("unknown")
     placed = with_places(people.withColumns({"reader": reader, "cms": F.when(reader != "", reader).otherwise(other)}))
 
-    def read_by(which, account):
-        rows_of = placed.filter(F.col("reader") == which)
-        return rows_of.select("dump", "table", "row_no", "cms", F.inline(F.array_compact(F.array(account))))
-
-    read = read_by("WordPress", wordpress_account()).unionAll(read_by("Joomla", joomla_account())).unionAll(
-        read_by("", generic_account()))
+    account = F.when(F.col("reader") == "WordPress", wordpress_account()).when(
+        F.col("reader") == "Joomla", joomla_account()).otherwise(generic_account())
+    read = placed.select("dump", "table", "row_no", "cms", F.inline(F.array_compact(F.array(account))))
     return (
         read.join(admin_ids(rows).withColumn("listed", F.lit(True)), ["dump", "user_id"], "left")
         .join(session_signals(rows), ["dump", "user_id"], "left")

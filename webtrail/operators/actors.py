@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webtrail import fixed_values as fixed
 from webtrail.functions import predicates as is_, times, uris
+from webtrail.functions.text import any_of
 
 # kind of outcome-gated probe -> the flag column that marks it
 PROBES = {"sqli": "f_sqli", "traversal": "f_traversal",
@@ -97,15 +98,21 @@ def shown_scanner_agents(agents: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
+_TZ_SHIFT = 262144  # offsets lie within +-86400 seconds
+
+
 def _partials() -> list[Column]:
+    """Counters of fixed width only. A text or a struct in the buffer would make Spark
+    sort all lines before it combines them; so the texts are found apart, on few rows.
+
+    The offset of the latest line rides in the low digits of its own time."""
     status, size, ok = F.col("status"), F.col("size"), is_.answered_ok(F.col("status"))
     login = F.col("f_login") & (F.col("method") == "POST")
-    order = line_order()
     out = [
         F.count(F.lit(1)).alias("requests"),
         F.min("epoch").alias("first_epoch"),
         F.max("epoch").alias("last_epoch"),
-        F.max(F.when(F.col("epoch").isNotNull(), F.struct("epoch", "source", "pos", "tz"))).alias("latest"),
+        F.max(F.col("epoch") * _TZ_SHIFT + F.col("tz") + _TZ_SHIFT // 2).alias("latest"),
         F.count_if(status.between(400, 499)).alias("err4"),
         F.count_if(status >= 500).alias("err5"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
@@ -118,12 +125,10 @@ def _partials() -> list[Column]:
         F.count_if(F.col("f_admin_area") & ok).alias("admin_ok"),
     ]
     for kind, flag in PROBES.items():
-        hit = F.col(flag)
-        answered = hit & ok
+        answered = F.col(flag) & ok
         out += [
-            F.count_if(hit).alias(f"{kind}_attempts"),
+            F.count_if(F.col(flag)).alias(f"{kind}_attempts"),
             F.count_if(answered).alias(f"{kind}_ok"),
-            F.min(F.when(hit, F.struct(order.alias("o"), F.col("uri")))).alias(f"{kind}_first"),
             F.min(F.when(answered, size)).alias(f"{kind}_size_min"),
             F.max(F.when(answered, size)).alias(f"{kind}_size_max"),
             F.count_if(answered & size.isNotNull()).alias(f"{kind}_sized"),
@@ -145,28 +150,35 @@ def actor_counts(requests: DataFrame) -> DataFrame:
               F.max("login_last").alias("login_last"), F.count(F.lit(1)).alias("agents")]
     for kind in PROBES:
         merge += [F.sum(f"{kind}_{c}").alias(f"{kind}_{c}") for c in ("attempts", "ok", "sized", "unsized")]
-        merge += [F.min(f"{kind}_first").alias(f"{kind}_first"),
-                  F.min(f"{kind}_size_min").alias(f"{kind}_size_min"),
+        merge += [F.min(f"{kind}_size_min").alias(f"{kind}_size_min"),
                   F.max(f"{kind}_size_max").alias(f"{kind}_size_max")]
-    merged = partial.groupBy("ip").agg(*merge)
-    examples = {f"{k}_example": F.coalesce(F.col(f"{k}_first")["uri"], F.lit("")) for k in PROBES}
-    return (
-        merged.withColumns({**examples, "tz": F.coalesce(F.col("latest")["tz"], F.lit(0))})
-        .drop("latest", *[f"{k}_first" for k in PROBES])
-    )
+    tz = (F.pmod(F.col("latest"), F.lit(_TZ_SHIFT)) - _TZ_SHIFT // 2).cast("int")
+    return partial.groupBy("ip").agg(*merge).withColumn("tz", F.coalesce(tz, F.lit(0))).drop("latest")
+
+
+def probe_examples(requests: DataFrame) -> DataFrame:
+    """The first target per client and kind of probe, over the rows that are one."""
+    order = line_order()
+    hits = flagged(requests).filter(any_of([F.col(f) for f in PROBES.values()]))
+    first = hits.groupBy("ip").agg(*[
+        F.min(F.when(F.col(flag), F.struct(order.alias("o"), F.col("uri")))).alias(kind) for kind, flag in PROBES.items()])
+    return first.select("ip", *[F.col(kind)["uri"].alias(f"{kind}_example") for kind in PROBES])
 
 
 def actor_table(requests: DataFrame) -> DataFrame:
-    """One finished row per client."""
+    """One finished row per client. The texts beside the counters come from the few rows
+    that are logins, scanners or probes; over an index their flags prune the scan."""
     marked = flagged(requests)
     return (
         actor_counts(marked)
         .join(login_burst(marked), "ip", "left")
         .join(login_statuses(marked), "ip", "left")
         .join(shown_scanner_agents(scanner_agents(marked)), "ip", "left")
+        .join(probe_examples(marked), "ip", "left")
         .withColumns({
             "login_burst": F.coalesce("login_burst", F.lit(0)),
             "scanner_uas": F.coalesce("scanner_uas", F.array().cast("array<string>")),
+            **{f"{k}_example": F.coalesce(f"{k}_example", F.lit("")) for k in PROBES},
         })
     )
 

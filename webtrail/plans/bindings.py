@@ -210,8 +210,7 @@ _ACTORS = (
     "scans AS (SELECT ip, string_agg(agent, '|' ORDER BY agent) FILTER (WHERE rk <= 5) AS scanner_uas, count(*) AS n_uas"
     " FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY agent) AS rk FROM scan_uas) GROUP BY ip),\n"
     "actors AS (SELECT f.ip, count(*) AS requests, min(epoch) AS first_epoch, max(epoch) AS last_epoch,"
-    " coalesce(arg_max(tz, epoch * 100000000 + CASE source WHEN '/logs/a/access.log' THEN 0"
-    " WHEN '/logs/b/access.log' THEN 30000000 ELSE 60000000 END + pos), 0) AS tz,"
+    " coalesce(arg_max(tz, epoch * 1000000 + tz), 0) AS tz,"
     " count(*) FILTER (WHERE status BETWEEN 400 AND 499) AS err4, count(*) FILTER (WHERE status >= 500) AS err5,"
     " CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE size IS NULL) AS bytes_unknown,"
     " count(*) FILTER (WHERE method = 'POST') AS posts,"

@@ -636,7 +636,7 @@ def case_indicators(spark, sf):
     words = b.table(spark, sf, "documents").select(
         F.col("source").alias("case"), F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("value")).distinct()
     typed = computed_once(words.withColumn("type", ind.classify(F.col("value"))))
-    return typed.filter(~ind.may_be_ipv6(F.col("value")) & (F.col("type") != "other"))
+    return b.stored(spark, sf, "case_indicators", lambda: typed.filter(~ind.may_be_ipv6(F.col("value")) & (F.col("type") != "other")))
 
 
 _EXTRACT = r"""ext AS (SELECT DISTINCT source AS "case", value, type FROM (

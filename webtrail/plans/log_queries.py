@@ -168,9 +168,10 @@ def actor_table(spark, sf):
 
 
 @query("probe_examples", "A6", b.sql(
-    "SELECT ip, " + ", ".join(f"{k}_example" for k in b._KINDS) + " FROM actors", "actors"))
+    "SELECT ip, " + ", ".join(f"nullif({k}_example, '') AS {k}_example" for k in b._KINDS)
+    + " FROM actors WHERE sqli_attempts + traversal_attempts + upload_php_attempts + cms_dir_php_attempts > 0", "actors"))
 def probe_examples(spark, sf):
-    return actors.actor_counts(b.requests(spark, sf)).select("ip", *[f"{k}_example" for k in actors.PROBES])
+    return actors.probe_examples(b.requests(spark, sf))
 
 
 @query("login_bursts", "A8 W3", b.sql("SELECT * FROM bursts", "actors"))

@@ -24,11 +24,11 @@ def write_index(requests: DataFrame, folder: str) -> dict[str, str]:
     paths = {n: f"{folder}/{n}" for n in ("requests", "actors", "actor_hours", "days", "alerts", "totals")}
     day = times.local_day(F.col("epoch"), F.col("tz"))
     flagged = actor_ops.flagged(requests).withColumn("day", day)
-    # A day is spread over several tasks by client and hour, so a client with a third of
-    # all lines does not end in one file; inside a file the order keeps row groups narrow.
-    spread = F.pmod(F.xxhash64("ip", F.floor(F.col("epoch") / 3600)), F.lit(16))
-    flagged.repartition("day", spread).sortWithinPartitions("day", "ip", "epoch").write.mode("overwrite").option(
-        "parquet.bloom.filter.enabled#ip", "true").option("parquet.bloom.filter.enabled#leaf", "true").partitionBy(
+    # Rebalancing by day lets the runtime cut a busy day into files of an even size and put
+    # quiet days together: no client and no day decides how large a task is.
+    flagged.hint("rebalance", "day").sortWithinPartitions("day", "ip", "epoch").write.mode("overwrite").option(
+        "parquet.bloom.filter.enabled#ip", "true").option("parquet.bloom.filter.expected.ndv#ip", "20000").option(
+        "parquet.bloom.filter.enabled#leaf", "true").option("parquet.bloom.filter.expected.ndv#leaf", "20000").partitionBy(
         "day").parquet(paths["requests"])
     stored = spark.read.parquet(paths["requests"])
     actor_ops.actor_table(stored).write.mode("overwrite").parquet(paths["actors"])
