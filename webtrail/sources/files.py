@@ -12,6 +12,7 @@ import codecs
 import gzip
 import io
 import lzma
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,81 @@ _LINE_SCHEMA = "path string, block long, pos long, value string"
 
 
 def listing(spark: SparkSession, targets: list[str]) -> DataFrame:
-    """path, length, mtime of every file below the targets. Content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
-    return files.select(plain_path().alias("path"), "length", F.unix_seconds("modificationTime").alias("mtime"))
+    """path, length, mtime of every file below the targets. Content is not read.
+
+    Spark's scan passes over names that begin with a dot or an underscore. In evidence
+    those are the ones to look at (.htaccess), so they are listed beside it."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
+    seen = read.select(plain_path().alias("path"), "length", F.unix_seconds("modificationTime").alias("mtime"))
+    return seen.unionByName(hidden(spark, targets))
 
 
 def plain_path(column: str = "path"):
-    """A path as people write it: without the scheme of the local file system, decoded."""
-    local = F.regexp_replace(F.col(column), r"^file:/+", "/")
-    return local
+    """A path as people write it: without the scheme of the local file system."""
+    return F.regexp_replace(F.col(column), r"^file:/+", "/")
+
+
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _is_hidden(inner: str, base: str) -> bool:
+    return any(part.startswith((".", "_")) for part in inner[len(base):].split("/"))
+
+
+def _walk(frames):
+    from pyarrow import fs
+
+    for frame in frames:
+        for folder, base in frame[["folder", "base"]].itertuples(index=False):
+            system, inner = _filesystem(folder)
+            prefix = folder[: len(folder) - len(inner)]
+            infos = system.get_file_info(fs.FileSelector(inner, recursive=True))
+            if prefix == "" or prefix.endswith("//"):
+                base = base[len(prefix):]
+            rows = [(prefix + i.path, i.size, int(i.mtime.timestamp()) if i.mtime else 0) for i in infos
+                    if i.type == fs.FileType.File and _is_hidden(i.path, base)]
+            yield pd.DataFrame(rows, columns=["path", "length", "mtime"]).astype({"length": "int64", "mtime": "int64"})
+
+
+def hidden(spark: SparkSession, targets: list[str]) -> DataFrame:
+    """Files with a name, or below a folder, that begins with a dot or an underscore.
+
+    The driver lists the first level of each target only; every folder below it is walked
+    by a task."""
+    from pyarrow import fs
+
+    folders, here = [], []
+    for target in targets:
+        system, inner = _filesystem(target)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            continue
+        prefix, base = target[: len(target) - len(inner)], target.rstrip("/")
+        for info in system.get_file_info(fs.FileSelector(inner)):
+            if info.type == fs.FileType.Directory:
+                folders.append((prefix + info.path, base))
+            elif _is_hidden(info.path, inner.rstrip("/")):
+                here.append((prefix + info.path, info.size, int(info.mtime.timestamp()) if info.mtime else 0))
+    schema = "path string, length long, mtime long"
+    direct = spark.createDataFrame(here, schema)
+    if not folders:
+        return direct
+    spread = spark.createDataFrame(folders, "folder string, base string").repartition(min(len(folders), 512))
+    return direct.unionAll(spread.mapInPandas(_walk, schema))
+
+
+def _read_whole(frames):
+    for frame in frames:
+        for path, length in frame[["path", "length"]].itertuples(index=False):
+            try:
+                system, inner = _filesystem(path)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    data = stream.read()
+            except OSError:
+                data = None  # listed but not readable: a rule of its own says so
+            yield pd.DataFrame({"path": [path], "length": [length], "content": [data]})
 
 
 def contents(spark: SparkSession, targets: list[str], root: str, max_bytes: int = fixed.MAX_CONTENT_BYTES) -> DataFrame:
@@ -44,14 +111,17 @@ def contents(spark: SparkSession, targets: list[str], root: str, max_bytes: int
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
     small = read.filter(F.col("length") <= max_bytes).select(plain_path().alias("path"), "length", "content")
     large = read.filter(F.col("length") > max_bytes).select(plain_path().alias("path"), "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionAll(large).select("path", F.lit(root).alias("root"), "length", "content")
+    others = hidden(spark, targets)
+    small_others = others.filter(F.col("length") <= max_bytes).select("path", "length").mapInPandas(
+        _read_whole, "path string, length long, content binary")
+    large_others = others.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    both = small.unionAll(large).unionAll(small_others).unionAll(large_others)
+    return both.select("path", F.lit(root).alias("root"), "length", "content")
 
 
 def _open(path: str):
-    from pyarrow import fs
-
-    filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    raw = filesystem.open_input_stream(inner)
+    filesystem, inner = _filesystem(path)
+    raw = filesystem.open_input_stream(inner, compression=None)
     opener = next((o for ending, o in _OPENERS.items() if path.lower().endswith(ending)), None)
     return (opener(raw, "rb") if opener else raw), opener is not None
 
@@ -117,9 +187,12 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     plain = [p for p in paths if not p.lower().endswith(".xz")]
     parts = []
     if plain:
-        text = spark.read.text(plain)
+        # Names are literal, so what a glob would read as a pattern is escaped; the scan
+        # reports them percent-encoded.
+        text = spark.read.text([re.sub(r"([\\[\]{}*?])", r"\\\1", p) for p in plain])
+        name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         parts.append(text.select(
-            F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("path"),
+            F.regexp_replace(name, r"^file:/+", "/").alias("path"),
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
             F.make_valid_utf8(F.regexp_replace("value", r"\r$", "")).alias("value")))
     if xz:
