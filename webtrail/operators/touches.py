@@ -30,8 +30,10 @@ def addressed(paths: DataFrame, files: DataFrame) -> DataFrame:
     artifact, rel (below the web root, lower case)."""
     tails = paths.select("path").distinct().select(
         "path", F.explode(F.when(F.col("path").startswith("/"), uris.suffixes(F.col("path")))).alias("tail"))
-    # A one-segment tail counts only when it is the whole path.
-    tails = tails.filter(F.col("tail").contains("/") | (F.col("path") == F.concat(F.lit("/"), F.col("tail"))))
+    # A one-segment tail counts only when it is the whole path, and a tail is the literal
+    # end of the path: a slash behind a file name means something else.
+    whole = F.concat(F.lit("/"), F.col("tail"))
+    tails = tails.filter(F.col("path").endswith(whole) & (F.col("tail").contains("/") | (F.col("path") == whole)))
     targets = files.select("artifact", F.trim("rel", F.lit("/")).alias("tail")).filter("tail <> ''")
     return tails.join(targets, "tail").select("path", "artifact")
 
