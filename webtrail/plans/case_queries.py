@@ -853,17 +853,20 @@ def index_changes(spark, sf):
     return logs.index_status(old, new).select("path", "length", "change")
 
 
-@query("pattern_library", "S13 U6 F25", None)
+@query("pattern_library", "S13 U6 F25", b.sql("""SELECT patterns, 'any' AS match, 'leaf' AS name, 'own' AS origin FROM (SELECT DISTINCT leaf AS patterns FROM req WHERE length(leaf) >= 3)
+ UNION ALL VALUES ('*option=com_jce*,*task=profiles.import*', 'all', 'Joomla JCE editor RCE', 'bundled'),
+ ('*plugin=helix3*', 'any', 'Joomla Helix3 unauthenticated ajax handler', 'bundled')"""))
 def pattern_library(spark, sf):
     """The library of patterns with what each reaches in the derived logs."""
     from webtrail.sources import rules
 
     own = rules.line_patterns(index(spark, sf).select(F.concat(F.col("leaf"), F.lit(" | leaf")).alias("value")).distinct())
     library = hunt.library_union(rules.bundled_patterns(spark), hunt.usable_paths(own), [])
-    return library.select("id", F.array_join("patterns", ",").alias("patterns"), "match", "name", "origin")
+    return library.select(F.array_join("patterns", ",").alias("patterns"), "match", "name", "origin")
 
 
-@query("enabled_rules", "F27 U5 R27", None)
+@query("enabled_rules", "F27 U5 R27", b.sql(f"""SELECT c.id, c.severity, coalesce(n.n, 0) AS findings FROM (VALUES {file_queries._CATALOGUE}) c(id, engine, severity, name, format)
+ LEFT JOIN (SELECT rule_id, count(*) AS n FROM stored GROUP BY rule_id) n ON n.rule_id = c.id WHERE c.id <> 'webshell.goto'""", "alerts", _STORED))
 def enabled_rules(spark, sf):
     """Rules that are on, with their findings in the derived case."""
     from webtrail.operators import rules

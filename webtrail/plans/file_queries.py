@@ -101,7 +101,12 @@ def own_file_rules(spark, sf):
     return webroot.own_rule_findings(b.files(spark, sf), _OWN).drop("evidence")
 
 
-@query("rule_catalogue", "R27 U5", None)
+_CATALOGUE = ", ".join(f"({lit(i)}, {lit(e)}, {s}, {lit(n)}, {lit(f)})" for i, e, s, n, f, _ in rules.rule_rows())
+
+
+@query("rule_catalogue", "R27 U5", f"""WITH {FILE_FINDINGS_SQL}
+SELECT c.*, coalesce(n.n, 0) AS findings FROM (VALUES {_CATALOGUE}) c(id, engine, severity, name, format)
+ LEFT JOIN (SELECT rule_id, count(*) AS n FROM ffinds GROUP BY rule_id) n ON n.rule_id = c.id""")
 def rule_catalogue(spark, sf):
     """The rules and how many findings each has on the derived files."""
     hits = webroot.findings(b.files(spark, sf)).groupBy(F.col("rule_id").alias("id")).agg(F.count(F.lit(1)).alias("findings"))

@@ -422,7 +422,7 @@ _HUNT = ("hits AS (SELECT 0 AS path_id, * FROM req WHERE " + _HIT[0] + " UNION A
          " max(epoch) AS last_epoch, max(tz) AS tz, count(DISTINCT path_id) AS paths_hit FROM hits GROUP BY ip)")
 
 
-@query("hunt_any_clients", "A18 U1 P22", b.sql("SELECT * FROM clients", "req", _HUNT))
+@query("hunt_any_clients", "A18 U1 P21 P22", b.sql("SELECT * FROM clients", "req", _HUNT))
 def hunt_any_clients(spark, sf):
     return hunt.hunt_clients(b.requests(spark, sf), _PATHS, "any")
 
