@@ -64,7 +64,7 @@ def status_code(text: Column) -> Column:
 
 def response_size(text: Column) -> Column:
     """Bytes sent; a dash is "not recorded", which is not zero."""
-    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
+    return text.try_cast("bigint")
 
 
 def client_address(raw: Column) -> Column:

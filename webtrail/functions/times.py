@@ -21,12 +21,10 @@ def clf_time(stamp: Column) -> Column:
     minute = F.substring(stamp, 16, 2).try_cast("int")
     second = F.substring(stamp, 19, 2).try_cast("int")
     zone = F.trim(F.substr(stamp, F.lit(22)))
-    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-    offset = F.when(
-        zone.rlike(r"^[+-]\d{2}:?\d{2}$"),
-        sign * (F.substring(zone, 2, 2).try_cast("int") * 3600
-                + F.substring(zone, -2, 2).try_cast("int") * 60),
-    ).when(zone == "Z", F.lit(0))
+    sign = F.substring(zone, 1, 1)
+    east = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, -2, 2).try_cast("int") * 60
+    shaped = (F.length(zone) == 5) | ((F.length(zone) == 6) & (F.substring(zone, 4, 1) == ":"))
+    offset = F.when(shaped & (sign == "+"), east).when(shaped & (sign == "-"), -east).when(zone == "Z", F.lit(0))
     epoch = (F.unix_date(day).cast("long") * 86400 + hour * 3600 + minute * 60 + second - offset)
     return F.when(epoch.isNotNull(), F.struct(epoch.alias("epoch"), offset.cast("int").alias("tz")))
 

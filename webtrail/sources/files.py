@@ -190,11 +190,13 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         # Names are literal, so what a glob would read as a pattern is escaped; the scan
         # reports them percent-encoded.
         text = spark.read.text([re.sub(r"([\\[\]{}*?])", r"\\\1", p) for p in plain])
-        name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        # Both kinds of line ends are the text scan's own business.
+        encoded = F.col("_metadata.file_path")
+        name = F.when(encoded.contains("%"), F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))).otherwise(encoded)
+        local = F.when(name.startswith("file:///"), F.substr(name, F.lit(8))).otherwise(name)
         parts.append(text.select(
-            F.regexp_replace(name, r"^file:/+", "/").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
-            F.make_valid_utf8(F.regexp_replace("value", r"\r$", "")).alias("value")))
+            local.alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("pos"), F.make_valid_utf8("value").alias("value")))
     if xz:
         names = spark.createDataFrame([(p,) for p in xz], "path string").repartition(len(xz))
         parts.append(names.mapInPandas(_expand, _LINE_SCHEMA))
