@@ -193,7 +193,8 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         # Both kinds of line ends are the text scan's own business.
         encoded = F.col("_metadata.file_path")
         name = F.when(encoded.contains("%"), F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))).otherwise(encoded)
-        local = F.when(name.startswith("file:///"), F.substr(name, F.lit(8))).otherwise(name)
+        local = F.when(name.startswith("file:///"), F.substr(name, F.lit(8))).when(
+            name.startswith("file:/"), F.substr(name, F.lit(6))).otherwise(name)
         parts.append(text.select(
             local.alias("path"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"), F.make_valid_utf8("value").alias("value")))
