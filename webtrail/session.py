@@ -26,6 +26,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     builder = SparkSession.builder.master(f"local[{cores}]").appName("webtrail")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    builder = builder.config("spark.checkpoint.dir", _own_folder())
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("WEBTRAIL_DRIVER_MEMORY", "8g"))
@@ -35,16 +36,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+_own: list[str] = []
+
+
+def _own_folder() -> str:
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="webtrail-"))
+    return _own[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Only a session that names none (tests, one machine) gets a local one.
+    Only a session that names none and runs on one machine (tests) gets a local one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir is not set: a shared folder is needed")
-    named = tempfile.mkdtemp(prefix="webtrail-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _own_folder()
