@@ -1,6 +1,8 @@
 """All registered queries of this package."""
 
 from webtrail.llm import (  # noqa: F401
+    language,
+    licenses,
     warc,
 )
 from webtrail.llm.common import QUERIES  # noqa: F401
