@@ -85,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
         n = max(n, CHUNK_BYTES + 4096)
@@ -144,7 +144,7 @@ def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray, lower: bool
         ends[edge - 1] |= inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[low] * power[:n], out=sums[1:])
     code = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))

@@ -7,10 +7,11 @@ rows: how far a declaration or a suffix can be trusted is a grouped count of (de
 language of the text), and host priors are grouped sums of text posteriors, smoothed towards
 the host's domain and that towards the whole corpus.
 
-Rejected are documents without a language: fewer than MIN_TRIGRAMS trigrams with a letter,
-less than MIN_LETTERS of their visible bytes letters, or no language with half the posterior.
+Rejected are documents without a language: less than MIN_LETTERS of their visible bytes are
+letters, or no language has half the posterior. A very short text is judged by what else is
+known of it.
 
-Defined cases: null and empty texts have no trigrams; they are rejected ("und"). Null declared
+Defined cases: null and empty texts have no letters; they are rejected ("und"). Null declared
 language, suffix or host is no evidence. Repeated rows are answered each. With no declared
 language in the whole table nothing can be fitted and every row is "und". An empty table
 gives an empty result. Columns of other names are kept out of the result.
@@ -30,7 +31,6 @@ from webtrail.llm.common import LOWER, chunks, query, stored, table
 
 SAMPLE_ROWS = 8000
 BITS = 15
-MIN_TRIGRAMS = 8
 MIN_LETTERS = 0.3
 LENGTH_CAP = 60.0  # trigrams that count in full; neighbouring trigrams of longer texts repeat each other
 HOST_WEIGHT, DOMAIN_WEIGHT = 20.0, 50.0
@@ -182,11 +182,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     logs = F.col("fit")
     for part in (F.coalesce("host_log", start), F.coalesce("declared_log", none), F.coalesce("suffix_log", none)):
         logs = F.zip_with(logs, part, lambda a, b: a + b)
-    post = joined.select("doc_id", "declared", "n", "letters", softmax(logs).alias("post"))
+    post = joined.select("doc_id", "declared", "letters", softmax(logs).alias("post"))
     best = F.array_max("post")
-    accepted = (F.col("n") >= MIN_TRIGRAMS) & (F.col("letters") >= MIN_LETTERS) & (best >= 0.5)
+    accepted = (F.col("letters") >= MIN_LETTERS) & (best >= 0.5)
     lang = F.element_at(F.array(*(F.lit(x) for x in langs)), F.array_position("post", best).cast("int"))
-    return post.select("doc_id", F.when(accepted, lang).otherwise("und").alias("lang"), F.when(F.col("n") > 0, best).otherwise(0.0).alias("confidence"), "declared", accepted.alias("accepted"))
+    return post.select("doc_id", F.when(accepted, lang).otherwise("und").alias("lang"), F.when(F.col("letters") > 0, best).otherwise(0.0).alias("confidence"), "declared", accepted.alias("accepted"))
 
 
 @query("op7_language_id")

@@ -3,6 +3,7 @@
 from webtrail.llm import (  # noqa: F401
     language,
     licenses,
+    pieces,
     warc,
 )
 from webtrail.llm.common import QUERIES  # noqa: F401
