@@ -6,6 +6,7 @@ from webtrail.llm import (  # noqa: F401
     language,
     licenses,
     pieces,
+    quality,
     warc,
 )
 from webtrail.llm.common import QUERIES  # noqa: F401
