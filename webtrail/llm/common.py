@@ -207,10 +207,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     mark = None
     while True:
         both = edge.select("a", "b").unionByName(edge.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # The minima are written before they are joined: so the join has its rows in a stage of
+        # its own, where the runtime can split those of a node with very many links.
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), name)
         large = both.join(least, "a").where("b > a and b <> m").select(b.alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), name)
+        small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         hung = large.join(small_least, "a").where("b <> m").select(b.alias("a"), F.col("m").alias("b"))
         edge = stored(hung.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), name)
         seen = tuple(edge.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b").cast("long"))).first())

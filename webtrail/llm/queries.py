@@ -6,6 +6,7 @@ from webtrail.llm import (  # noqa: F401
     language,
     licenses,
     pieces,
+    pii,
     quality,
     warc,
 )
