@@ -6,6 +6,7 @@ from webtrail.llm import (  # noqa: F401
     html,
     language,
     licenses,
+    ngram_join,
     pieces,
     pii,
     quality,
