@@ -56,7 +56,7 @@ def evidence(docs: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract(F.coalesce(column("declared") if "declared" in have else column("lang"), F.lit("")), "^\\s*([A-Za-z]{2,3})", 1))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), column("text").alias("text"), F.when(declared != "", declared).alias("declared"),
-        F.lower(column("suffix")).alias("suffix"), host.alias("host"))
+        F.lower(column("suffix")).alias("suffix"), host.alias("host"), F.xxhash64(column("text")).alias("text_hash"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -125,11 +125,11 @@ def likelihoods(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFra
             flat = pa.array(scores.ravel())
             ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(logs))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(n), pa.array(letters), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "declared", "suffix", "host", "n", "letters", "fit"])
+                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5), pa.array(n), pa.array(letters), pa.ListArray.from_arrays(ends, flat)],
+                ["doc_id", "declared", "suffix", "host", "text_hash", "n", "letters", "fit"])
 
-    return rows.select("doc_id", "text", "declared", "suffix", "host").mapInArrow(
-        work, "doc_id long, declared string, suffix string, host string, n long, letters double, fit array<double>")
+    return rows.select("doc_id", "text", "declared", "suffix", "host", "text_hash").mapInArrow(
+        work, "doc_id long, declared string, suffix string, host string, text_hash long, n long, letters double, fit array<double>")
 
 
 def softmax(logs) -> F.Column:
@@ -147,13 +147,13 @@ def _reliability(seen: DataFrame, name: str, size: int) -> dict[str, list[float]
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, lang ("und" if rejected), confidence, declared, accepted; a row per document."""
+    """doc_id, text_hash, lang ("und" if rejected), confidence, declared, accepted; a row per document."""
     spark = docs.sparkSession
     rows = evidence(docs)
     langs, model = fit(rows, sample_rows)
     size = len(langs)
     if not size:
-        return rows.select("doc_id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))
+        return rows.select("doc_id", "text_hash", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))
     seen = stored(likelihoods(rows, langs, model).withColumn("post", softmax(F.col("fit"))), "language")
 
     said, ending = _reliability(seen.where("n > 0"), "declared", size), _reliability(seen.where("n > 0"), "suffix", size)
@@ -182,13 +182,20 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     logs = F.col("fit")
     for part in (F.coalesce("host_log", start), F.coalesce("declared_log", none), F.coalesce("suffix_log", none)):
         logs = F.zip_with(logs, part, lambda a, b: a + b)
-    post = joined.select("doc_id", "declared", "letters", softmax(logs).alias("post"))
+    post = joined.select("doc_id", "text_hash", "declared", "letters", softmax(logs).alias("post"))
     best = F.array_max("post")
     accepted = (F.col("letters") >= MIN_LETTERS) & (best >= 0.5)
     lang = F.element_at(F.array(*(F.lit(x) for x in langs)), F.array_position("post", best).cast("int"))
-    return post.select("doc_id", F.when(accepted, lang).otherwise("und").alias("lang"), F.when(F.col("letters") > 0, best).otherwise(0.0).alias("confidence"), "declared", accepted.alias("accepted"))
+    return post.select("doc_id", "text_hash", F.when(accepted, lang).otherwise("und").alias("lang"), F.when(F.col("letters") > 0, best).otherwise(0.0).alias("confidence"), "declared", accepted.alias("accepted"))
 
 
 @query("op7_language_id")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    return identify(table(spark, sf, "documents"))
+    return identify(table(spark, sf, "documents")).drop("text_hash")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents without the rejected ones; a row is known by its id and its text."""
+    rejected = stored(identify(docs).where("NOT accepted").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    return docs.join(rejected, same, "left_anti")

@@ -416,14 +416,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the row with the smallest id (of repeated rows, one)."""
-    groups = stored(join(docs, width, percent), "joined").select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component"))
-    keep = groups.where("_id = _component").select("_id").distinct()
-    mine = docs["doc_id"].cast("long")
-    named = docs.join(keep, mine == F.col("_id"), "left_semi")
-    # Repeated rows of the kept id: only those with its id and text meet here.
-    named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component: the row with the smallest id (of rows that repeat the
+    id, one). Rows with a null id stay."""
+    groups = stored(join(docs, width, percent), "joined")
+    kept = stored(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept-ids")
+    same = docs["doc_id"].cast("long") == F.col("_id")
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    # Only rows of repeated ids are brought together.
+    again = docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
