@@ -94,7 +94,7 @@ def test_trees_find_every_pair_that_can_link():
         codes = np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.integers(1000, 1100, 3))))
         size = ngram_join.prefix_size(len(codes), percent)
         records.append({"node": k, "component": k, "n": len(codes), "size": size, "last": int(codes[size - 1]), "path": codes[:size].tolist(),
-                        "places": list(range(size)), "all": set(codes.tolist())})
+                        "weights": [1] * size, "all": set(codes.tolist())})
     found = set()
     for code in {c for r in records for c in r["path"]}:
         group = [r for r in records if code in r["path"]]

@@ -4,7 +4,8 @@ Every text becomes a set of 64-bit n-gram codes in one global order: frequency c
 fixed-width count sketch over the whole corpus first, rarer before more frequent, then the
 code. Equal sets are one node. Two sets that link share at least `common(n)` codes of their
 prefixes, so nodes with fewer codes that anyone shares drop out without being compared. The
-rest, their shared codes in order, are the paths of prefix trees.
+rest, their shared codes in order, are the paths of prefix trees. Codes that the same nodes
+share are one step of a path, with their number as its weight.
 
 Per shared code the node that shares most is asked first: each node is verified against the
 two such centres it meets most often. What these links join needs no further comparison; only
@@ -137,7 +138,7 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
-    """node, digest, n, last code of the prefix, the prefix with the places of its codes."""
+    """node, digest, n, prefix of every document that has n-grams."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, n, digest, cut = [], [], [], []
@@ -158,106 +159,115 @@ def prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
 # --- candidates ------------------------------------------------------------------------
 
 
-def _live(codes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """node, n, place, code: codes that two nodes share, of nodes that share enough of them."""
+def _live(codes: DataFrame, heads: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """node, code, weight: codes that two nodes share, of nodes that share enough of them. Of
+    codes with the same nodes the first one stands for all; weight is their number."""
+    least = F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
     for k in range(rounds):
         shared = codes.groupBy("code").agg(F.count("*").alias("held")).where("held > 1").select("code")
-        codes = stored(codes.join(shared, "code"), f"live-{k}")
-        least = -F.floor(-F.col("n") * percent / 100)
-        least = F.greatest(F.lit(1), F.floor(least * SHARE / 100))
-        enough = codes.groupBy("node", "n").agg(F.count("*").alias("lives")).where(F.col("lives") >= least).select("node")
-        codes = stored(codes.join(enough, "node").select("node", "n", "place", "code"), f"enough-{k}")
-    return codes
-
-
-def _centres(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n): each node with the two centres that it meets most often."""
-    lives = live.groupBy("node").agg(F.count("*").alias("lives"))
-    weighed = live.join(lives, "node")
+        codes = stored(codes.join(shared, "code").select("node", "code"), f"live-{k}")
+        enough = codes.groupBy("node").agg(F.count("*").alias("lives")).join(heads.select("node", "n"), "node").where(F.col("lives") >= least).select("node")
+        codes = stored(codes.join(enough, "node").select("node", "code"), f"enough-{k}")
+    members = codes.groupBy("code").agg(
+        F.count("*").alias("held"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("held > 1")
+    steps = stored(members.groupBy("held", "low", "high", "h", "g").agg(F.min("code").alias("code"), F.count("*").alias("weight")).select("code", "weight"), "steps")
+    return stored(codes.join(steps, "code").select("node", "code", "weight"), "paths-long")
+
+
+def _centres(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the two centres that it meets most often."""
+    lives = live.groupBy("node").agg(F.sum("weight").alias("lives")).join(heads.select("node", "n"), "node")
+    weighed = stored(live.join(lives, "node"), "weighed")
     centre = stored(weighed.groupBy("code").agg(F.max(F.struct("lives", (-F.col("node")).alias("back"), "n")).alias("top")).select(
         "code", (-F.col("top.back")).alias("b"), F.col("top.n").alias("m")), "centres")
-    met = live.join(centre, "code").where(F.col("node") != F.col("b"))
+    met = weighed.join(centre, "code").where(F.col("node") != F.col("b"))
     met = met.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
-    times = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("times"))
+    times = met.groupBy(F.col("node").alias("a"), "b").agg(F.sum("weight").alias("times"))
     # A node meets no more centres than its prefix has codes.
     best = times.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", (-F.col("b")).alias("back"))), asc=False), 1, 2).alias("best"))
     return best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.back")).alias("b"))
 
 
 class Tree:
-    """A prefix tree of paths; each node knows what its records may still have."""
+    """A prefix tree of weighted paths; each node knows what its records may still share."""
 
-    __slots__ = ("kids", "records", "least", "most_left")
+    __slots__ = ("kids", "records", "least", "most_later", "most_beyond")
 
     def __init__(self):
         self.kids: dict[int, Tree] = {}
         self.records: list[int] = []
         self.least = 1 << 62  # smallest set below
-        self.most_left = 0  # most codes that any record below has after this node
-
-    def add(self, record: int, path, places, n: int) -> None:
-        node = self
-        node.least = min(node.least, n)
-        node.most_left = max(node.most_left, n)
-        for code, place in zip(path, places):
-            node = node.kids.setdefault(code, Tree())
+        self.most_later = 0  # most weight that a record below has after this node
+        self.most_beyond = 0  # most codes that a record below has beyond its prefix
+
+    def add(self, record: int, path: list[int], weights: list[int], n: int, beyond: int) -> None:
+        node, later = self, sum(weights)
+        for code, weight in [(None, 0), *zip(path, weights)]:
+            node = self if code is None else node.kids.setdefault(code, Tree())
+            later -= weight
             node.least = min(node.least, n)
-            node.most_left = max(node.most_left, n - place - 1)
+            node.most_later = max(node.most_later, later)
+            node.most_beyond = max(node.most_beyond, beyond)
         node.records.append(record)
 
-    def walk(self, index: dict[int, int], places, n: int, percent: int) -> Iterator[tuple[int, int]]:
-        """(record, overlap of the paths) of the records that a probe may still link with.
-
-        index: place of each code in the probe's path; places: its codes' places in its set."""
-        codes = sorted(index)
+    def walk(self, start: int, path: list[int], weights: list[int], n: int, beyond: int, percent: int) -> Iterator[tuple[int, int]]:
+        """(record, overlap of the paths) of the records that a probe may still link with and
+        whose first common step with it is `start`."""
+        index = {c: k for k, c in enumerate(path)}
+        later = [0] * (len(path) + 1)  # weight of the probe's steps from each place on
+        for k in range(len(path) - 1, -1, -1):
+            later[k] = later[k + 1] + weights[k]
         stack = [(self, 0, 0)]
         while stack:
             node, overlap, passed = stack.pop()
-            for record in node.records:
-                yield record, overlap
+            if overlap:
+                for record in node.records:
+                    yield record, overlap
             for code, kid in node.kids.items():
                 at = index.get(code)
                 if at is not None:
-                    over, gone = overlap + 1, at + 1
+                    if code < start:
+                        continue  # these pairs meet at that earlier step
+                    over, gone = overlap + weights[at], at + 1
                 else:
+                    if code > start and not overlap:
+                        continue
                     over, gone = overlap, passed
-                    while gone < len(codes) and codes[gone] < code:
+                    while gone < len(path) and path[gone] < code:
                         gone += 1
-                left = n - (places[gone - 1] + 1 if gone else 0)
-                if (over + min(kid.most_left, left)) * (100 + percent) >= percent * (kid.least + n):
+                most = over + min(kid.most_later, later[gone]) + max(kid.most_beyond, beyond)
+                if most * (100 + percent) >= percent * (kid.least + n):
                     stack.append((kid, over, gone))
 
 
 def tree_pairs(code: int, held: list[dict], asked: list[dict], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of `asked` and `held` records of different components whose first common code is
+    """Pairs of `asked` and `held` records of different components whose first common step is
     `code` and whose paths do not rule a link out."""
     tree = Tree()
     for k, r in enumerate(held):
-        tree.add(k, r["path"], r["places"], r["n"])
+        tree.add(k, r["path"], r["weights"], r["n"], r["n"] - r["size"])
     for q in asked:
-        index = {c: i for i, c in enumerate(q["path"])}
-        for k, overlap in tree.walk(index, q["places"], q["n"], percent):
+        for k, overlap in tree.walk(code, q["path"], q["weights"], q["n"], q["n"] - q["size"], percent):
             r = held[k]
-            if r["component"] == q["component"]:
-                continue
-            first = r if r["last"] <= q["last"] else q
-            if (overlap + first["n"] - first["size"]) * (100 + percent) < percent * (r["n"] + q["n"]):
-                continue
-            if next(c for c in r["path"] if c in index) == code:
-                yield q["node"], r["node"]
+            if r["component"] != q["component"]:
+                # Common codes up to the smaller last one are all in both paths.
+                first = r if r["last"] <= q["last"] else q
+                if (overlap + first["n"] - first["size"]) * (100 + percent) >= percent * (r["n"] + q["n"]):
+                    yield q["node"], r["node"]
 
 
 def _across(live: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of nodes in different components."""
-    placed = live.join(groups, "node", "left").select("node", "code", "place", F.coalesce("component", "node").alias("component"))
+    placed = live.join(groups, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component"))
     counted = placed.groupBy("code", "component").agg(F.count("*").alias("c"))
     mixed = counted.groupBy("code").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK)).cast("int"))
     mixed = stored(mixed.select("code", F.col("top.component").alias("large"), blocks(F.col("top.c")).alias("ni"), blocks(F.col("all") - F.col("top.c")).alias("nj")), "mixed")
 
-    paths = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("code", "place"))).alias("p"))  # a node's own prefix
+    paths = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("code", "weight"))).alias("p"))  # a node's own prefix
     paths = paths.join(groups, "node", "left").join(heads, "node").select(
-        "node", F.coalesce("component", "node").alias("component"), "n", "size", "last", F.col("p.code").alias("path"), F.col("p.place").alias("places"))
+        "node", F.coalesce("component", "node").alias("component"), "n", "size", "last", F.col("p.code").alias("path"), F.col("p.weight").alias("weights"))
     paths = stored(paths, "paths")
     rows = placed.select("node", "code", "component").join(mixed, "code")
     big = F.col("component") == F.col("large")
@@ -399,13 +409,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     heads = prefixes(docs, width, percent, classes).join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
     heads = stored(heads.select("node", "digest", "n", "prefix"), "prefixes")
     # Several sets can only share a node where an id is repeated with another text.
-    codes = heads.select("node", "n", F.posexplode("prefix").alias("place", "code"))
-    live = _live(codes, percent)
+    live = _live(heads.select("node", F.explode("prefix").alias("code")), heads, percent)
     alive = live.select("node").distinct()
     kept = stored(heads.join(alive, "node").select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last")), "kept")
     sets = stored(whole_sets(docs, kept, width), "whole")
 
-    first = stored(verified(_centres(live, percent), sets, percent), "links-centres")
+    first = stored(verified(_centres(live, kept, percent), sets, percent), "links-centres")
     groups = components(first)
     second = stored(verified(_across(live, kept.drop("digest"), groups, percent), sets, percent), "links-across")
     groups = components(first.unionByName(second))

@@ -158,7 +158,8 @@ class Lattices:
         # Level by level: the edges that end at the j-th position of any unit.
         end = node + width
         level = end - self.begin[unit[start]]
-        order = np.argsort(level * (len(chars) + len(size) + 1) + end)
+        # The key names an edge fully, so a unit's edges have one order in every slice.
+        order = np.argsort((level * (len(chars) + len(size) + 1) + end) * (prefixes.longest + 1) + width)
         node, end, put, weight, level = node[order], end[order], put[order], weight[order], level[order]
         heads = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
         turns = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
@@ -171,10 +172,16 @@ class Lattices:
         self.source, self.put = node, put
         self.head = np.zeros(len(reach), np.int64)  # of each node, its first edge; the others follow
         self.head[end[heads]] = heads
-        upto = np.cumsum(np.exp(reach[node] + weight - reach[end]))
-        before = np.concatenate(([0.0], upto))[heads]
         bounds = np.concatenate((heads, [len(end)]))
-        self.upto = upto - np.repeat(before, np.diff(bounds))  # cumulative probability in the node
+        # Cumulative probability in each node, summed from its first edge: what else is in the
+        # slice leaves no rounding behind.
+        self.upto = np.exp(reach[node] + weight - reach[end])
+        count = np.diff(bounds)
+        more = heads[count > 1]
+        left = count[count > 1] - 1
+        while len(more):
+            self.upto[more + 1] += self.upto[more]
+            more, left = more[left > 1] + 1, left[left > 1] - 1
         self.upto[bounds[1:] - 1] = 1.0
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
