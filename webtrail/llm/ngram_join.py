@@ -137,9 +137,11 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, digest binary, slice int, part binary")
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
-    """node, digest, n, prefix of every document that has n-grams."""
+def prefixes(docs: DataFrame, width: int, percent: int, classes, copies) -> DataFrame:
+    """node, digest, n, prefix, copy of every document that has n-grams; copy: its id may be
+    among those of `copies`."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = _unpacked(copies)
         for batch in batches:
             rows, n, digest, cut = [], [], [], []
             for row, codes in _sets(batch.column(1), width):
@@ -149,23 +151,35 @@ def prefixes(docs: DataFrame, width: int, percent: int, classes) -> DataFrame:
                 cut.append(ordered(codes, classes.value)[:prefix_size(len(codes), percent)].astype(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int32)
             flat = np.concatenate(cut) if cut else np.zeros(0, np.int64)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            maybe = ids.is_null().to_numpy(zero_copy_only=False) | _maybe(flags, ids.fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["node", "digest", "n", "prefix"])
+                [ids, pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(maybe)],
+                ["node", "digest", "n", "prefix", "copy"])
 
-    return docs.mapInArrow(work, "node long, digest binary, n long, prefix array<long>")
+    return docs.mapInArrow(work, "node long, digest binary, n long, prefix array<long>, copy boolean")
 
 
 # --- candidates ------------------------------------------------------------------------
 
 
+def _of(codes: DataFrame, wanted) -> DataFrame:
+    """The rows whose code may be among the wanted ones."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = _unpacked(wanted)
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe(flags, batch.column(1).to_numpy())))
+
+    return codes.mapInArrow(work, "node long, code long")
+
+
 def _live(codes: DataFrame, heads: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """node, code, weight: codes that two nodes share, of nodes that share enough of them. Of
     codes with the same nodes the first one stands for all; weight is their number."""
     least = F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
     for k in range(rounds):
-        shared = codes.groupBy("code").agg(F.count("*").alias("held")).where("held > 1").select("code")
-        codes = stored(codes.join(shared, "code").select("node", "code"), f"live-{k}")
+        shared = stored(codes.groupBy("code").agg(F.count("*").alias("held")).where("held > 1").select("code"), f"shared-{k}")
+        codes = stored(_of(codes, bitmap(shared)).join(shared, "code").select("node", "code"), f"live-{k}")
         enough = codes.groupBy("node").agg(F.count("*").alias("lives")).join(heads.select("node", "n"), "node").where(F.col("lives") >= least).select("node")
         codes = stored(codes.join(enough, "node").select("node", "code"), f"enough-{k}")
     members = codes.groupBy("code").agg(
@@ -183,7 +197,8 @@ def _centres(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         "code", (-F.col("top.back")).alias("b"), F.col("top.n").alias("m")), "centres")
     met = weighed.join(centre, "code").where(F.col("node") != F.col("b"))
     met = met.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
-    times = met.groupBy(F.col("node").alias("a"), "b").agg(F.sum("weight").alias("times"))
+    times = met.groupBy(F.col("node").alias("a"), "b").agg(F.sum("weight").alias("times"), F.first("n").alias("n"))
+    times = times.where(F.col("times") * 100 >= F.col("n") * SHARE)  # the likely ones; the others are met across
     # A node meets no more centres than its prefix has codes.
     best = times.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", (-F.col("b")).alias("back"))), asc=False), 1, 2).alias("best"))
     return best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.back")).alias("b"))
@@ -324,9 +339,10 @@ def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & mask).astype(np.int64), ((x >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, codes of the wanted nodes. A bitmap of fixed width lets the pass over the texts
-    skip nearly all others, so that no text is shuffled; the join that follows is exact."""
+def bitmap(ids: DataFrame):
+    """A bitmap of fixed width (2 MB) that holds the values of a column of longs, broadcast: it
+    says "no" for certain or "maybe". It spares most rows a shuffle while the values are not too
+    many for it; what it lets through is always joined exactly."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << BITMAP_BITS, bool)
         for batch in batches:
@@ -334,16 +350,28 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 flags[at] = True
         yield _sliced(np.packbits(flags))
 
+    return ids.sparkSession.sparkContext.broadcast(_combined(ids.mapInArrow(mark, "slice int, part binary"), "uint8", np.bitwise_or))
+
+
+def _unpacked(shared) -> np.ndarray:
+    return np.unpackbits(shared.value).astype(bool) if len(shared.value) else np.zeros(1 << BITMAP_BITS, bool)
+
+
+def _maybe(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    one, two = _bits(ids)
+    return flags[one] & flags[two]
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, codes of the wanted nodes; the bitmap lets the pass over the texts skip nearly all
+    others, so that no text is shuffled."""
     wanted = nodes.select("node", "digest")
-    flags = np.unpackbits(_combined(wanted.select("node").mapInArrow(mark, "slice int, part binary"), "uint8", np.bitwise_or)).astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))  # 2 MB
+    shared = bitmap(wanted.select("node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(shared.value).astype(bool)
+        flags = _unpacked(shared)
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
-            one, two = _bits(ids)
-            rows = np.flatnonzero(flags[one] & flags[two]) if len(flags) else np.zeros(0, np.int64)
+            rows = np.flatnonzero(_maybe(flags, batch.column(0).fill_null(0).to_numpy()))
             if not len(rows):
                 continue
             keep = batch.take(pa.array(rows))
@@ -406,9 +434,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     classes = spark.sparkContext.broadcast(frequency_classes(_combined(seen.where("slice IS NOT NULL").select("slice", "part"), "int32", lambda a, b: (a.astype(np.int64) + b).clip(max=(1 << 31) - 1).astype(np.int32))))
     nodes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
 
-    heads = prefixes(docs, width, percent, classes).join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
-    heads = stored(heads.select("node", "digest", "n", "prefix"), "prefixes")
-    # Several sets can only share a node where an id is repeated with another text.
+    # Documents that are no first copy, or that repeat an id, are told apart exactly; the bitmap
+    # of their ids spares the others the shuffle. An id repeated with another text is one node
+    # with several sets.
+    named = rows.where("n > 0 AND doc_id IS NOT NULL")
+    others = named.join(nodes, "digest").where("doc_id <> node").select("doc_id").unionByName(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    every = stored(prefixes(docs, width, percent, classes, bitmap(others)), "prefixes")
+    told = every.where("copy AND node IS NOT NULL").join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
+    heads = every.where("NOT copy").unionByName(stored(told.select(every.columns), "told"))
     live = _live(heads.select("node", F.explode("prefix").alias("code")), heads, percent)
     alive = live.select("node").distinct()
     kept = stored(heads.join(alive, "node").select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last")), "kept")
