@@ -11,15 +11,19 @@ def grams(words, width):
 
 
 def best(text, item, similarity=0.8):
-    """The best similarity of any item-sized window, and its first word."""
+    """The best similarity of the item-sized windows that begin where a shared shingle says that
+    the item would, and the window's first word."""
     words, wanted = re.findall(r"[^\W_]+", (text or "").lower()), re.findall(r"[^\W_]+", (item or "").lower())
     if not words or not wanted:
         return None
     width = min(5, len(wanted))
     own = Counter(grams(wanted, width))
     top = None
-    for start in range(-len(wanted) + width, len(words)):
-        have = Counter(grams(words[max(0, start):max(0, start + len(wanted))], width))
+    places = {}
+    for k, gram in enumerate(grams(wanted, width)):
+        places.setdefault(gram, []).append(k)
+    for start in sorted({at - k for at, gram in enumerate(grams(words, width)) for k in places.get(gram, [])}):
+        have = Counter(grams(words[max(0, start):start + len(wanted)], width))
         both = sum((own & have).values())
         value = both / max(1, sum((own | have).values()))
         if value >= similarity - 1e-12 and (top is None or value > top[0]):

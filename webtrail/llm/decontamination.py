@@ -1,7 +1,8 @@
 """Benchmark passages in documents, in DataFrame functions alone.
 
 A window is as many words of a document as an item has. Windows are anchored: a shingle of the
-document that an item holds too says where the item would begin. Only (document, item) pairs
+document that an item holds too says where the item would begin; other windows are not looked
+at, and at the ends of a document windows are cut. Only (document, item) pairs
 whose shared shingles cover enough of the item are followed, which loses nothing, since the
 similarity asked for cannot be reached otherwise. Their windows get a 64-bit SimHash, summed
 bit by bit over weighted shingles; RADIUS + 1 blocks of its bits are looked up in an index of
@@ -124,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     mine = window.groupBy(*keys, "shingle").agg(F.count("*").alias("c")).join(near, keys)
     theirs = bag.groupBy("item_id", "shingle").agg(F.count("*").alias("d"))
     shared = mine.join(_small(theirs, total), ["item_id", "shingle"], "left").groupBy(*keys).agg(
-        F.sum("c").alias("have"), F.sum(F.coalesce(F.least("c", "d"), F.lit(0))).alias("both"))
+        F.sum("c").alias("have"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("both"))
     likeness = F.col("both") / (F.col("have") + F.col("size") - F.col("both"))
     best = shared.select("doc", "text_hash", "item_id", "width", "size", "start", likeness.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
     best = best.groupBy("doc", "text_hash", "item_id", "width", "size").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("top"))
