@@ -110,7 +110,7 @@ def test_file_rules(spark, web_root):
     assert [os.path.relpath(r.path, web_root) for r in webroot.inert_files(content).collect()] == ["images/empty.php"]
     (skip,) = webroot.skipped_files(content).collect()
     assert skip.reason.startswith("too large")
-    assert webroot.digests(content, found).count() == 6
+    assert webroot.digests(content, found).count() == 7  # the large file has a digest too
     own = webroot.own_rule_findings(content, [("own.x", "X", None, "x")]).filter(F.col("path").endswith("text.php"))
     assert own.count() == 0
     content.unpersist()
@@ -279,3 +279,46 @@ def test_sigma_files():
         "good.yml": "title: T\nid: a\nlevel: high\ndetection:\n  s:\n    c-uri|contains: x\n  condition: s\n",
         "off.yml": "title: T\nid: b\ndetection:\n  s:\n    c-uri: x\n  condition: s\n", "bad.yml": "title: [", "agg.yml": "title: T\nid: c\ndetection:\n  s:\n    c-uri: x\n  condition: s | count()\n"}, ["b"])
     assert [r["id"] for r in usable] == ["a"] and [b[1] for b in broken] == ["agg.yml", "bad.yml"]
+
+
+def test_large_files_are_scanned_and_compared(spark, tmp_path):
+    pad = b"<?php // padding\n" * 400_000  # 6.8 MB
+    for side, tail in (("a", b""), ("b", b"")):
+        (tmp_path / side / "lib").mkdir(parents=True)
+        (tmp_path / side / "lib" / "same.php").write_bytes(pad + b"<?php system($_GET['c']);\n")
+        (tmp_path / side / "lib" / "huge.bin").write_bytes(b"x" * (40 * 2**20))
+        (tmp_path / side / "lib" / "other.php").write_bytes(pad + (b"1" if side == "a" else b"2"))
+    left, right = (files.contents(spark, [f"{tmp_path}/{s}"], f"{tmp_path}/{s}") for s in "ab")
+    diff = {r.rel: r.status for r in webroot.tree_diff(webroot.tree(left), webroot.tree(right)).collect()}
+    assert diff == {"lib/same.php": "identical", "lib/huge.bin": "identical", "lib/other.php": "modified"}
+    assert webroot.findings(left).filter("line is not null").count() == 0
+    found = webroot.findings(left, pieces=files.large_texts(left)).filter("line is not null").collect()
+    assert found and {(os.path.basename(r.artifact), r.line) for r in found} == {("same.php", 400_001)}
+
+
+def test_links_brackets_and_missing_targets(spark, tmp_path):
+    root = tmp_path / "g[1]"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "a.php").write_text("<?php")
+    (root / "sub" / ".htaccess").write_text("x")
+    os.symlink(root, root / "sub" / "loop")
+    os.symlink(root / "sub" / "a.php", root / "link.php")
+    got = sorted(os.path.relpath(r.path, root) for r in files.listing(spark, [str(root)]).collect())
+    assert got == ["sub/.htaccess", "sub/a.php"]
+    with pytest.raises(FileNotFoundError):
+        files.listing(spark, [str(tmp_path / "absent")])
+
+
+def test_trees_that_were_not_read_are_not_called_modified(spark):
+    schema = "path string, root string, length long, content binary"
+    left = spark.createDataFrame([("/a/x", "/a", 5, None), ("/a/y", "/a", 5, b"12345")], schema)
+    right = spark.createDataFrame([("/b/x", "/b", 5, None), ("/b/y", "/b", 5, None)], schema)
+    assert {r.status for r in webroot.tree_diff(webroot.tree(left), webroot.tree(right)).collect()} == {"unread"}
+
+
+def test_long_patterns_stay_and_skipped_entries_say_why(spark):
+    from webtrail.operators import hunt
+
+    library = spark.createDataFrame([("nine", [f"/path{k}" for k in range(9)]), ("short", ["a*"]), ("none", [])], "name string, patterns array<string>")
+    assert [r.name for r in hunt.usable_paths(library).collect()] == ["nine"]
+    assert {(r.name, r.reason[:7]) for r in hunt.skipped_entries(library).collect()} == {("short", "a path "), ("none", "no path")}

@@ -28,7 +28,7 @@ def matches(uri: Column, path: str) -> Column:
 
 
 def check_paths(paths) -> list[str]:
-    """The paths of one pattern: substantial, no duplicates, not too many."""
+    """The paths of one pattern: substantial, no duplicates; any number of them."""
     kept: dict[str, str] = {}
     for raw in [paths] if isinstance(paths, str) else (paths or []):
         path = str(raw or "").strip()
@@ -37,8 +37,6 @@ def check_paths(paths) -> list[str]:
         kept.setdefault(path.lower(), path)
     if not kept:
         raise ValueError("a pattern needs at least one path")
-    if len(kept) > fixed.MAX_PATTERN_PATHS:
-        raise ValueError(f"at most {fixed.MAX_PATTERN_PATHS} paths in one pattern")
     return list(kept.values())
 
 
@@ -49,11 +47,20 @@ def usable_paths(library: DataFrame) -> DataFrame:
         trimmed, lambda p, i: ~F.exists(F.slice(trimmed, F.lit(1), i), lambda q: F.lower(q) == F.lower(p)))
     return (
         library.withColumn("patterns", first_spelling)
-        .filter(F.size("patterns").between(1, fixed.MAX_PATTERN_PATHS))
+        .filter(F.size("patterns") >= 1)
         .filter(F.forall("patterns", lambda p: F.length(F.replace(p, F.lit("*"), F.lit(""))) >= fixed.MIN_PATTERN_LENGTH))
     )
 
 
+def skipped_entries(library: DataFrame) -> DataFrame:
+    """The library entries that `usable_paths` leaves out, each with a reason."""
+    trimmed = F.filter(F.transform("patterns", lambda p: F.trim(p)), lambda p: p != "")
+    short = F.exists(trimmed, lambda p: F.length(F.replace(p, F.lit("*"), F.lit(""))) < fixed.MIN_PATTERN_LENGTH)
+    reason = F.when(F.coalesce(F.size(trimmed), F.lit(0)) < 1, "no path").when(
+        short, f"a path has fewer than {fixed.MIN_PATTERN_LENGTH} characters besides wildcards")
+    return library.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def path_hits(requests: DataFrame, paths: list[str]) -> DataFrame:
     """One row per (request, matching path); a request may match several."""
     tests = F.array_compact(F.array(*[F.when(matches(F.col("uri"), p), F.lit(i)) for i, p in enumerate(paths)]))

@@ -108,6 +108,26 @@ def line_findings(texts: DataFrame, rules) -> DataFrame:
         truncate(readable(F.col("content_line")), 160).alias("evidence"))
 
 
+def large_findings(pieces: DataFrame) -> DataFrame:
+    """The content rules of a line, the handler rules and the image rule over the pieces of large
+    files (`sources.files.large_texts`): no file is too large to be scanned. Pieces end with a
+    line, so the line rules see every line; a finding of the file is made once."""
+    named = typed(pieces.withColumn("_length", F.col("length")).withColumn("length", F.length("content").cast("long")).withColumn(
+        "path", F.concat_ws("\u0001", "path", F.col("first_line").cast("string"))))
+    base = F.lower(uris.basename(F.substring_index("path", "\u0001", 1)))
+    named = named.select("path", "root", "content", "length", base.alias("base"), "site", is_.is_php_name(base).alias("is_php"), is_.is_image_name(base).alias("is_image"),
+                         (base == ".htaccess").alias("is_htaccess"), is_.double_extension(base).alias("double_ext"))
+    php = latin(named.filter(_plain_php())).select("path", "text")
+    images = latin(named.filter("is_image"))
+    found = line_findings(php, fixed.CONTENT_RULES)
+    place = F.substring_index("path", "\u0001", 1)
+    found = found.select(place.alias("path"), "rule_id", "severity", "rule", (F.col("line") + F.substring_index("path", "\u0001", -1).cast("long")).alias("line"), "evidence")
+    hit = F.lower("text").contains("<?php") | is_.short_tag_is_source(F.col("text"))
+    struct = _finding("webshell.php_in_image", F.concat(F.lit("'<?php' tag found in "), is_.extension(F.col("base")), F.lit(" file")))
+    shown = images.filter(hit).select(place.alias("path"), F.inline(F.array(struct))).dropDuplicates(["path"])
+    return found.unionByName(shown.select(found.columns))
+
+
 def content_findings(files: DataFrame) -> DataFrame:
     """The content rules, on PHP files only."""
     texts = latin(typed(files).filter(_plain_php())).select("path", "text")
@@ -160,9 +180,11 @@ def own_rule_findings(files: DataFrame, rules, limit: int = fixed.OWN_RULE_MATCH
         F.array_join(F.transform(offsets, lambda o: F.concat(F.col("r.rule_id"), F.lit("@"), o.cast("string"))), ", ").alias("evidence"))
 
 
-def findings(files: DataFrame, disabled: list[str] | None = None) -> DataFrame:
-    """All built-in file rules as findings on the file."""
+def findings(files: DataFrame, disabled: list[str] | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """All built-in file rules as findings on the file. `pieces`: large files in pieces."""
     rows = structural_findings(files).unionByName(content_findings(files)).unionByName(htaccess_findings(files))
+    if pieces is not None:
+        rows = rows.unionByName(large_findings(pieces))
     rows = rows.filter(is_.rule_enabled(F.col("rule_id"), disabled or []))
     return rows.select(
         F.lit("webshell").alias("source"), "severity", "rule", "rule_id", F.lit("file").alias("artifact_kind"),
@@ -173,9 +195,13 @@ def findings(files: DataFrame, disabled: list[str] | None = None) -> DataFrame:
 def digests(files: DataFrame, flagged: DataFrame) -> DataFrame:
     """SHA-256 of flagged files only: the semi join stands before the hash."""
     wanted = flagged.select(F.col("artifact").alias("path")).distinct()
-    return (files.filter((F.col("length") <= fixed.HASH_CAP_BYTES) & F.col("content").isNotNull())
-            .join(wanted, "path", "left_semi")
-            .select(F.col("path").alias("artifact"), F.sha2("content", 256).alias("sha256")))
+    known = files.join(wanted, "path", "left_semi").select(F.col("path").alias("artifact"), _digest_of(files).alias("sha256"))
+    return known.filter(F.col("sha256").isNotNull())
+
+
+def _digest_of(files: DataFrame) -> Column:
+    """The digest that was made where the file was read, else that of its content."""
+    return F.coalesce(F.col("digest"), F.sha2("content", 256)) if "digest" in files.columns else F.sha2("content", 256)
 
 
 # --- comparison with a reference tree ------------------------------------------
@@ -183,23 +209,25 @@ def digests(files: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def tree(files: DataFrame) -> DataFrame:
     """rel, size and digest of one tree. The digest is computed where the bytes are
-    read, so content never crosses a shuffle; above the cap there is none."""
+    read, so content never crosses a shuffle; a file that was not read has none."""
     root = F.rtrim(uris.forward_slashes(F.col("root")), F.lit("/"))
     return files.select(
         F.substr(uris.forward_slashes(F.col("path")), F.length(root) + 2).alias("rel"), F.col("length").alias("size"),
-        F.when(F.col("length") <= fixed.HASH_CAP_BYTES, F.sha2("content", 256)).alias("digest"))
+        _digest_of(files).alias("digest"))
 
 
 def tree_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both trees by relative path: extra, missing, modified, too_big or identical.
-    Every path is kept; the size decides before the digest does."""
+    """Both trees by relative path: extra, missing, modified, identical, or, where sizes are
+    equal and a side was not read, too_big (above the size for digests) or unread. Every path
+    is kept; the size decides before the digest does."""
     l = left.select("rel", F.col("size").alias("l_size"), F.col("digest").alias("l_digest"))
     r = right.select("rel", F.col("size").alias("r_size"), F.col("digest").alias("r_digest"))
     status = (
         F.when(F.col("r_size").isNull(), "extra").when(F.col("l_size").isNull(), "missing")
         .when(F.col("l_size") != F.col("r_size"), "modified")
-        .when(F.col("l_size") > fixed.HASH_CAP_BYTES, "too_big")
-        .when(F.coalesce(F.col("l_digest") == F.col("r_digest"), F.lit(False)), "identical").otherwise("modified")
+        .when(F.col("l_digest") == F.col("r_digest"), "identical")
+        .when(F.col("l_digest").isNotNull() & F.col("r_digest").isNotNull(), "modified")
+        .when(F.col("l_size") > fixed.HASH_CAP_BYTES, "too_big").otherwise("unread")
     )
     return l.join(r, "rel", "full_outer").select(
         "rel", status.alias("status"), F.coalesce("l_size", F.lit(0)).cast("long").alias("size"),

@@ -9,12 +9,9 @@ from webtrail import fixed_values as fixed
 from webtrail.operators import dumps as ops
 from webtrail.sources import files as file_source
 
-# The endings of an export.
-SQL_ENDINGS = (".sql", ".sql.gz", ".sql.bz2")
-
 
 def dump_files(listing: DataFrame) -> DataFrame:
-    return listing.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in SQL_ENDINGS) + ")$"))
+    return listing.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in fixed.DUMP_SUFFIXES) + ")$"))
 
 
 def dump_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 import bz2
 import codecs
 import gzip
+import hashlib
 import io
 import lzma
+import os
 import re
 
 import pandas as pd
@@ -23,6 +25,7 @@ from webtrail import fixed_values as fixed
 _HEAD_SCHEMA = ("path string, length long, mtime long, head binary, first_line string, first_lines array<string>,"
                 " compressed boolean, error string")
 _OPENERS = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
+CHUNK_BYTES = 4 * 1024 * 1024
 _LINE_SCHEMA = "path string, block long, pos long, value string"
 
 
@@ -31,9 +34,44 @@ def listing(spark: SparkSession, targets: list[str]) -> DataFrame:
 
     Spark's scan passes over names that begin with a dot or an underscore. In evidence
     those are the ones to look at (.htaccess), so they are listed beside it."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
-    seen = read.select(plain_path().alias("path"), "length", F.unix_seconds("modificationTime").alias("mtime"))
-    return seen.unionByName(hidden(spark, targets))
+    seen = _scan(spark, targets).select(plain_path().alias("path"), "length", F.unix_seconds("modificationTime").alias("mtime"))
+    return _without_links(seen, targets).unionByName(hidden(spark, targets))
+
+
+def literal(target: str) -> str:
+    """A target whose name the scan does not read as a pattern."""
+    return re.sub(r"([\\[\]{}*?])", r"\\\1", target)
+
+
+def _scan(spark: SparkSession, targets: list[str]) -> DataFrame:
+    for target in targets:
+        system, inner = _filesystem(target)
+        if system.get_file_info(inner).type.name == "NotFound":
+            raise FileNotFoundError(target)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([literal(t) for t in targets])
+
+
+def _linked(path: str, bases: list[str]) -> bool:
+    """Whether a local path leads over a symbolic link below its target."""
+    base = next((b for b in bases if path.startswith(b + "/")), None)
+    if base is None or "://" in path:
+        return False
+    parts = path[len(base) + 1:].split("/")
+    return any(os.path.islink("/".join([base, *parts[:k + 1]])) for k in range(len(parts)))
+
+
+def _without_links(files: DataFrame, targets: list[str]) -> DataFrame:
+    """Files reached without a symbolic link: a link may lead out of the evidence or in a
+    circle. Only local file systems have them; other paths pass untouched."""
+    bases = [t.rstrip("/") for t in targets if "://" not in t]
+    if not bases:
+        return files
+
+    def keep(frames):
+        for frame in frames:
+            yield frame[[not _linked(p, bases) for p in frame["path"]]]
+
+    return files.mapInPandas(keep, files.schema)
 
 
 def plain_path(column: str = "path"):
@@ -62,7 +100,7 @@ def _walk(frames):
             if prefix == "" or prefix.endswith("//"):
                 base = base[len(prefix):]
             rows = [(prefix + i.path, i.size, int(i.mtime.timestamp()) if i.mtime else 0) for i in infos
-                    if i.type == fs.FileType.File and _is_hidden(i.path, base)]
+                    if i.type == fs.FileType.File and _is_hidden(i.path, base) and not (prefix == "" and _linked(i.path, [base.rstrip("/")]))]
             yield pd.DataFrame(rows, columns=["path", "length", "mtime"]).astype({"length": "int64", "mtime": "int64"})
 
 
@@ -105,18 +143,60 @@ def _read_whole(frames):
 
 
 def contents(spark: SparkSession, targets: list[str], root: str, max_bytes: int = fixed.MAX_CONTENT_BYTES) -> DataFrame:
-    """Files with their bytes up to a size; larger ones come with NULL content.
-
-    The size filter is pushed into the scan, so large files are listed but never read."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(targets)
-    small = read.filter(F.col("length") <= max_bytes).select(plain_path().alias("path"), "length", "content")
-    large = read.filter(F.col("length") > max_bytes).select(plain_path().alias("path"), "length", F.lit(None).cast("binary").alias("content"))
-    others = hidden(spark, targets)
-    small_others = others.filter(F.col("length") <= max_bytes).select("path", "length").mapInPandas(
-        _read_whole, "path string, length long, content binary")
-    large_others = others.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    both = small.unionAll(large).unionAll(small_others).unionAll(large_others)
-    return both.select("path", F.lit(root).alias("root"), "length", "content")
+    """Files with their bytes up to a size. Larger ones have NULL content here, but a digest;
+    `large_texts` reads them whole, in pieces. A file that cannot be read has neither.
+
+    The size filter is pushed into the scan of the small ones."""
+    scan = _scan(spark, targets)
+    names = _without_links(scan.select(plain_path().alias("path"), "length"), targets).unionByName(hidden(spark, targets).select("path", "length"))
+    small = names.filter(F.col("length") <= max_bytes).mapInPandas(_read_whole, "path string, length long, content binary")
+    large = names.filter(F.col("length") > max_bytes).mapInPandas(_digest, "path string, length long, digest string")
+    both = small.withColumn("digest", F.sha2("content", 256)).unionByName(large.withColumn("content", F.lit(None).cast("binary")))
+    return both.select("path", F.lit(root).alias("root"), "length", "content", "digest")
+
+
+def _digest(frames):
+    for frame in frames:
+        for path, length in frame[["path", "length"]].itertuples(index=False):
+            seen: str | None = None
+            try:
+                system, inner = _filesystem(path)
+                state = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while data := stream.read(CHUNK_BYTES):
+                        state.update(data)
+                seen = state.hexdigest()
+            except OSError:
+                pass
+            yield pd.DataFrame({"path": [path], "length": [length], "digest": pd.Series([seen], dtype=object)})
+
+
+def _pieces(frames):
+    for frame in frames:
+        for path, root, length in frame[["path", "root", "length"]].itertuples(index=False):
+            try:
+                system, inner = _filesystem(path)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    rest, line, number = b"", 0, 0
+                    while True:
+                        data = stream.read(CHUNK_BYTES)
+                        whole = rest + data
+                        cut = whole.rfind(b"\n") + 1 if data else len(whole)
+                        piece, rest = whole[:cut], whole[cut:]
+                        if piece:
+                            yield pd.DataFrame({"path": [path], "root": [root], "length": [length], "piece": [number], "first_line": [line], "content": [piece]})
+                            number, line = number + 1, line + piece.count(b"\n")
+                        if not data:
+                            break
+            except OSError:
+                continue  # it has no digest either, which a finding says
+
+
+def large_texts(files: DataFrame, max_bytes: int = fixed.MAX_CONTENT_BYTES) -> DataFrame:
+    """path, root, length, piece, first_line, content: the files above a size whole, as pieces of
+    about CHUNK_BYTES that end with a line, each with the number of lines before it."""
+    rows = files.filter((F.col("length") > max_bytes) & F.col("content").isNull()).select("path", "root", "length")
+    return rows.mapInPandas(_pieces, "path string, root string, length long, piece long, first_line long, content binary")
 
 
 def _open(path: str):
