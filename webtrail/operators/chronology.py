@@ -133,12 +133,12 @@ def event_order() -> list[Column]:
     return [F.asc("at"), F.asc("kind"), F.asc("artifact"), F.asc("title"), F.asc("detail")]
 
 
-def capped(events: DataFrame, cap: int | None = fixed.EVENT_CAP) -> DataFrame:
+def capped(events: DataFrame, cap: int | None = None) -> DataFrame:
     """The first events of the story (a top-k), or with no cap the whole sequence."""
     return events if cap is None else events.orderBy(*event_order()).limit(cap)
 
 
-def missing_from_story(confirmed: DataFrame, events: DataFrame, cap: int | None = fixed.EVENT_CAP) -> DataFrame:
+def missing_from_story(confirmed: DataFrame, events: DataFrame, cap: int | None = None) -> DataFrame:
     """Confirmed artifacts the story does not show, and why: nothing dates them, or
     their events lie beyond the cap."""
     shown = capped(events, cap).select("artifact").distinct()
@@ -151,7 +151,7 @@ def missing_from_story(confirmed: DataFrame, events: DataFrame, cap: int | None
     )
 
 
-def gap_statements(confirmed: DataFrame, events: DataFrame, span_first: DataFrame, cap: int = fixed.EVENT_CAP,
+def gap_statements(confirmed: DataFrame, events: DataFrame, span_first: DataFrame, cap: int | None = None,
                    clock_logs: int = 0, clock_dump: int = 0) -> DataFrame:
     """What the story cannot say, as flags in one row. ``span_first``: one value, the
     displayed time of the log's first request."""
@@ -167,7 +167,7 @@ def gap_statements(confirmed: DataFrame, events: DataFrame, span_first: DataFram
         ((F.col("confirmed") > 0) & (F.col("events") == 0)).alias("no_times"),
         F.coalesce(F.col("first_at") - F.col("log_start") < 60, F.lit(False)).alias("at_log_start"),
         ((F.col("files") > 0) & (F.col("successes") == 0)).alias("only_attempts"),
-        (F.col("events") > cap).alias("truncated"),
+        (F.lit(False) if cap is None else F.col("events") > cap).alias("truncated"),
         F.lit(clock_logs != 0).alias("logs_clock_set"), F.lit(clock_dump != 0).alias("dump_clock_set"),
         F.col("events").alias("total_events"))
 

@@ -98,11 +98,12 @@ def rule_summary(confirmed: DataFrame) -> DataFrame:
 
 
 def collect_confirmed(confirmed: DataFrame, touched: DataFrame, digests: DataFrame, roots: list[str], now: int,
-                      requesters: int = 25, hosts: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+                      requesters: int | None = None, hosts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Indicators, edges and provenance that follow from confirmed findings.
 
     ``confirmed``: findings of confirmed artifacts; ``touched``: (artifact, ip, hits,
-    ok_hits); ``digests``: (artifact, sha256).
+    ok_hits); ``digests``: (artifact, sha256). All requesters and hosts are collected unless
+    the caller wants the strongest only.
     """
     arts = rule_summary(confirmed).withColumn("origin", F.concat(F.lit("confirmed: "), F.col("rules")))
     files = arts.filter(F.col("artifact_kind") == "file").withColumn(
@@ -117,9 +118,9 @@ def collect_confirmed(confirmed: DataFrame, touched: DataFrame, digests: DataFra
     hash_rows = _rows(hashed, F.col("sha256"), "hash", _tags("derived", "confirmed"),
                       F.concat(F.lit("sha-256 of "), uris.basename(F.col("artifact"))), now)
     order = Window.partitionBy("artifact").orderBy(F.desc("ok_hits"), F.desc("hits"), "ip")
-    # Collection itself takes the strongest requesters only; the full list stays in ``touched``.
-    asked = (touched.join(files.select("artifact", "rel"), "artifact")
-             .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= requesters))
+    asked = touched.join(files.select("artifact", "rel"), "artifact")
+    if requesters is not None:
+        asked = asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= requesters)
     asked_rows = _rows(
         asked, F.col("ip"), "ip", _tags("hunt", F.when(F.col("ok_hits") > 0, F.lit("successful"))),
         F.format_string("requested %s (%d×, %d× 2xx)", uris.basename(F.col("artifact")), "hits", "ok_hits"), now)
@@ -133,9 +134,9 @@ def collect_confirmed(confirmed: DataFrame, touched: DataFrame, digests: DataFra
         confirmed.filter(F.col("artifact_kind") == "table")
         .select("artifact", F.explode(ind.hosts_in(F.coalesce("evidence", F.lit("")))).alias("host"))
         .distinct().join(tables.select("artifact", "rules"), "artifact")
-        .withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("host")))
-        .filter(F.col("place") <= hosts)
     )
+    if hosts is not None:
+        named = named.withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("host"))).filter(F.col("place") <= hosts)
     host_rows = _rows(named, F.col("host"), "domain", _tags("derived", "injected-code"),
                       F.concat(F.lit("host in evidence of: "), F.col("rules")), now)
     iocs = path_rows

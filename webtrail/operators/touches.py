@@ -100,8 +100,9 @@ def propagated_decisions(reached: DataFrame) -> DataFrame:
 
 
 def related_addresses(arts: DataFrame, findings: DataFrame, touched: DataFrame, iocs: DataFrame,
-                      limit: int = 40, per_finding: int = 10) -> DataFrame:
-    """Addresses an artifact points at, each once, the strongest reason first."""
+                      limit: int | None = None) -> DataFrame:
+    """Addresses an artifact points at, each once, the strongest reason first; all of them
+    unless the caller sets a limit for display."""
     from webtrail.functions.indicators import addresses_in
 
     own = arts.filter(F.col("artifact_kind") == "client").select(
@@ -114,7 +115,7 @@ def related_addresses(arts: DataFrame, findings: DataFrame, touched: DataFrame,
                                               F.lit("× 2xx)")))
         .otherwise(F.concat(F.lit("requested "), name, F.lit(", never successful"))).alias("why"), "hits", "ok_hits")
     named = findings.select(
-        "artifact", F.explode(F.slice(addresses_in(F.col("evidence")), 1, per_finding)).alias("ip"),
+        "artifact", F.explode(addresses_in(F.col("evidence"))).alias("ip"),
         F.lit(2).alias("priority"), F.concat(F.lit("from the evidence of: "), F.col("rule")).alias("why"),
         F.lit(None).cast("long").alias("hits"), F.lit(None).cast("long").alias("ok_hits"))
     every = own.unionByName(asked).unionByName(named)
@@ -123,8 +124,9 @@ def related_addresses(arts: DataFrame, findings: DataFrame, touched: DataFrame,
     once = every.groupBy("artifact", "ip").agg(reason.alias("r"))
     order = Window.partitionBy("artifact").orderBy("r.priority", "r.a", "r.b", "ip")
     box = iocs.filter(F.col("type") == "ip").select(F.col("value").alias("ip")).distinct().withColumn("in_box", F.lit(True))
+    placed = once.withColumn("place", F.row_number().over(order))
     return (
-        once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        (placed if limit is None else placed.filter(F.col("place") <= limit))
         .join(box, "ip", "left")
         .select("artifact", "ip", "place", "r.why", "r.hits", "r.ok_hits", F.coalesce("in_box", F.lit(False)).alias("in_box"))
     )

@@ -131,7 +131,7 @@ rx AS (SELECT *, CASE WHEN regexp_matches(v, '<\?php|<\?=') THEN 0
  WHEN regexp_matches(v, '(?i)(base64_decode|gzinflate|gzuncompress|str_rot13)\s*\(\s*(base64_decode|gzinflate|str_rot13|[''"])') THEN 2
  WHEN regexp_matches(v, '(?i)\b(system|shell_exec|passthru|proc_open|popen|pcntl_exec)\s*\(') THEN 3
  WHEN regexp_matches(v, '(?i)create_function\s*\(') THEN 4 WHEN regexp_matches(v, '(?i)<script[\s>]') THEN 5
- WHEN regexp_matches(v, '(?i)<iframe[\s>]') THEN 6 WHEN regexp_matches(v, '(?i)document\s*\.\s*write\s*\(') THEN 7 END AS n FROM cells WHERE length(v) >= 4),
+ WHEN regexp_matches(v, '(?i)<iframe[\s>]') THEN 6 WHEN regexp_matches(v, '(?i)document\s*\.\s*write\s*\(') THEN 7 END AS n FROM cells),
 rn(n, rule_id, severity, rule, pat) AS (VALUES (0, 'sqldb.php_tag', 0, 'PHP open tag in database value', '<\?php|<\?='),
  (1, 'sqldb.eval_input', 0, 'eval/assert on decoded or request input', '(?i)\b(eval|assert)\s*\(\s*(base64_decode|gzinflate|gzuncompress|str_rot13|\$_)'),
  (2, 'sqldb.obfuscation', 0, 'Obfuscation decode chain', '(?i)(base64_decode|gzinflate|gzuncompress|str_rot13)\s*\(\s*(base64_decode|gzinflate|str_rot13|[''"])'),
@@ -510,7 +510,7 @@ def propagation_to_files(spark, sf):
 
 
 @query("related_addresses", "J19 P25", b.sql("""SELECT artifact, ip, place FROM (SELECT artifact, ip, row_number() OVER (PARTITION BY artifact ORDER BY pr, a, h, ip) AS place FROM (
- SELECT artifact, ip, 1 AS pr, -ok_hits AS a, -hits AS h FROM touch)) WHERE place <= 40""", "req", _TOUCH))
+ SELECT artifact, ip, 1 AS pr, -ok_hits AS a, -hits AS h FROM touch))""", "req", _TOUCH))
 def related_addresses(spark, sf):
     none = finding_ops.empty_findings(spark)
     box = none.select(F.col("artifact").alias("value"), F.lit("ip").alias("type"))
@@ -768,12 +768,12 @@ def alert_times(spark, sf):
 @query("missing_from_story", "N12", b.sql("""SELECT c.artifact, artifact_kind, CASE WHEN artifact IN (SELECT artifact FROM events) THEN 'beyond_cap' ELSE 'undated.' || artifact_kind END AS why FROM confirmed c
  WHERE artifact NOT IN (SELECT artifact FROM (SELECT * FROM events ORDER BY "at", kind, artifact LIMIT 80))""", "alerts", _STORY))
 def missing_from_story(spark, sf):
-    return chronology.missing_from_story(*story(spark, sf))
+    return chronology.missing_from_story(*story(spark, sf), 80)
 
 
 @query("story_page", "N12 T3", b.sql('SELECT "at", kind, artifact FROM (SELECT "at", kind, artifact FROM events ORDER BY "at", kind, artifact LIMIT 80)', "alerts", _STORY))
 def story_page(spark, sf):
-    return chronology.capped(story(spark, sf)[1]).select("at", "kind", "artifact")
+    return chronology.capped(story(spark, sf)[1], 80).select("at", "kind", "artifact")
 
 
 @query("story_gaps", "N13", b.sql("""SELECT (SELECT count(*) FROM confirmed) = 0 AS none_confirmed, (SELECT count(*) FROM events) = 0 AS no_times,
@@ -781,7 +781,7 @@ def story_page(spark, sf):
  (SELECT count(*) FROM events) > 80 AS truncated, true AS logs_clock_set, false AS dump_clock_set, (SELECT count(*) FROM events) AS total_events""", "alerts", _STORY))
 def story_gaps(spark, sf):
     start = index(spark, sf).select(F.min("epoch"))
-    return chronology.gap_statements(*story(spark, sf), start, clock_logs=3600)
+    return chronology.gap_statements(*story(spark, sf), start, 80, clock_logs=3600)
 
 
 @query("milestones", "N14", b.sql("""SELECT role, "at", kind FROM (
