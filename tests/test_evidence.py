@@ -322,3 +322,28 @@ def test_long_patterns_stay_and_skipped_entries_say_why(spark):
     library = spark.createDataFrame([("nine", [f"/path{k}" for k in range(9)]), ("short", ["a*"]), ("none", [])], "name string, patterns array<string>")
     assert [r.name for r in hunt.usable_paths(library).collect()] == ["nine"]
     assert {(r.name, r.reason[:7]) for r in hunt.skipped_entries(library).collect()} == {("short", "a path "), ("none", "no path")}
+
+
+TRAPS = r"""-- Bob's export
+CREATE TABLE `a` (`x` int, `y` text);
+# it's a comment
+INSERT INTO `a` VALUES (1,f(g(h(2),'(')),'v'); INSERT INTO `b` VALUES (7,'b;b');
+   INSERT INTO `b` VALUES (8,'it''s
+-- not a comment, it\'s a value
+-- closes here'),(9,'#');
+-- that's all; INSERT INTO `c` VALUES (5);
+INSERT INTO `a` VALUES (3,NULL,'w');"""
+
+
+def test_traps_of_a_dump(spark, tmp_path):
+    (tmp_path / "t.sql").write_text(TRAPS)
+    stmts, rows, created = dump_source.read_rows(spark, [str(tmp_path / "t.sql")])
+    got = {(r.table, r.row_no): r["values"] for r in dumps.dump_rows(rows, created).collect()}
+    assert got == {
+        ("a", 1): ["1", "f(g(h(2),'('))", "v"], ("a", 2): ["3", None, "w"], ("b", 1): ["7", "b;b"],
+        ("b", 2): ["8", "it's\n-- not a comment, it's a value\n-- closes here"], ("b", 3): ["9", "#"]}
+    lines = dump_source.dump_lines(spark, [str(tmp_path / "t.sql")])
+    assert dumps.line_balanced(lines).count() == 0
+    one = spark.createDataFrame([("d", 0, 0, "INSERT INTO a VALUES (1,';');"), ("e", 0, 0, " INSERT INTO a VALUES (1);"),
+                                 ("f", 0, 0, "INSERT INTO a VALUES (1);INSERT INTO b VALUES (2);")], "dump string, block long, pos long, value string")
+    assert [r.dump for r in dumps.line_balanced(one).collect()] == ["d"]
