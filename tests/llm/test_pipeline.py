@@ -3,9 +3,9 @@
 import re
 
 import corpus_pipeline
-from test_decontamination import best
-from test_ngram_join import plain
-from test_pii import plain as personal
+from .test_decontamination import best
+from .test_ngram_join import plain
+from .test_pii import plain as personal
 from webtrail.llm.common import table
 
 
