@@ -48,13 +48,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    return df.repartition(*keys)
+BATCH_BYTES = 8 << 20
+
+
+def text_pass(df: DataFrame, work, schema: str) -> DataFrame:
+    """mapInArrow over texts. Rows may be long, so the session's Arrow batches are bounded by
+    bytes: a task holds a few of them on either side."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
 
 
 # --- text columns as bytes -------------------------------------------------------------
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import LOWER, chunks, query, stored, table
+from webtrail.llm.common import LOWER, chunks, query, stored, table, text_pass
 
 SAMPLE_ROWS = 8000
 BITS = 15
@@ -128,8 +128,8 @@ def likelihoods(rows: DataFrame, langs: list[str], model: np.ndarray) -> DataFra
                 [batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5), pa.array(n), pa.array(letters), pa.ListArray.from_arrays(ends, flat)],
                 ["doc_id", "declared", "suffix", "host", "text_hash", "n", "letters", "fit"])
 
-    return rows.select("doc_id", "text", "declared", "suffix", "host", "text_hash").mapInArrow(
-        work, "doc_id long, declared string, suffix string, host string, text_hash long, n long, letters double, fit array<double>")
+    return text_pass(
+        rows.select("doc_id", "text", "declared", "suffix", "host", "text_hash"), work, "doc_id long, declared string, suffix string, host string, text_hash long, n long, letters double, fit array<double>")
 
 
 def softmax(logs) -> F.Column:

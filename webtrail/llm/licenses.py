@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from webtrail.llm.common import query, table
+from webtrail.llm.common import query, table, text_pass
 
 # Base phrases with their labels, in the contract's order.
 BASE = [
@@ -151,7 +151,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 columns = [ids.slice(low, 500), *(pa.array(list(c), ARROW.field(i + 1).type) for i, c in enumerate(zip(*rows)))]
                 yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(work, SCHEMA)
+    return text_pass(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text"), work, SCHEMA)
 
 
 @query("op8_license_scan")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import WHITE, chunks, components, mix, query, shingles, stored, table, words
+from webtrail.llm.common import WHITE, chunks, components, mix, query, shingles, stored, table, text_pass, words
 
 WIDTH, PERCENT = 3, 90
 SKETCH_BITS = 20
@@ -134,14 +134,14 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), sketch.column(0), sketch.column(1)], names)
 
-    return docs.mapInArrow(work, "doc_id long, n long, digest binary, slice int, part binary")
+    return text_pass(docs, work, "doc_id long, n long, digest binary, slice int, part binary")
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, classes, copies) -> DataFrame:
     """node, digest, n, prefix, copy of every document that has n-grams; copy: its id may be
     among those of `copies`."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _unpacked(copies)
+        flags = copies.value
         for batch in batches:
             rows, n, digest, cut = [], [], [], []
             for row, codes in _sets(batch.column(1), width):
@@ -157,7 +157,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, classes, copies) -> Data
                 [ids, pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(maybe)],
                 ["node", "digest", "n", "prefix", "copy"])
 
-    return docs.mapInArrow(work, "node long, digest binary, n long, prefix array<long>, copy boolean")
+    return text_pass(docs, work, "node long, digest binary, n long, prefix array<long>, copy boolean")
 
 
 # --- candidates ------------------------------------------------------------------------
@@ -166,7 +166,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, classes, copies) -> Data
 def _of(codes: DataFrame, wanted) -> DataFrame:
     """The rows whose code may be among the wanted ones."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _unpacked(wanted)
+        flags = wanted.value
         for batch in batches:
             yield batch.filter(pa.array(_maybe(flags, batch.column(1).to_numpy())))
 
@@ -353,13 +353,13 @@ def bitmap(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(_combined(ids.mapInArrow(mark, "slice int, part binary"), "uint8", np.bitwise_or))
 
 
-def _unpacked(shared) -> np.ndarray:
-    return np.unpackbits(shared.value).astype(bool) if len(shared.value) else np.zeros(1 << BITMAP_BITS, bool)
-
-
 def _maybe(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    one, two = _bits(ids)
-    return flags[one] & flags[two]
+    if not len(flags):
+        return np.zeros(len(ids), bool)
+    out = np.ones(len(ids), bool)
+    for at in _bits(ids):
+        out &= (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -369,7 +369,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     shared = bitmap(wanted.select("node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _unpacked(shared)
+        flags = shared.value
         for batch in batches:
             rows = np.flatnonzero(_maybe(flags, batch.column(0).fill_null(0).to_numpy()))
             if not len(rows):
@@ -382,7 +382,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 blob.append(codes.tobytes())
             yield pa.RecordBatch.from_arrays([keep.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["node", "digest", "codes"])
 
-    found = docs.mapInArrow(work, "node long, digest binary, codes binary")
+    found = text_pass(docs, work, "node long, digest binary, codes binary")
     return found.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "codes")
 
 

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import mix, powers, query, ranges, table, utf8
+from webtrail.llm.common import mix, powers, query, ranges, table, text_pass, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 ALPHA = 1.0
 SHIFT = 10.0
 BYTE_COST = 2.0  # a byte piece weighs this many nats less than the rarest piece
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SPACE = "▁"
 
 
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                     ["key", "n_pieces", "piece_ids", "lossless"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(work, "key long, n_pieces long, piece_ids array<int>, lossless boolean").withColumnRenamed("key", key)
+    return text_pass(rows, work, "key long, n_pieces long, piece_ids array<int>, lossless boolean").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", model: str = MODEL) -> DataFrame:

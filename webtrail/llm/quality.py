@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import LOWER, WHITE, chunks, query, separators, stored, table, words
+from webtrail.llm.common import LOWER, WHITE, chunks, query, separators, stored, table, text_pass, words
 
 SAMPLE_ROWS = 4000
 BITS = 11
@@ -160,7 +160,7 @@ def observed(docs: DataFrame) -> DataFrame:
             all_votes = np.concatenate(rows) if rows else np.zeros((0, len(MEASURES)), int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes().decode() for r in sign[all_votes + 1]], pa.string())], ["doc_id", "pattern"])
 
-    return docs.mapInArrow(work, "doc_id long, pattern string")
+    return text_pass(docs, work, "doc_id long, pattern string")
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
                 [batch.column(0), pa.array(score), pa.array(score >= KEEP), pa.array([posterior[p] for p in names], pa.float64()), pa.array(names, pa.string())],
                 ["doc_id", "score", "keep", "posterior", "pattern"])
 
-    return rows.mapInArrow(work, "doc_id long, score double, keep boolean, posterior double, pattern string")
+    return text_pass(rows, work, "doc_id long, score double, keep boolean, posterior double, pattern string")
 
 
 @query("op3_quality_classifier")
