@@ -20,18 +20,14 @@ ALERT_SCHEMA = "ip string, kind string, severity int, detail string, example str
 
 def answer_span(kind: str) -> Column:
     """What the 2xx answers carried: the size span and how many logged none."""
-    low, high = F.col(f"{kind}_size_min"), F.col(f"{kind}_size_max")
+    text = fixed.ANSWER_TEXT
     sized, unsized = F.col(f"{kind}_sized"), F.col(f"{kind}_unsized")
-    span = F.when(low == high, F.concat(grouped_number(low), F.lit(" bytes"))).otherwise(
-        F.concat(grouped_number(low), F.lit("-"), grouped_number(high), F.lit(" bytes")))
-    tail = F.when(unsized > 0, F.format_string("; %d further answer(s) logged no size", unsized)).otherwise("")
-    nothing = F.lit(", the log records no response size for any of them, "
-                    "so nothing can be said about what came back")
-    return (
-        F.when(sized + unsized == 0, F.lit(""))
-        .when(sized == 0, nothing)
-        .otherwise(F.concat(F.lit(", responses "), span, tail))
-    )
+    ends = F.array_distinct(F.array(f"{kind}_size_min", f"{kind}_size_max"))
+    shown = F.format_string(text["sizes"], F.array_join(F.transform(ends, grouped_number), "-"))
+    return F.array_join(F.array_compact(F.array(
+        F.when(sized > 0, shown),
+        F.when((sized > 0) & (unsized > 0), F.format_string(text["more"], unsized)),
+        F.when((sized == 0) & (unsized > 0), F.lit(text["none"])))), "")
 
 
 def status_breakdown(statuses: Column) -> Column:

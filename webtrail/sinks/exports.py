@@ -142,15 +142,13 @@ def chain_json(events: DataFrame) -> DataFrame:
 
 def frame_note(mode: str, offsets: Column) -> Column:
     """In which frame the exported times are: UTC, one offset, or several."""
-    tail = ", encoded as Unix seconds; clock_offsets names corrections set by the analyst."
-    source = "Times are naive local times of the respective source (log server resp. database server)"
+    known = F.array_join(F.transform(offsets, times.offset_label), ", ")
     if mode == "utc":
-        return F.lit("Times are UTC" + tail)
-    labels = F.transform(offsets, times.offset_label)
-    return F.when(F.size(offsets) <= 1, F.concat(
-        F.lit(source + " at "), F.coalesce(F.get(labels, F.lit(0)), F.lit("UTC")), F.lit(tail))).otherwise(F.concat(
-            F.lit(source + "; the logs carry more than one UTC offset ("), F.array_join(labels, ", "),
-            F.lit("), so none of them labels the whole period -- export in UTC for a reading that can be compared" + tail)))
+        text = F.lit(fixed.FRAME_TEXT["utc"])
+    else:
+        one = F.format_string(fixed.FRAME_TEXT["one"], F.when(known == "", "UTC").otherwise(known))
+        text = F.when(F.size(offsets) > 1, F.format_string(fixed.FRAME_TEXT["several"], known)).otherwise(one)
+    return F.concat(text, F.lit(fixed.FRAME_END))
 
 
 def _stix_id(kind: str, *parts: Column) -> Column:
