@@ -35,7 +35,7 @@ SEED = 17
 ALPHA = 1.0
 SHIFT = 10.0
 BYTE_COST = 2.0  # a byte piece weighs this many nats less than the rarest piece
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACE = "▁"
 
 
