@@ -86,7 +86,8 @@ def test_hunt_all_is_an_intersection(spark, make_requests):
 
 def test_pattern_check():
     assert hunt.check_paths([" /abc ", "/ABC", "*x*yz"]) == ["/abc", "*x*yz"]
-    for bad in (["*a*"], [], [f"/path{i}" for i in range(9)]):
+    assert len(hunt.check_paths([f"/path{i}" for i in range(9)])) == 9
+    for bad in (["*a*"], []):
         try:
             hunt.check_paths(bad)
         except ValueError:
