@@ -62,6 +62,17 @@ def test_leaks_against_every_window(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in docs if not any((i, k) in want for k, _ in items)), key=str)
 
 
+def test_repeated_words_do_not_hide_a_leak(spark):
+    items, docs = [], []
+    for k in range(20):
+        body = " ".join(f"v{k}x{i}" for i in range(100))
+        items.append((k, body + f" blank{k}" * 12))
+        docs.append((k, body + f" other{k}" * 12))
+    got = de.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(20)]
+    assert all(abs(r.similarity - 0.8) < 1e-9 for r in got)
+
+
 def test_near_fingerprints_share_a_block():
     for radius in (3, 20):
         cuts = [64 * k // (radius + 1) for k in range(radius + 2)]

@@ -4,11 +4,10 @@ A window is as many words of a document as an item has. Windows are anchored: a
 document that an item holds too says where the item would begin; other windows are not looked
 at, and at the ends of a document windows are cut. Only (document, item) pairs
 whose shared shingles cover enough of the item are followed, which loses nothing, since the
-similarity asked for cannot be reached otherwise. Their windows get a 64-bit SimHash, summed
-bit by bit over weighted shingles; RADIUS + 1 blocks of its bits are looked up in an index of
-the items' blocks, which by the pigeonhole principle meets every fingerprint within RADIUS.
-What is met and near enough is verified exactly: the weights of shingles are their counts, and
-sum(min) / sum(max) of window and item has to reach SIMILARITY.
+similarity asked for cannot be reached otherwise. Each of their windows is verified exactly: the
+weights of shingles are their counts, and sum(min) / sum(max) of window and item has to reach
+SIMILARITY. There is no fingerprint in between: the pairs are known from their shared shingles,
+and no Hamming radius holds for weighted shingles.
 
 Words are runs of letters and digits, lower-cased. Items with fewer than SHINGLE words are one
 shingle of all their words. Null and empty texts, and items without words, meet nothing. A
@@ -27,7 +26,6 @@ from webtrail.llm.common import query, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20  # cosine at similarity 0.8 puts about 10 of 64 bits apart, with a deviation of 3
 BROADCAST_ROWS = 2_000_000
 WORD = r"[\p{L}\p{N}]+"
 NO_ID = -(1 << 63)
@@ -53,32 +51,11 @@ def items_of(benchmark: DataFrame, shingle: int) -> DataFrame:
     return rows.withColumn("width", width).select("item_id", "width", F.expr(f"CASE width {arms} END").alias("shingles"))
 
 
-def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of the rows' shingles by keys: each shingle counts as often as it occurs."""
-    bit = lambda b: F.sum(F.shiftright("shingle", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}")
-    sums = rows.groupBy(*keys).agg(*(bit(b) for b in range(64)))
-    code = F.lit(0).cast("long")
-    for b in range(64):
-        code = code.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, code.alias("print"))
-
-
-def blocks(code, radius: int) -> F.Column:
-    """radius + 1 blocks of a fingerprint's bits, as (number, bits)."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    parts = []
-    for k in range(radius + 1):
-        low, high = cuts[k], cuts[k + 1]
-        bits = F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        parts.append(F.struct(F.lit(k).alias("block"), bits.cast("long").alias("bits")))
-    return F.array(*parts)
-
-
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, first_word, n_words, similarity: the best window of each
     (document, item) that reaches the similarity."""
     items = stored(items_of(benchmark, shingle), "items")
@@ -117,12 +94,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     window = stored(window, "windows")
 
     keys = ["doc", "text_hash", "item_id", "width", "size", "start"]
-    prints = fingerprint(window, keys)
-    index = fingerprint(bag.select("item_id", "shingle"), ["item_id"]).select("item_id", F.col("print").alias("own"), F.inline(blocks(F.col("print"), radius)))
-    asked = prints.select(*keys, "print", F.inline(blocks(F.col("print"), radius)))
-    near = asked.join(index, ["item_id", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= radius).select(*keys).distinct()
-
-    mine = window.groupBy(*keys, "shingle").agg(F.count("*").alias("c")).join(near, keys)
+    mine = window.groupBy(*keys, "shingle").agg(F.count("*").alias("c"))
     theirs = bag.groupBy("item_id", "shingle").agg(F.count("*").alias("d"))
     shared = mine.join(_small(theirs, total), ["item_id", "shingle"], "left").groupBy(*keys).agg(
         F.sum("c").alias("have"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("both"))
