@@ -62,6 +62,42 @@ def test_leaks_against_every_window(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, t in docs if not any((i, k) in want for k, _ in items)), key=str)
 
 
+def slid(text, item, similarity=0.8):
+    """The best similarity of the windows at every start, whole ones before cut ones, and the first
+    such window's first word."""
+    words, wanted = text.split(), item.split()
+    width = min(5, len(wanted))
+    own = Counter(grams(wanted, width))
+    top = None
+    for start in range(1 - len(wanted), len(words)):
+        have = Counter(grams(words[max(0, start):start + len(wanted)], width))
+        value = sum((own & have).values()) / sum((own | have).values())
+        whole = 0 <= start <= len(words) - len(wanted)
+        if value >= similarity - 1e-12 and (top is None or (whole, value) > top[:2]):
+            top = (whole, value, max(0, start))
+    return top and top[1:]
+
+
+def test_windows_at_every_start(spark):
+    rng = random.Random(11)
+    run = lambda n, of: [f"{of}{rng.randrange(n)}" for _ in range(n)]
+    halves = run(50, "a"), run(50, "b")
+    items = [(0, " ".join(halves[0] + halves[1]))]
+    docs = [(0, " ".join(run(9, "x") + halves[1] + halves[0] + run(9, "y"))), (1, " ".join(halves[1] + halves[0])), (2, " ".join((halves[1] + halves[0])[3:]))]
+    for k in range(1, 9):  # parts in another order, repeated parts, few different words, cut ends
+        parts = [[f"p{k}w{rng.randrange(1 + 5 * (k % 4))}" for _ in range(rng.randrange(8, 30))] for _ in range(3)]
+        items.append((k, " ".join(w for p in parts for w in p)))
+        for j in range(6):
+            rng.shuffle(parts)
+            body = run(5 * (j % 3), "x") + [w for p in parts + parts[:j % 2] for w in p] + run(5 * (j % 2), "y")
+            docs.append((10 * k + j, " ".join(body[j % 4:len(body) - j % 3])))
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in de.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k): (round(found[0], 9), found[1]) for i, text in docs for k, item in items if (found := slid(text, item))}
+    assert {(0, 0), (1, 0), (2, 0)} <= set(want) and len(want) > 20
+    assert got == want
+
+
 def test_repeated_words_do_not_hide_a_leak(spark):
     items, docs = [], []
     for k in range(20):

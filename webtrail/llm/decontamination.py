@@ -1,13 +1,18 @@
 """Benchmark passages in documents, in DataFrame functions alone.
 
-A window is as many words of a document as an item has. Windows are anchored: a shingle of the
-document that an item holds too says where the item would begin; other windows are not looked
-at, and at the ends of a document windows are cut. Only (document, item) pairs
-whose shared shingles cover enough of the item are followed, which loses nothing, since the
-similarity asked for cannot be reached otherwise. Each of their windows is verified exactly: the
-weights of shingles are their counts, and sum(min) / sum(max) of window and item has to reach
-SIMILARITY. There is no fingerprint in between: the pairs are known from their shared shingles,
-and no Hamming radius holds for weighted shingles.
+A window is as many words of a document as an item has; it may begin at any word, and at the ends
+of a document windows are cut. A cut window is reported only if no whole one of the pair reaches
+the similarity. The weights of shingles are their counts, and sum(min) / sum(max) of
+window and item has to reach SIMILARITY. Only (document, item) pairs whose shared shingles cover
+enough of the item are followed, which loses nothing, since the similarity asked for cannot be
+reached otherwise. There is no fingerprint in between: the pairs are known from their shared
+shingles, and no Hamming radius holds for weighted shingles.
+
+All windows of a pair are compared at once. A shingle that an item holds d times counts at most d
+times, so an occurrence counts in just those windows that hold it but not the d-th one before it:
+an interval of starts. sum(min) of every window is a running sum over the ends of these intervals.
+Between two ends it stays the same and the windows' sizes first grow, then fall, so the best cut
+window is at one of both and the whole ones are alike.
 
 Words are runs of letters and digits, lower-cased. Items with fewer than SHINGLE words are one
 shingle of all their words. Null and empty texts, and items without words, meet nothing. A
@@ -19,7 +24,7 @@ otherwise the join shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webtrail.llm.common import query, stored, table
@@ -62,7 +67,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     bag = stored(items.select("item_id", "width", F.posexplode("shingles").alias("place", "shingle")), "item-shingles")
     total = bag.count()
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most `shingle` rows
-    held = bag.groupBy("width", "shingle").agg(F.collect_list(F.struct("item_id", "place")).alias("at"))  # a bounded table's own rows
+    held = bag.groupBy("width", "shingle", "item_id").agg(F.count("*").cast("int").alias("d"))
+    held = held.groupBy("width", "shingle").agg(F.collect_list(F.struct("item_id", "d")).alias("at"))  # a bounded table's own rows
     held = stored(held, "held")
 
     rows = docs.select(
@@ -71,36 +77,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     coded = lambda df: df.withColumn("codes", word_codes(F.col("text"))).drop("text")
     met = None
     for width in widths:
-        every = coded(rows).select("doc", "text_hash", F.posexplode(F.expr(_shingles("codes", width))).alias("pos", "shingle"))
+        every = coded(rows).withColumn("n", F.size("codes") - (width - 1)).select("doc", "text_hash", "n", F.posexplode(F.expr(_shingles("codes", width))).alias("pos", "shingle"))
         here = every.join(_small(held.where(F.col("width") == width).select("shingle", "at"), total), "shingle")
         met = here if met is None else met.unionByName(here)
     if met is None:
         return rows.select(F.col("doc").alias("doc_id"), "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).where("false")
-    met = stored(met.select("doc", "text_hash", "pos", F.inline("at")), "met")
+    # Where a document has an item's shingle, of n shingles; a repeated document has it there once.
+    met = met.select("doc", "text_hash", "n", "pos", "shingle", F.inline("at")).groupBy("doc", "text_hash", "item_id", "shingle").agg(
+        F.first("n").alias("n"), F.first("d").alias("d"), F.array_sort(F.collect_set("pos")).alias("places"))
+    met = stored(met, "met")
 
     # Pairs whose shared shingles cover the least part of the item that the similarity needs.
     size = items.select("item_id", "width", F.size("shingles").alias("size"))
-    covered = met.select("doc", "text_hash", "item_id", "place").distinct().groupBy("doc", "text_hash", "item_id").count()
+    covered = met.groupBy("doc", "text_hash", "item_id").agg(F.sum(F.least("d", F.size("places"))).alias("count"))
     pairs = covered.join(_small(size, total), "item_id").where(F.col("count") >= F.ceil(F.col("size") * F.lit(similarity) - 1e-9))
     pairs = stored(pairs.select("doc", "text_hash", "item_id", "width", "size"), "pairs")
-    starts = met.join(pairs, ["doc", "text_hash", "item_id"]).select("doc", "text_hash", "item_id", "width", "size", (F.col("pos") - F.col("place")).alias("start")).distinct()
-
-    # The windows' shingles, from the texts of those documents alone.
-    texts = rows.join(pairs.select("doc", "text_hash").distinct(), ["doc", "text_hash"], "left_semi").dropDuplicates(["doc", "text_hash"])
-    arms = " ".join(f"WHEN {w} THEN {_shingles('codes', w)}" for w in widths)
-    window = starts.join(coded(texts), ["doc", "text_hash"])
-    cut = F.expr(f"slice(CASE width {arms} END, greatest(start, 0) + 1, size + least(start, 0))")
-    window = window.withColumn("shingles", cut).select("doc", "text_hash", "item_id", "width", "start", "size", F.explode("shingles").alias("shingle"))
-    window = stored(window, "windows")
-
-    keys = ["doc", "text_hash", "item_id", "width", "size", "start"]
-    mine = window.groupBy(*keys, "shingle").agg(F.count("*").alias("c"))
-    theirs = bag.groupBy("item_id", "shingle").agg(F.count("*").alias("d"))
-    shared = mine.join(_small(theirs, total), ["item_id", "shingle"], "left").groupBy(*keys).agg(
-        F.sum("c").alias("have"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("both"))
-    likeness = F.col("both") / (F.col("have") + F.col("size") - F.col("both"))
-    best = shared.select("doc", "text_hash", "item_id", "width", "size", "start", likeness.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    best = best.groupBy("doc", "text_hash", "item_id", "width", "size").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("top"))
+
+    # The starts of windows that an occurrence counts in, as the change at either end.
+    keys = ["doc", "text_hash", "item_id", "width", "size", "n"]
+    ends = F.expr("transform(places, (p, k) -> struct(greatest(p - size + 1, IF(k < d, p - size + 1, get(places, k - d) + 1)) AS low, p + 1 AS high))")
+    counted = met.join(pairs, ["doc", "text_hash", "item_id"]).select(*keys, F.explode(ends).alias("s"))
+    steps = counted.select(*keys, F.explode(F.array(F.struct(F.col("s.low").alias("at"), F.lit(1).alias("step")), F.struct(F.col("s.high").alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    steps = steps.select(*keys, "e.*").groupBy(*keys, "at").agg(F.sum("step").alias("step"))
+    along = Window.partitionBy(*keys).orderBy("at")
+    runs = steps.select(*keys, "at", F.sum("step").over(along).alias("both"), (F.lead("at").over(along) - 1).alias("last")).where("both > 0")
+    window = runs.where(F.col("both") >= F.ceil(F.col("size") * F.lit(similarity) - 1e-9)).select(*keys, "both", F.explode(F.array_distinct(F.array("at", "last", F.least(F.greatest("at", F.lit(0)), "last")))).alias("start"))
+
+    have = F.least(F.col("start") + F.col("size"), "n") - F.greatest("start", F.lit(0))
+    likeness = F.col("both") / (have + F.col("size") - F.col("both"))
+    whole = (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n"))
+    best = window.select(*keys, "start", likeness.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    best = best.groupBy(*keys).agg(F.max(F.struct(whole.alias("whole"), "similarity", (-F.col("start")).alias("back"))).alias("top"))
     first = F.greatest(-F.col("top.back"), F.lit(0))
     return best.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text_hash", "item_id", first.alias("first_word"),
