@@ -36,6 +36,15 @@ def test_edits_within_the_bound_are_found():
     assert licenses.scan_text(finder, "released over a smitten silence") [5] == ""
 
 
+def test_near_notices_beside_better_ones_are_found():
+    finder = licenses.Finder()
+    spans = lambda text: [(s["first_word"], s["last_word"], s["edits"]) for s in licenses.scan_text(finder, text)[7]]
+    assert spans("all right reserved all rights reserved") == [(0, 2, 1), (3, 5, 0)]
+    assert spans("licenced undr the mit license licensed under the mit license") == [(0, 4, 2), (5, 9, 0)]
+    assert spans("all rights reserved all right reserved") == [(0, 2, 0), (3, 5, 1)]
+    assert spans("all right reserved " * 1000 + "all rights reserved") == [(3 * k, 3 * k + 2, int(k < 1000)) for k in range(1001)]
+
+
 def test_every_text_within_the_bound_holds_a_seed():
     for words, _, edits in licenses.NOTICES:
         raw = words.encode()

@@ -4,7 +4,9 @@ A text is folded (A-Z lowered, every other ASCII byte that is no letter or digit
 space) into words. Each notice is cut into k+1 parts; by the pigeonhole principle a place that
 differs from the notice in at most k edits holds one of the parts unchanged. The parts are
 looked up exactly; around each place found, the regex library's bounded-error matching
-verifies the edits and gives the span. Exact places of the base phrases are counted apart.
+verifies the edits and gives the span. Spans of a notice do not overlap: those with the fewest
+edits are taken first, then what is left of the windows beside them is searched again. Exact
+places of the base phrases are counted apart.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0. A
 repeated row is answered twice. Texts are read whole, whatever their length. Other columns
@@ -13,7 +15,9 @@ of the input are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -96,18 +100,35 @@ class Finder:
         """(label, start, end, edits, similarity) of verified places in a folded text."""
         found = set()
         for which, windows in self.places(text).items():
-            raw, label, _, _, pattern = self.notices[which]
-            windows.sort()
-            merged = [windows[0]]
-            for low, high in windows[1:]:
-                if low <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-                else:
-                    merged.append((low, high))
-            for low, high in merged:
-                for m in pattern.finditer(text, low, high):
-                    edits = sum(m.fuzzy_counts)
-                    found.add((label, m.start(), m.end(), edits, 1 - edits / len(raw)))
+            raw, label, most, _, pattern = self.notices[which]
+
+            def search(low: int, high: int) -> list[tuple[int, int, int, int, int]]:
+                """The best place in a window as (edits, start, end, low, high). The window is cut
+                at its last space, as the pattern takes a window's end for the end of a word."""
+                high = text.rfind(b" ", low, high + 1)
+                if high - low < len(raw) - most:
+                    return []
+                m = pattern.search(text, low, high)
+                return [(sum(m.fuzzy_counts), m.start(), m.end(), low, high)] if m else []
+
+            heap = [best for window in set(windows) for best in search(*window)]
+            heapify(heap)
+            taken: list[tuple[int, int]] = []
+            while heap:
+                edits, start, end, low, high = heappop(heap)
+                at = bisect(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    insort(taken, (start, end))
+                    found.add((label, start, end, edits, 1 - edits / len(raw)))
+                # The same window without what is taken of it.
+                at = max(0, bisect(taken, (low, low)) - 1)
+                while at < len(taken) and taken[at][0] < high:
+                    for best in search(low, taken[at][0]):
+                        heappush(heap, best)
+                    low = max(low, taken[at][1])
+                    at += 1
+                for best in search(low, high):
+                    heappush(heap, best)
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
     def exact(self, text: bytes) -> list[tuple[int, str]]:
