@@ -65,6 +65,13 @@ def test_redaction_leaves_clean_texts_and_other_columns(spark):
         (1, "nothing here", "x"), (2, "mail <EMAIL> and <PHONE>.", None), (3, None, "y"), (4, "", "z"), (2, "mail <EMAIL> and <PHONE>.", None)], key=str)
 
 
+def test_redaction_of_overlapping_spans_leaves_nothing_of_them(spark):
+    texts = ["10.0.0.0 4111 1111 1111 1111", "pay 10.0.0.0 4111 1111 1111 1111 now, or +1 (499) 555-6503", "10.0.0.1, 4111 1111 1111 1111."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got == {0: "<IP><CARD>", 1: "pay <IP><CARD> now, or <PHONE>", 2: "<IP>, <CARD>."}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(empty).collect() == []

@@ -230,19 +230,22 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows with every span of `text` replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; where
-    spans overlap, the one that begins first (then the longer one) is replaced."""
+    """The rows with every span of `text` replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; spans
+    that overlap are replaced as one, by a tag for each of their kinds as they begin."""
     spans = detect(docs.select("text")).select(F.explode("candidates").alias("s")).select("s.kind", "s.votes", "s.features")
     weights, bias = fit(spans)
     rows = detect(docs.withColumnRenamed("candidates", "_candidates") if "candidates" in docs.columns else docs)
     rows = rows.withColumn("_found", F.when(F.size("candidates") > 0, score(F.col("candidates"), weights, bias)))
     ordered = "array_sort(transform(_found, s -> named_struct('start', s.start, 'back', -s.end, 'kind', s.kind)))"
-    flat = (f"aggregate({ordered}, CAST(array() AS array<struct<start:int,back:int,kind:int>>),"
-            " (a, s) -> IF(size(a) > 0 AND s.start < -element_at(a, -1).back, a, concat(a, array(s))))")
+    flat = (f"aggregate({ordered}, CAST(array() AS array<struct<start:int,back:int,kinds:array<int>>>),"
+            " (a, s) -> IF(size(a) > 0 AND s.start < -get(a, size(a) - 1).back,"
+            " concat(slice(a, 1, size(a) - 1), array(named_struct('start', get(a, size(a) - 1).start, 'back', least(get(a, size(a) - 1).back, s.back),"
+            " 'kinds', array_union(get(a, size(a) - 1).kinds, array(s.kind))))),"
+            " concat(a, array(named_struct('start', s.start, 'back', s.back, 'kinds', array(s.kind))))))")
     rows = rows.withColumn("_flat", F.expr(f"CASE WHEN size(_found) > 0 THEN {flat} END"))
     tags = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
     pieces = ("transform(_flat, (s, k) -> concat(substring(text, IF(k = 0, 0, -element_at(_flat, k).back) + 1, s.start - IF(k = 0, 0, -element_at(_flat, k).back)),"
-              f" get({tags}, s.kind)))")
+              f" array_join(transform(s.kinds, j -> get({tags}, j)), '')))")
     done = F.expr(f"CASE WHEN size(_flat) > 0 THEN concat(array_join({pieces}, ''), substring(text, 1 - element_at(_flat, -1).back)) ELSE text END")
     return rows.withColumn("_done", done).select(*(F.col("_done").alias(c) if c == "text" else F.col("_candidates").alias(c) if c == "candidates" else F.col(c) for c in docs.columns))
 
