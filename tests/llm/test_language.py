@@ -1,3 +1,5 @@
+import math
+
 from webtrail.llm import language
 from webtrail.llm.common import table
 
@@ -36,3 +38,19 @@ def test_pages_give_their_evidence(spark, sf):
     rows = language.page_evidence(table(spark, sf, "pages"))
     got = language.identify(rows).groupBy("lang").count().collect()
     assert {r.lang for r in got} >= {"en", "fr"}
+
+
+def test_a_rare_language_of_a_large_table_is_kept(spark):
+    rare = "zvirokwazvo ndinoda kutaura navanhu vose vokumusha nhasi mangwanani"
+    rows = [(k, "the cat sat on the mat and the dog ran to the house", "en") for k in range(3000)]
+    rows += [(5000, rare, "sn"), (5001, rare + " zvakare", "sn"), (5002, "ndinoda kutaura zvakare navanhu vose", None), (5003, "the dog ran", "und"), (5004, "the dog sat", "und")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].lang == "sn" and got[k].accepted for k in (5000, 5001, 5002))
+    assert all(got[k].lang == "en" for k in (0, 2999, 5003, 5004))
+
+
+def test_every_suffix_has_its_reliability(spark):
+    seen = spark.range(300).selectExpr("CAST(id AS STRING) AS suffix", "array(0.25D, 0.75D) AS post")
+    got = language._reliability(seen, "suffix", 2).collect()
+    assert len({r.suffix for r in got}) == 300
+    assert all(abs(r.suffix_log[0] - math.log(0.75 / (75 + 150.5))) < 1e-9 for r in got)

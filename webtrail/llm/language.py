@@ -1,8 +1,9 @@
 """Language identification by fusing evidence.
 
 Per document: a naive Bayes likelihood of the text's byte trigrams, the declared language of
-the markup, the address suffix and a prior of the host. The trigram model is fitted on a
-sample of about SAMPLE_ROWS documents with a declared language. Everything else covers all
+the markup, the address suffix and a prior of the host. Every code declared by LEAST_DECLARED rows or more is a language, however large the
+table is. The trigram model is fitted on a sample of about SAMPLE_ROWS documents with a declared
+language, and of every language about LEAST_SAMPLE of them, or all it has. Everything else covers all
 rows: how far a declaration or a suffix can be trusted is a grouped count of (declared,
 language of the text), and host priors are grouped sums of text posteriors, smoothed towards
 the host's domain and that towards the whole corpus.
@@ -22,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from webtrail.llm.common import LOWER, chunks, query, stored, table, text_pass
 
 SAMPLE_ROWS = 8000
+LEAST_DECLARED, LEAST_SAMPLE = 2, 200
+NO_LANGUAGE = ("mis", "mul", "und", "zxx")  # codes that name none
 BITS = 15
 MIN_LETTERS = 0.3
 LENGTH_CAP = 60.0  # trigrams that count in full; neighbouring trigrams of longer texts repeat each other
@@ -70,25 +72,30 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities [bucket, language] from a sample of the declared rows."""
-    counts = rows.groupBy("declared").count().where("declared IS NOT NULL").orderBy(F.desc("count"), "declared").limit(64).collect()
+    counts = rows.groupBy("declared").count().where((F.col("count") >= LEAST_DECLARED) & ~F.col("declared").isin(*NO_LANGUAGE)).collect()  # a row a code
     total = sum(r["count"] for r in counts)
-    langs = sorted(r["declared"] for r in counts if r["count"] >= max(2, total // 1000))
+    langs = sorted(r["declared"] for r in counts)
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    share = min(1.0, sample_rows / total)
-    sample = rows.where(F.col("declared").isin(langs) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    share = {r["declared"]: min(1.0, max(sample_rows / total, LEAST_SAMPLE / r["count"])) for r in counts}
+    limit = F.element_at(F.array(*(F.lit(int(share[lang] * (1 << 20)) + 1) for lang in langs)), F.array_position(F.array(*map(F.lit, langs)), F.col("declared")).cast("int"))
+    sample = rows.where(F.col("declared").isin(langs)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit)
     place = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), 1 << BITS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             label = batch.column(1).to_pylist()
             for low, high, data, bounds in chunks(batch.column(0)):
                 for row in range(low, high):
                     a, b = bounds[row - low], bounds[row - low + 1]
                     if b - a > 2:
-                        sums[place[label[row]]] += np.bincount(trigrams(data[a:b]), minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], ["place", "sums"])
+                        which = place[label[row]]
+                        if which not in sums:
+                            sums[which] = np.zeros(1 << BITS, np.int64)
+                        sums[which] += np.bincount(trigrams(data[a:b]), minlength=1 << BITS)
+        for which, one in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([one.tobytes()], pa.binary())], ["place", "sums"])
 
     parts = sample.select("text", "declared").repartition(8).mapInArrow(count, "place int, sums binary").collect()
     sums = np.zeros((len(langs), 1 << BITS))
@@ -138,12 +145,11 @@ def softmax(logs) -> F.Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _reliability(seen: DataFrame, name: str, size: int) -> dict[str, list[float]]:
-    """log P(value | language), smoothed, from grouped sums; the most frequent 256 values."""
-    sums = seen.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), *(F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(size)))
-    rows = sums.orderBy(F.desc("n"), name).limit(256).collect()
-    totals = [sum(r[f"s{i}"] for r in rows) for i in range(size)]
-    return {r[name]: [float(np.log((r[f"s{i}"] + 0.5) / (totals[i] + 0.5 * (len(rows) + 1)))) for i in range(size)] for r in rows}
+def _reliability(seen: DataFrame, name: str, size: int) -> DataFrame:
+    """Every value with its log P(value | language), smoothed, from grouped sums."""
+    sums = stored(seen.where(F.col(name).isNotNull()).groupBy(name).agg(*(F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(size))), f"{name}-sums")
+    n, *totals = sums.agg(F.count("*"), *(F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(size))).first()
+    return sums.select(name, F.array(*(F.log((F.col(f"s{i}") + 0.5) / (totals[i] + 0.5 * (n + 1))) for i in range(size))).alias(f"{name}_log"))
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -156,12 +162,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         return rows.select("doc_id", "text_hash", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))
     seen = stored(likelihoods(rows, langs, model).withColumn("post", softmax(F.col("fit"))), "language")
 
-    said, ending = _reliability(seen.where("n > 0"), "declared", size), _reliability(seen.where("n > 0"), "suffix", size)
-    zeros = [0.0] * size
-    tables = []
-    for name, logs in (("declared", said), ("suffix", ending)):
-        data = pd.DataFrame({name: list(logs), f"{name}_log": list(logs.values())})
-        tables.append((name, spark.createDataFrame(data, f"{name} string, {name}_log array<double>")))
+    tables = [(name, _reliability(seen.where("n > 0"), name, size)) for name in ("declared", "suffix")]
 
     # Host priors: sums of text posteriors by host, drawn towards the domain and the corpus.
     domain = F.regexp_extract("host", r"([^.]*(?:\.[^.]*)?)$", 1)
@@ -177,7 +178,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     joined = seen.join(prior, "host", "left")
     for name, small in tables:
         joined = joined.join(small, name, "left")
-    none = F.array(*(F.lit(0.0) for _ in zeros))
+    none = F.array(*(F.lit(0.0) for _ in range(size)))
     start = F.array(*(F.lit(float(np.log(p))) for p in every))
     logs = F.col("fit")
     for part in (F.coalesce("host_log", start), F.coalesce("declared_log", none), F.coalesce("suffix_log", none)):
