@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,14 +41,44 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/webtrail-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by the step that runs; None outside of settled().
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the cluster's shared folder and read back: lineage ends there,
     so a lost executor costs a reread and no repeated job."""
     path = work_path(df.sparkSession, name)
+    if _written.get() is not None:
+        _written.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of work_path()."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make(), stored; the tables that make() stored on the way are deleted once the
+    rows are written, as nothing reads them again."""
+    mine: list[str] = []
+    token = _written.set(mine)
+    try:
+        rows = make()
+        path = work_path(spark, name)
+        rows.write.parquet(path)
+    finally:
+        _written.reset(token)
+        removed(spark, mine)
+    if _written.get() is not None:
+        _written.get().append(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 BATCH_BYTES = 8 << 20
 
 

@@ -3,6 +3,7 @@
 from webtrail.llm import (  # noqa: F401
     decontamination,
     embeddings,
+    exact_dedup,
     html,
     language,
     licenses,
