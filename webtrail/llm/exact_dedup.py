@@ -8,7 +8,7 @@ state folder goes on where it stood.
 
 Rows whose digest others have too are hits: their whole texts are compared with the text at the
 owner's place. Only such rows carry their text into a shuffle; a bitmap of fixed width says of
-nearly all others that their digest is alone. Rows that share a digest but not the text, should
+nearly all other places that they are no hit. Rows that share a digest but not the text, should
 there be any, are grouped by their texts.
 
 Texts are equal when they are identical after each run of white space has become one space.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from webtrail.llm.common import query, settled, stored, work_path
 
-WHITE_RUN = r"[\x20\x09-\x0D]+"
+WHITE = "\t\n\x0b\x0c\r"
 BATCH_BYTES = 256 << 30  # files that one micro-batch takes up
 BITMAP_BITS = 1 << 26
 SEGMENT_BITS = 1 << 15  # of one row of the bitmap
@@ -40,6 +40,7 @@ STATE = {
     f"{_PREFIX}rocksdb.changelogCheckpointing.enabled": "true",
     f"{_PREFIX}rocksdb.boundedMemoryUsage": "true",
     f"{_PREFIX}rocksdb.maxMemoryUsageMB": "256",
+    f"{_PREFIX}rocksdb.allowFAllocate": "false",  # many small stores need no space ahead
 }
 Key = Callable[[Column], Column]
 
@@ -53,13 +54,10 @@ class Source:
     key: Key = F.unhex  # of the text's SHA-256: what the state is keyed by
 
     def _rows(self, docs: DataFrame) -> DataFrame:
-        # The column is referred to through the whole row, so a column named _metadata in the
-        # files is no obstacle.
+        """doc_id, text, path, row. The metadata column is named through the frame, so a column of
+        that name in the files is no obstacle."""
         place = docs.metadataColumn("_metadata")
-        text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), WHITE_RUN, " ")
-        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), place["file_path"].alias("path"), place["row_index"].alias("row"))
-        rows = rows.withColumn("text_sha256", F.sha2("text", 256))
-        return rows.withColumn("digest", self.key(F.col("text_sha256")))
+        return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), place["file_path"].alias("path"), place["row_index"].alias("row"))
 
     def batch(self) -> DataFrame:
         return self._rows(self.spark.read.parquet(self.path))
@@ -71,6 +69,15 @@ class Source:
         return self._rows(files.parquet(path))
 
 
+def normalised(text: Column) -> Column:
+    """The text with one space for each run of white space. Most texts have single characters
+    there, which need no regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, "  +", " ")).otherwise(text)
+
+
 @contextmanager
 def _settings(spark: SparkSession, wanted: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in wanted}
@@ -86,7 +93,7 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
 def ingest(source: Source, state: str, batch_bytes: int = BATCH_BYTES) -> None:
     """Takes the files that the state has not seen into it. A run that was broken off goes on
     with its unfinished batch."""
-    rows = source.stream(batch_bytes)
+    rows = source.stream(batch_bytes).withColumn("digest", source.key(F.sha2(normalised(F.col("text")), 256)))
     owner = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "path", "row")
     groups = rows.groupBy("digest").agg(F.min(owner).alias("owner"), F.count("*").alias("held"))
     with _settings(source.spark, STATE):  # a query keeps the settings that it started with
@@ -106,9 +113,9 @@ def owners(spark: SparkSession, state: str) -> DataFrame:
 
 
 def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose digest may be among the wanted ones. The bitmap has BITMAP_BITS bits (8 MB)
-    whatever the number of digests; where it is full it lets all rows through."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(BITMAP_BITS))
+    """The rows whose path and row may be among the wanted ones. The bitmap has BITMAP_BITS bits (8 MB)
+    whatever the number of places; where it is full it lets all rows through."""
+    bit = F.pmod(F.xxhash64("path", "row"), F.lit(BITMAP_BITS))
     segment = F.shiftright(bit, 15)
     place = F.pmod(bit, F.lit(SEGMENT_BITS))
     bits = wanted.select(segment.alias("_segment"), place.alias("_place"))
@@ -121,24 +128,28 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def resolved(source: Source, held: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of the source, all of which the
     state has seen."""
-    spark = source.spark
-    rows = source.batch()
-    shared = held.where("held > 1")
-    texts = _maybe(rows, shared.select("digest")).select("digest", "path", "row", "doc_id", "text", "text_sha256")
-    first = texts.join(shared.select("digest", F.col("keep_path").alias("path"), F.col("keep_row").alias("row")), ["digest", "path", "row"])
-    hits = texts.join(first.select("digest", F.col("text").alias("first")), "digest")
-    other = stored(hits.where(F.col("text") != F.col("first")).select(texts.columns), "same-digest")
+    rows = stored(source.batch().select("doc_id", "path", "row", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")), "digests")
+    rows = rows.withColumn("digest", source.key(F.col("text_sha256")))
+    stays = (F.col("path") == F.col("keep_path")) & (F.col("row") == F.col("keep_row"))
+    rows = stored(rows.join(held, "digest").withColumn("kept", stays).drop("keep_path", "keep_row"), "told")
+
+    hits = rows.where("held > 1")
+    texts = _maybe(source.batch(), hits.select("path", "row")).select("path", "row", normalised(F.col("text")).alias("text"))
+    texts = hits.join(texts, ["path", "row"])
+    first = texts.where("kept").select("digest", F.col("text").alias("first"))
+    other = texts.where("NOT kept").join(first, "digest").where(F.col("text") != F.col("first"))
+    other = stored(other.select("digest", "path", "row", "doc_id", "text", "text_sha256"), "same-digest")
 
     lost = other.groupBy("digest").agg(F.count("*").alias("lost"))
-    equal = rows.drop("text").join(held, "digest").join(other.select("path", "row"), ["path", "row"], "left_anti").join(lost, "digest", "left")
-    stays = (F.col("path") == F.col("keep_path")) & (F.col("row") == F.col("keep_row"))
-    result = lambda size: ["doc_id", "keep_id", size.alias("group_size"), stays.alias("kept"), "text_sha256"]
-    equal = equal.select(*result(F.col("held") - F.coalesce("lost", F.lit(0))))
+    result = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    equal = rows.join(other.select("path", "row"), ["path", "row"], "left_anti").join(lost, "digest", "left")
+    equal = equal.withColumn("group_size", F.col("held") - F.coalesce("lost", F.lit(0))).select(*result)
 
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "path", "row"))
-    apart = other.groupBy("digest", "text").agg(owner.alias("owner"), F.count("*").alias("held"))
-    apart = apart.select("digest", "text", F.col("owner.doc_id").alias("keep_id"), F.col("owner.path").alias("keep_path"), F.col("owner.row").alias("keep_row"), "held")
-    return equal.unionByName(other.join(apart, ["digest", "text"]).select(*result(F.col("held"))))
+    apart = other.groupBy("digest", "text").agg(owner.alias("owner"), F.count("*").alias("group_size"))
+    mine = (F.col("path") == F.col("owner.path")) & (F.col("row") == F.col("owner.row"))
+    apart = other.join(apart, ["digest", "text"]).withColumn("kept", mine).withColumn("keep_id", F.col("owner.doc_id"))
+    return equal.unionByName(apart.select(*result))
 
 
 def deduplicate(source: Source, state: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
