@@ -1,6 +1,7 @@
 """All registered queries of this package."""
 
 from webtrail.llm import (  # noqa: F401
+    alignment,
     decontamination,
     embeddings,
     exact_dedup,
