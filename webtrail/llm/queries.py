@@ -11,6 +11,7 @@ from webtrail.llm import (  # noqa: F401
     ngram_join,
     pieces,
     pii,
+    prefix_trie,
     quality,
     warc,
 )
