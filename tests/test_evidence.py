@@ -4,10 +4,12 @@ import bz2
 import gzip
 import lzma
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from webtrail.functions import sqltext
 from webtrail.operators import accounts, actors, cms, coverage, dumps, errorlog, webroot
 from webtrail.sinks import exports
 from webtrail.sources import candidates, dumps as dump_source, files, logs, rules
@@ -174,16 +176,99 @@ def as_lines(spark, text, dump="/d/a.sql", per_block=3):
     return spark.createDataFrame([(dump, i // per_block, i, v) for i, v in enumerate(text.split("\n"))], "dump string, block long, pos long, value string")
 
 
-@pytest.mark.parametrize("per_block", [1, 3, 100])
+MIXED = r"""/* it's a "dump" */ INSERT INTO a VALUES (1,'x') /* ; */;INSERT INTO b VALUES (1,"it's; x", NOW(a(b(c(d(e(f(g(h(i(j(k(1, 2)))))))))))) ) -- it's
+, (2, 'a\'b', "c""d
+e;")
+, ( 3 , NULL ,'') ON DUPLICATE KEY UPDATE a=VALUES(a);
+/*!40000 ALTER TABLE `x;'` DISABLE KEYS */;
+# it's; a (note
+CREATE TABLE `t` ( -- it's; a
+ `a;` int, `b` varchar(3) DEFAULT ',' /* ' */, KEY `k` (`b`));
+/* over
+'lines; */
+  INSERT INTO `#__t` (`a`, b)VALUES(1,'\\'),(2,'--no'),(3,1-2),('x' 'y',-- none
+4/2)"""
+MIXED_ROWS = {
+    ("a", 1): ["1", "x"], ("b", 1): ["1", "it's; x", "NOW(a(b(c(d(e(f(g(h(i(j(k(1, 2))))))))))))"], ("b", 2): ["2", "a'b", 'c"d\ne;'],
+    ("b", 3): ["3", None, ""], ("#__t", 1): ["1", "\\"], ("#__t", 2): ["2", "--no"], ("#__t", 3): ["3", "1-2"], ("#__t", 4): ["x' 'y", "4/2"]}
+
+
+@pytest.mark.parametrize("per_block", [1, 2, 3, 100])
 def test_statements_across_lines_and_blocks(spark, per_block):
-    text = DUMP.replace("-- It's a comment", "-- a comment")
-    got = [r.statement.strip() for r in dumps.statements(as_lines(spark, text, per_block=per_block)).orderBy("stmt_no").collect()]
-    assert got == [s.strip() for s in reference_statements(text)]
+    got = [r.statement.strip() for r in dumps.statements(as_lines(spark, DUMP.replace("-- It's a comment", "-- a comment"), per_block=per_block)).orderBy("stmt_no").collect()]
+    assert got == [s.strip() for s in reference_statements(DUMP.replace("-- It's a comment", "-- a comment"))]
+    # With an apostrophe in a comment the statements are the same, but for the comment.
+    got = [r.statement.strip().replace("It's", "a") for r in dumps.statements(as_lines(spark, DUMP, per_block=per_block)).orderBy("stmt_no").collect()]
+    assert got == [s.strip() for s in reference_statements(DUMP.replace("It's", "a"))]
+
+
+@pytest.mark.parametrize("per_block", [1, 2, 4, 100])
+def test_comments_quotes_and_calls(spark, per_block):
+    lines = as_lines(spark, MIXED, per_block=per_block).unionAll(as_lines(spark, MIXED, "/d/b.sql", 3))
+    statements = dumps.statements(lines)
+    rows = dumps.dump_rows(dumps.insert_rows(statements), dumps.created_columns(statements)).collect()
+    for dump in ("/d/a.sql", "/d/b.sql"):
+        assert {(r.table, r.row_no): r["values"] for r in rows if r.dump == dump} == MIXED_ROWS
+    assert {tuple(r["columns"]) for r in rows if r.table == "#__t"} == {("a", "b")}
+    assert {(r.table, tuple(r["columns"])) for r in dumps.created_columns(statements).collect()} == {("t", ("a;", "b"))}
+    assert dumps.unclosed(lines).collect() == []
+
+
+@pytest.mark.parametrize("tail, reason", [("'it", "value"), ('"it', "value"), ("`it", "name"), ("/* it", "comment")])
+def test_what_never_ends_is_reported(spark, tail, reason):
+    text = "INSERT INTO a VALUES (1);\nINSERT INTO a VALUES (2);INSERT INTO a VALUES (3," + tail + "\nINSERT INTO a VALUES (4);\n" * 5
+    for per_block in (1, 100):
+        lines = as_lines(spark, text, per_block=per_block)
+        assert [tuple(r) for r in dumps.unclosed(lines).collect()] == [("/d/a.sql", 2, f"unclosed {reason}")]
+        assert {tuple(r["values"]) for r in dumps.insert_rows(dumps.statements(lines)).collect()} == {("1",), ("2",)}
+
+
+def test_summaries_compose_as_lines_do():
+    """Any text of the characters that matter, cut anywhere: composed summaries against one state
+    machine that reads character by character."""
+    def plain(text, state):
+        ends, i = 0, 0
+        while i < len(text):
+            c, two = text[i], text[i:i + 2]
+            if state in (1, 2, 3):
+                quote = "'\"`"[state - 1]
+                if c == "\\" and state != 3:
+                    i += 1
+                elif two == quote * 2:
+                    i += 1
+                elif c == quote:
+                    state = 0
+            elif state == 4:
+                if two == "*/":
+                    state, i = 0, i + 1
+            elif state == 5:
+                state = 0 if c == "\n" else 5
+            elif c in "'\"`":
+                state = "'\"`".index(c) + 1
+            elif two == "/*" and text[i + 2:i + 3] != "!":
+                state, i = 4, i + 1
+            elif (two == "--" and text[i + 2:i + 3] in ("", " ", "\n")) or (c == "#" and text[i + 1:i + 3] != "__"):
+                state = 5
+            elif two == "*/":
+                i += 1
+            elif c == ";":
+                ends += 1
+            i += 1
+        return (0 if state == 5 else state), ends
+
+    dice = random.Random(3)
+    for _ in range(3000):
+        text = "".join(dice.choices("'\"`;-#/*\\a _!\n", k=dice.randint(0, 24)))
+        lines = text.split("\n")
+        cut = dice.randint(0, len(lines))
+        for state in range(5):
+            first = sqltext.summary(lines[:cut])[state]
+            second = sqltext.summary(lines[cut:])[first[0]]
+            assert (second[0], first[1] + second[1]) == plain(text + "\n", state), (text, state)
 
 
 def test_rows_of_a_dump(spark):
-    text = DUMP.replace("-- It's a comment", "-- a comment")
-    statements = dumps.statements(as_lines(spark, text))
+    statements = dumps.statements(as_lines(spark, DUMP))
     rows = dumps.dump_rows(dumps.insert_rows(statements), dumps.created_columns(statements))
     got = {(r.table, r.row_no): (r["columns"], r["values"]) for r in rows.collect()}
     users = ["ID", "user_login", "user_email"]

@@ -51,35 +51,77 @@ def _post_text():
 _POST_SQL = "html || chr(10) || 'x;y ''q'' C:\\new (a, b);' || CASE WHEN page_id % 2 = 0 THEN '''''' ELSE '' END"
 
 
+def _as_lines(pages, dump, statement, every=20):
+    """A text of each page as lines of a dump, in blocks of a few pages."""
+    lines = computed_once(pages.select("page_id", F.split(statement, "\n").alias("l"))).select("page_id", F.posexplode("l").alias("i", "value"))
+    return lines.select(F.lit(dump).alias("dump"), F.floor(F.col("page_id") / every).cast("long").alias("block"),
+                        (F.col("page_id") * 100000 + F.col("i")).alias("pos"), "value")
+
+
+_CALLS = "NOW(a(b(c(d(e(f(g(h(i(j(k(1, 2))))))))))))"
+
+
 def dump_lines(spark, sf):
-    """`pages` as the lines of an export: statements that run over lines and blocks."""
-    pages = computed_once(b.table(spark, sf, "pages").select("page_id", "url", _post_text().alias("text")))
-    statement = F.concat(
-        F.when(F.col("page_id") == 0, "-- MySQL dump 10.13\n-- Host: localhost\nCREATE TABLE `wp_posts` (\n  `ID` bigint,\n"
-               "  `post_content` longtext COMMENT 'a, (b)',\n  `guid` varchar(255),\n  PRIMARY KEY (`ID`, `guid`)\n);\n").otherwise(""),
-        F.lit("INSERT INTO `wp_posts` VALUES\n("), F.col("page_id").cast("string"), F.lit(","), _quoted(F.col("text")), F.lit(","),
-        _quoted(F.col("url")), F.lit("),\n("), F.col("page_id").cast("string"), F.lit(",NULL,'it''s');"))
-    lines = computed_once(pages.select("page_id", F.split(statement, "\n").alias("l"))).select(
-        "page_id", F.posexplode("l").alias("i", "value"))
-    return lines.select(F.lit("/dumps/site.sql").alias("dump"), F.floor(F.col("page_id") / 20).cast("long").alias("block"),
-                        (F.col("page_id") * 1000 + F.col("i")).alias("pos"), "value")
-
-
-@query("dump_rows", "S9 P29 B10 A28 W5", f"""SELECT 'wp_posts' AS "table", row_number() OVER (ORDER BY page_id, k) AS row_no, 'ID,post_content,guid' AS columns,
+    """`pages` as the lines of two exports: one as a tool writes it, its statements over lines and
+    blocks, and one with comments of every kind, both quotes, nested calls and several or indented
+    INSERTs in a line."""
+    pages = computed_once(b.table(spark, sf, "pages").select("page_id", "url", "html", _post_text().alias("text")))
+    page = F.col("page_id").cast("string")
+    tool = F.concat(
+        F.when(F.col("page_id") == 0, "-- MySQL dump 10.13\n-- It's a comment; Host: localhost\nCREATE TABLE `wp_posts` (\n  `ID` bigint,\n"
+               "  `post_content` longtext COMMENT 'a, (b)', -- it's; one\n  `guid` varchar(255),\n  PRIMARY KEY (`ID`, `guid`)\n);\n").otherwise(""),
+        F.lit("INSERT INTO `wp_posts` VALUES\n("), page, F.lit(","), _quoted(F.col("text")), F.lit(","),
+        _quoted(F.col("url")), F.lit("),\n("), page, F.lit(",NULL,'it''s');"))
+    double = F.concat(F.lit('"'), F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    mixed = F.concat(
+        F.lit("/* it's page "), page, F.lit("; \" ( */ INSERT INTO `notes` VALUES ("), page, F.lit(",\"it's; \\\"x\\\" \"\"y\"\"\"," + _CALLS + ");INSERT INTO `marks` (`id`, `t`) VALUES ("),
+        page, F.lit(",'a;b'); -- don't; stop\n   INSERT INTO `notes` VALUES ("), page, F.lit(", "), double, F.lit(", NULL) # it's \"the\" end;\n/* one;\n' two */  ,("),
+        page, F.lit(",'x', \"\");"))
+    return _as_lines(pages, "/dumps/site.sql", tool).unionAll(_as_lines(pages, "/dumps/mixed.sql", mixed, 7))
+
+
+def dump_statements(spark, sf):
+    return dumps.statements(dump_lines(spark, sf), lambda df, name: b.stored(spark, sf, f"dump_{name}", lambda: df))
+
+
+def dump_inserts(spark, sf):
+    return b.stored(spark, sf, "dump_inserts", lambda: dumps.insert_rows(dump_statements(spark, sf)))
+
+
+@query("dump_rows", "S9 P29 B10 A28 W5", f"""SELECT '/dumps/site.sql' AS dump, 'wp_posts' AS "table", row_number() OVER (ORDER BY page_id, k) AS row_no, 'ID,post_content,guid' AS columns,
  CAST(page_id AS VARCHAR) AS v1, CASE k WHEN 0 THEN {_POST_SQL} END AS v2, CASE k WHEN 0 THEN url ELSE 'it''s' END AS v3
- FROM pages, (VALUES (0), (1)) t(k)""")
+ FROM pages, (VALUES (0), (1)) t(k)
+UNION ALL SELECT '/dumps/mixed.sql', 'notes', row_number() OVER (ORDER BY page_id, k), 'col1,col2,col3',
+ CAST(page_id AS VARCHAR), CASE k WHEN 0 THEN 'it''s; "x" "y"' WHEN 1 THEN html ELSE 'x' END, CASE k WHEN 0 THEN '{_CALLS}' WHEN 2 THEN '' END FROM pages, (VALUES (0), (1), (2)) t(k)
+UNION ALL SELECT '/dumps/mixed.sql', 'marks', row_number() OVER (ORDER BY page_id), 'id,t', CAST(page_id AS VARCHAR), 'a;b', NULL FROM pages""")
 def dump_rows(spark, sf):
-    statements = dumps.statements(dump_lines(spark, sf))
-    rows = dumps.dump_rows(dumps.insert_rows(statements), dumps.created_columns(statements))
-    return rows.select("table", "row_no", F.array_join("columns", ",").alias("columns"),
-                       F.col("values")[0].alias("v1"), F.col("values")[1].alias("v2"), F.col("values")[2].alias("v3"))
+    rows = dumps.dump_rows(dump_inserts(spark, sf), dumps.created_columns(dump_statements(spark, sf)))
+    return rows.select("dump", "table", "row_no", F.array_join("columns", ",").alias("columns"),
+                       F.col("values")[0].alias("v1"), F.col("values")[1].alias("v2"), F.get("values", F.lit(2)).alias("v3"))
 
 
-@query("dump_inventory", "A27 S10", """SELECT 'wp_posts' AS "table", 2 * count(*) AS rows, 3 AS columns, count(*) + 1 AS statements FROM pages""")
+@query("dump_inventory", "A27 S10", """SELECT '/dumps/site.sql' AS dump, 'wp_posts' AS "table", 2 * count(*) AS rows, 3 AS columns, count(*) + 1 AS statements FROM pages
+UNION ALL SELECT '/dumps/mixed.sql', 'notes', 3 * count(*), 0, 3 * count(*) FROM pages UNION ALL SELECT '/dumps/mixed.sql', 'marks', count(*), 0, 3 * count(*) FROM pages""")
 def dump_inventory(spark, sf):
-    statements = dumps.statements(dump_lines(spark, sf))
-    table = dumps.inventory(statements, dumps.insert_rows(statements), dumps.created_columns(statements))
-    return table.select("table", "rows", "columns", "statements")
+    statements = dump_statements(spark, sf)
+    table = dumps.inventory(statements, dump_inserts(spark, sf), dumps.created_columns(statements))
+    return table.select("dump", "table", "rows", "columns", "statements")
+
+
+@query("broken_dumps", "S9 K10", """SELECT dump, (CASE dump WHEN '/dumps/value.sql' THEN 1 ELSE 2 END * count(*))::BIGINT AS stmt_no, reason, (CASE dump WHEN '/dumps/value.sql' THEN 1 ELSE 2 END * count(*))::BIGINT AS rows
+ FROM pages, (VALUES ('/dumps/value.sql', 'unclosed value'), ('/dumps/note.sql', 'unclosed comment')) t(dump, reason) GROUP BY dump, reason""")
+def broken_dumps(spark, sf):
+    """Exports that end inside a value and inside a comment: what was whole is read, the rest is
+    reported."""
+    pages = b.table(spark, sf, "pages").select("page_id", "html")
+    row = F.concat(F.lit("INSERT INTO `b` VALUES ("), F.col("page_id"), F.lit(","), _quoted(F.col("html")), F.lit(");"))
+    last = b.table(spark, sf, "pages").groupBy().agg(F.max("page_id").alias("page_id"))
+    tail = lambda text: last.select((F.col("page_id") + 1).alias("page_id"), F.lit(text).alias("line"))
+    part = lambda dump, text, rows: _as_lines(rows.unionByName(tail(text)), dump, F.col("line"))
+    lines = part("/dumps/value.sql", "INSERT INTO `b` VALUES (1,'; it\\'s", pages.select("page_id", row.alias("line"))).unionAll(
+        part("/dumps/note.sql", "/* it's; INSERT INTO `b` VALUES (1);", pages.select("page_id", F.concat(row, row).alias("line"))))
+    read = dumps.insert_rows(dumps.statements(lines)).groupBy("dump").agg(F.count("values").alias("rows"))
+    return dumps.unclosed(lines).join(read, "dump").select("dump", "stmt_no", "reason", "rows")
 
 
 def account_lines(spark, sf):
@@ -98,7 +140,7 @@ def account_lines(spark, sf):
 SELECT 'wp_users' AS "table", user_id AS v1, login AS v2, pass AS v3, email AS v5, registered AS v7, 'A \\ B; (c)' AS v10, 10 AS width FROM acc""")
 def dump_rows_by_line(spark, sf):
     lines = account_lines(spark, sf)
-    rows = dumps.insert_rows(dumps.insert_lines(lines.join(dumps.line_balanced(lines), "dump", "left_semi")), "stmt_order")
+    rows = dumps.insert_rows(dumps.statements(lines))
     v = F.col("values")
     return rows.select("table", v[0].alias("v1"), v[1].alias("v2"), v[2].alias("v3"), v[4].alias("v5"), v[6].alias("v7"),
                        v[9].alias("v10"), F.size("values").alias("width"))
@@ -265,16 +307,38 @@ def dump_cms(spark, sf):
     return found.select("dump", F.array_join("cms", ",").alias("cms"))
 
 
-@query("database_view", "N17 J15 A30 B11", f"""WITH {_TABLES}
-SELECT dump, 'export' AS kind, count(*) AS tables, (count(*) * (SELECT count(*) FROM customer))::BIGINT AS rows,
- CASE WHEN dump = '/dumps/joomla.sql' THEN 5 ELSE 0 END AS flagged FROM tabs GROUP BY dump""")
+#: Exports of every kind: with a header, shipped with an extension, with the placeholder in names,
+#: with the placeholder in values only, with the placeholder in names but a header, and without rows.
+_KINDS = (("/dumps/export.sql", "-- MySQL dump 10.13", "jos_users"), ("/web/com_x/sql/install.sql", "-- Notes", "jos_ext"), ("/dumps/template.sql", "-- Notes", "#__users"),
+          ("/dumps/plain.sql", "-- Notes", "notes"), ("/web/com_x/sql/update.sql", "-- Server version: 8.0.36", "#__menu"))
+
+
+def kind_lines(spark, sf):
+    """`customer` as rows of exports of each kind, `nation` as tables without rows."""
+    customer = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), "c_name")
+    value = F.concat(F.lit(",'"), F.col("c_name"), F.lit(" in #__content');"))
+    lines = None
+    for dump, first, table in _KINDS:
+        top = F.when(F.col("page_id") == 1, f"{first}\n").otherwise("")
+        part = _as_lines(customer, dump, F.concat(top, F.lit(f"INSERT INTO `{table}` VALUES ("), F.col("page_id"), value), 1000)
+        lines = part if lines is None else lines.unionAll(part)
+    empty = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("page_id"))
+    return lines.unionAll(_as_lines(empty, "/dumps/empty.sql", F.concat(F.lit("CREATE TABLE `t"), F.col("page_id"), F.lit("` (`a` int, `b` text);"))))
+
+
+@query("database_view", "N17 J15 A30 B11", """WITH n AS (SELECT count(*)::BIGINT AS n FROM customer)
+SELECT dump, kind, 1::BIGINT AS tables, n AS rows, flagged FROM n, (VALUES ('/dumps/export.sql', 'export', 5), ('/web/com_x/sql/install.sql', 'schema', 0), ('/dumps/template.sql', 'schema', 0),
+ ('/dumps/plain.sql', 'export', 0), ('/web/com_x/sql/update.sql', 'export', 0)) t(dump, kind, flagged)
+UNION ALL SELECT '/dumps/empty.sql', 'schema', count(*), 0, 0 FROM nation""")
 def database_view(spark, sf):
-    tables = account_rows(spark, sf).groupBy("dump", "table").agg(F.count(F.lit(1)).alias("rows"))
-    kinds = tables.groupBy("dump").agg(F.sum("rows").alias("n")).select("dump", dumps.kind_of_dump(
-        F.col("dump"), [F.lit("")], F.lit(False), F.col("n")).alias("kind"))
+    lines = kind_lines(spark, sf)
+    statements = dumps.statements(lines, lambda df, name: b.stored(spark, sf, f"kind_{name}", lambda: df))
+    # The first lines of a dump are those of its first text, whose page_id is 1.
+    heads = lines.filter(F.floor(F.col("pos") / 100000) == 1).select("dump", (F.col("pos") % 100000).alias("line_no"), "value")
+    tables = dumps.kinds(heads, dumps.insert_rows(statements), dumps.created_columns(statements))
     arts = tables.filter(F.col("table") == "jos_users").select(
         F.col("table").alias("artifact"), F.lit("table").alias("artifact_kind"), F.lit(5).alias("findings"), F.lit(0).alias("worst"), F.lit("new").alias("triage"))
-    return account_ops.database_view(tables.join(kinds, "dump"), arts)
+    return account_ops.database_view(tables, arts)
 
 
 @query("dump_totals", "A30", f"""WITH {_ACCOUNTS}, {_TABLES}
