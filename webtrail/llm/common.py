@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
@@ -62,21 +63,32 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The rows of make(), stored; the tables that make() stored on the way are deleted once the
-    rows are written, as nothing reads them again."""
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at its end, all but those handed out: it gives a function
+    that stores rows so that they outlive it."""
     mine: list[str] = []
+    outer = _written.get()
     token = _written.set(mine)
-    try:
-        rows = make()
+
+    def hand_out(rows: DataFrame, name: str) -> DataFrame:
         path = work_path(spark, name)
+        if outer is not None:
+            outer.append(path)
         rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    try:
+        yield hand_out
     finally:
         _written.reset(token)
         removed(spark, mine)
-    if _written.get() is not None:
-        _written.get().append(path)
-    return spark.read.schema(rows.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make(), stored; what make() stored on the way is deleted once they are written."""
+    with scratch(spark) as hand_out:
+        return hand_out(make(), name)
 
 
 BATCH_BYTES = 8 << 20
@@ -238,23 +250,36 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large and small stars: each round hangs neighbours under the smallest node
     seen, until the links are stars. A node with very many links is aggregated before the
-    shuffle, and the joins that follow can be split by the runtime."""
+    shuffle, and the joins that follow can be split by the runtime. The tables of a round go with
+    it."""
+    spark = edges.sparkSession
+    return settled(spark, lambda: _stars(edges, name), name)
+
+
+def _stars(edges: DataFrame, name: str) -> DataFrame:
+    spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
     edge = stored(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
     mark = None
     while True:
-        both = edge.select("a", "b").unionByName(edge.select(b.alias("a"), a.alias("b")))
-        # The minima are written before they are joined: so the join has its rows in a stage of
-        # its own, where the runtime can split those of a node with very many links.
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), name)
-        large = both.join(least, "a").where("b > a and b <> m").select(b.alias("a"), F.col("m").alias("b"))
-        large = stored(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), name)
-        small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
-        hung = large.join(small_least, "a").where("b <> m").select(b.alias("a"), F.col("m").alias("b"))
-        edge = stored(hung.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), name)
+        edge = settled(spark, lambda edge=edge: _hung(edge, name), name)
         seen = tuple(edge.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b").cast("long"))).first())
         if seen == mark or not seen[0]:
             break
         mark = seen
     tops = edge.select(b.alias("node"), b.alias("component")).distinct()
-    return stored(edge.select(a.alias("node"), b.alias("component")).unionByName(tops), name)
+    return edge.select(a.alias("node"), b.alias("component")).unionByName(tops)
+
+
+def _hung(edge: DataFrame, name: str) -> DataFrame:
+    """One round: the larger neighbours of each node, then the smaller ones, under the smallest."""
+    a, b = F.col("a"), F.col("b")
+    both = edge.select("a", "b").unionByName(edge.select(b.alias("a"), a.alias("b")))
+    # The minima are written before they are joined: so the join has its rows in a stage of
+    # its own, where the runtime can split those of a node with very many links.
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), name)
+    large = both.join(least, "a").where("b > a and b <> m").select(b.alias("a"), F.col("m").alias("b"))
+    large = stored(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), name)
+    small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+    hung = large.join(small_least, "a").where("b <> m").select(b.alias("a"), F.col("m").alias("b"))
+    return hung.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct()

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import query, stored, table
+from webtrail.llm.common import query, settled, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -116,8 +116,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark item."""
-    bad = stored(leaks(docs, benchmark), "leaks").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    found = lambda: leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    bad = settled(docs.sparkSession, found, "leaks")
+    # Columns are named through their frames: docs may have a _doc of its own.
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
     return docs.join(bad, same, "left_anti")
 
 

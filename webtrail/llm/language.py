@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import LOWER, chunks, query, stored, table, text_pass
+from webtrail.llm.common import LOWER, chunks, query, settled, stored, table, text_pass
 
 SAMPLE_ROWS = 8000
 LEAST_DECLARED, LEAST_SAMPLE = 2, 200
@@ -197,6 +197,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The documents without the rejected ones; a row is known by its id and its text."""
-    rejected = stored(identify(docs).where("NOT accepted").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    found = lambda: identify(docs).where("NOT accepted").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rejected = settled(docs.sparkSession, found, "rejected")
+    # Columns are named through their frames: docs may have an _id of its own.
+    same = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"].cast("string")) == rejected["_hash"])
     return docs.join(rejected, same, "left_anti")

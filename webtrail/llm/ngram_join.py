@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import WHITE, chunks, components, mix, query, shingles, stored, table, text_pass, words
+from webtrail.llm.common import WHITE, chunks, components, mix, query, scratch, settled, shingles, stored, table, text_pass, words
 
 WIDTH, PERCENT = 3, 90
 SKETCH_BITS = 20
@@ -186,7 +186,7 @@ def _live(codes: DataFrame, heads: DataFrame, percent: int, rounds: int = 2) ->
         F.count("*").alias("held"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("held > 1")
     steps = stored(members.groupBy("held", "low", "high", "h", "g").agg(F.min("code").alias("code"), F.count("*").alias("weight")).select("code", "weight"), "steps")
-    return stored(codes.join(steps, "code").select("node", "code", "weight"), "paths-long")
+    return codes.join(steps, "code").select("node", "code", "weight")
 
 
 def _centres(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -427,6 +427,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id; one row per row of docs."""
+    return settled(docs.sparkSession, lambda: _join(docs, width, percent), "joined")
+
+
+def _join(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = stored(measured(docs, width), "sets")
@@ -439,17 +443,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     # with several sets.
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
     others = named.join(nodes, "digest").where("doc_id <> node").select("doc_id").unionByName(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    every = stored(prefixes(docs, width, percent, classes, bitmap(others)), "prefixes")
-    told = every.where("copy AND node IS NOT NULL").join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
-    heads = every.where("NOT copy").unionByName(stored(told.select(every.columns), "told"))
-    live = _live(heads.select("node", F.explode("prefix").alias("code")), heads, percent)
-    alive = live.select("node").distinct()
-    kept = stored(heads.join(alive, "node").select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last")), "kept")
+    # The prefixes are needed for the paths only; what is made of them on the way goes here.
+    with scratch(spark) as hand_out:
+        every = stored(prefixes(docs, width, percent, classes, bitmap(others)), "prefixes")
+        told = every.where("copy AND node IS NOT NULL").join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
+        heads = every.where("NOT copy").unionByName(stored(told.select(every.columns), "told"))
+        live = hand_out(_live(heads.select("node", F.explode("prefix").alias("code")), heads, percent), "live")
+        alive = live.select("node").distinct()
+        kept = heads.join(alive, "node").select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last"))
+        kept = hand_out(kept, "kept")
     sets = stored(whole_sets(docs, kept, width), "whole")
 
-    first = stored(verified(_centres(live, kept, percent), sets, percent), "links-centres")
+    first = settled(spark, lambda: verified(_centres(live, kept, percent), sets, percent), "links-centres")
     groups = components(first)
-    second = stored(verified(_across(live, kept.drop("digest"), groups, percent), sets, percent), "links-across")
+    second = settled(spark, lambda: verified(_across(live, kept.drop("digest"), groups, percent), sets, percent), "links-across")
     groups = components(first.unionByName(second))
 
     joined = rows.join(nodes, "digest", "left").join(groups, "node", "left")
@@ -460,13 +467,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the row with the smallest id (of rows that repeat the
     id, one). Rows with a null id stay."""
-    groups = stored(join(docs, width, percent), "joined")
+    groups = join(docs, width, percent)
     kept = stored(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept-ids")
-    same = docs["doc_id"].cast("long") == F.col("_id")
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    once, more = kept.where("_rows = 1"), kept.where("_rows > 1")
+    # Columns are named through their frames: docs may have an _id of its own.
+    same = lambda ids: docs["doc_id"].cast("long") == ids["_id"]
     # Only rows of repeated ids are brought together.
-    again = docs.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    again = docs.join(more, same(more), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(once, same(once), "left_semi").unionByName(again).unionByName(docs.where("doc_id IS NULL"))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtrail.llm.common import query, stored, table
+from webtrail.llm.common import query, scratch, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 BUCKETS = 512
@@ -232,9 +232,15 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of `text` replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; spans
     that overlap are replaced as one, by a tag for each of their kinds as they begin."""
-    spans = detect(docs.select("text")).select(F.explode("candidates").alias("s")).select("s.kind", "s.votes", "s.features")
-    weights, bias = fit(spans)
-    rows = detect(docs.withColumnRenamed("candidates", "_candidates") if "candidates" in docs.columns else docs)
+    def fitted() -> tuple[list[float], float]:
+        # Stored before it is exploded: else the filter on its size repeats all patterns.
+        seen = stored(detect(docs.select("text")).select("candidates"), "spans").where(F.size("candidates") > 0)
+        return fit(seen.select(F.explode("candidates").alias("s")).select("s.kind", "s.votes", "s.features"))
+
+    with scratch(docs.sparkSession):
+        weights, bias = fitted()
+    # The caller's columns travel in one, so that none of their names can meet those used here.
+    rows = detect(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["text"].cast("string").alias("text")))
     rows = rows.withColumn("_found", F.when(F.size("candidates") > 0, score(F.col("candidates"), weights, bias)))
     ordered = "array_sort(transform(_found, s -> named_struct('start', s.start, 'back', -s.end, 'kind', s.kind)))"
     flat = (f"aggregate({ordered}, CAST(array() AS array<struct<start:int,back:int,kinds:array<int>>>),"
@@ -247,7 +253,7 @@ def redact(docs: DataFrame) -> DataFrame:
     pieces = ("transform(_flat, (s, k) -> concat(substring(text, IF(k = 0, 0, -element_at(_flat, k).back) + 1, s.start - IF(k = 0, 0, -element_at(_flat, k).back)),"
               f" array_join(transform(s.kinds, j -> get({tags}, j)), '')))")
     done = F.expr(f"CASE WHEN size(_flat) > 0 THEN concat(array_join({pieces}, ''), substring(text, 1 - element_at(_flat, -1).back)) ELSE text END")
-    return rows.withColumn("_done", done).select(*(F.col("_done").alias(c) if c == "text" else F.col("_candidates").alias(c) if c == "candidates" else F.col(c) for c in docs.columns))
+    return rows.select("_row", done.alias("_done")).select(*(F.col("_done").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 @query("op5_pii")
