@@ -377,7 +377,7 @@ def test_large_files_are_scanned_and_compared(spark, tmp_path):
     diff = {r.rel: r.status for r in webroot.tree_diff(webroot.tree(left), webroot.tree(right)).collect()}
     assert diff == {"lib/same.php": "identical", "lib/huge.bin": "identical", "lib/other.php": "modified"}
     assert webroot.findings(left).filter("line is not null").count() == 0
-    found = webroot.findings(left, pieces=files.large_texts(left)).filter("line is not null").collect()
+    found = webroot.findings(left, ranges=files.ranges(left)).filter("line is not null").collect()
     assert found and {(os.path.basename(r.artifact), r.line) for r in found} == {("same.php", 400_001)}
 
 

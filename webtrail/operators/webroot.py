@@ -78,10 +78,13 @@ def inert_files(files: DataFrame) -> DataFrame:
     t = latin(typed(files).filter(_plain_php()))
     inert = (is_.in_upload_directory(F.col("site")) & ~is_.cms_guard(F.col("text"))
              & ~is_.executable_surface(F.col("text")))
-    size = F.col("length").cast("string")
-    return t.filter(inert).select("path", F.concat(
-        F.lit("no executable surface ("), size, F.lit(" bytes"),
-        F.when(F.col("length") <= fixed.GUARD_BYTES, ", likely a directory stub)").otherwise(")")).alias("reason"))
+    return t.filter(inert).select("path", _inert_reason())
+
+
+def _inert_reason() -> Column:
+    return F.concat(
+        F.lit("no executable surface ("), F.col("length").cast("string"), F.lit(" bytes"),
+        F.when(F.col("length") <= fixed.GUARD_BYTES, ", likely a directory stub)").otherwise(")")).alias("reason")
 
 
 def skipped_files(files: DataFrame) -> DataFrame:
@@ -108,24 +111,140 @@ def line_findings(texts: DataFrame, rules) -> DataFrame:
         truncate(readable(F.col("content_line")), 160).alias("evidence"))
 
 
-def large_findings(pieces: DataFrame) -> DataFrame:
-    """The content rules of a line, the handler rules and the image rule over the pieces of large
-    files (`sources.files.large_texts`): no file is too large to be scanned. Pieces end with a
-    line, so the line rules see every line; a finding of the file is made once."""
-    named = typed(pieces.withColumn("_length", F.col("length")).withColumn("length", F.length("content").cast("long")).withColumn(
-        "path", F.concat_ws("\u0001", "path", F.col("first_line").cast("string"))))
-    base = F.lower(uris.basename(F.substring_index("path", "\u0001", 1)))
-    named = named.select("path", "root", "content", "length", base.alias("base"), "site", is_.is_php_name(base).alias("is_php"), is_.is_image_name(base).alias("is_image"),
-                         (base == ".htaccess").alias("is_htaccess"), is_.double_extension(base).alias("double_ext"))
-    php = latin(named.filter(_plain_php())).select("path", "text")
-    images = latin(named.filter("is_image"))
-    found = line_findings(php, fixed.CONTENT_RULES)
-    place = F.substring_index("path", "\u0001", 1)
-    found = found.select(place.alias("path"), "rule_id", "severity", "rule", (F.col("line") + F.substring_index("path", "\u0001", -1).cast("long")).alias("line"), "evidence")
-    hit = F.lower("text").contains("<?php") | is_.short_tag_is_source(F.col("text"))
-    struct = _finding("webshell.php_in_image", F.concat(F.lit("'<?php' tag found in "), is_.extension(F.col("base")), F.lit(" file")))
-    shown = images.filter(hit).select(place.alias("path"), F.inline(F.array(struct))).dropDuplicates(["path"])
-    return found.unionByName(shown.select(found.columns))
+# --- large files, by byte ranges --------------------------------------------------
+
+
+def _range_texts(ranges: DataFrame) -> DataFrame:
+    """Ranges (`sources.files.ranges`) with the type of their file and their text, decoded once.
+    early: line breaks before the range's own bytes; late: those before their end; limit: how much
+    of the line that stands there belongs to the range."""
+    base = F.lower(uris.basename(F.col("path")))
+    rows = computed_once(ranges.select(
+        "path", "length", "range_no", "offset", "before", "own", base.alias("base"), uris.site_path(F.col("path"), F.col("root")).alias("site"),
+        F.decode("content", "ISO-8859-1").alias("text")))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    upto = F.left("text", (F.col("before") + F.col("own")).cast("int"))
+    return computed_once(rows.select(
+        "*", is_.is_php_name(F.col("base")).alias("is_php"), is_.is_image_name(F.col("base")).alias("is_image"), (F.col("base") == ".htaccess").alias("is_htaccess"),
+        breaks(F.left("text", F.col("before").cast("int"))).alias("early"), breaks(upto).alias("late"), F.length(F.substring_index(upto, "\n", -1)).alias("limit")))
+
+
+def _inner(pattern: str) -> str:
+    """The pattern where bytes stand before it: what begins earlier in a range's text is a match of
+    the range before, and its own beginning may be cut off."""
+    return r"(?<=[\s\S]{%d})(?:%s)" % (fixed.RANGE_GUARD, pattern)
+
+
+def _met(pattern: str) -> Column:
+    first = F.col("range_no") == 0
+    return (first & F.col("text").rlike(pattern)) | (~first & F.col("text").rlike(_inner(pattern)))
+
+
+def range_marks(ranges: DataFrame) -> DataFrame:
+    """One narrow row per range: its line breaks, the beginning of the line that runs over its end
+    (null where that began in an earlier range), and what rules of whole files ask."""
+    t = _range_texts(ranges)
+    text, inside = F.col("text"), F.col("before") + F.col("own")
+    begun = F.substr("text", (inside - F.col("limit") + 1).cast("int"), F.lit(1 << 16))
+    head = F.left(F.substring_index(F.regexp_replace(begun, r"^[ \t\r\x0b\x0c]+", ""), "\n", 1), F.lit(400))
+    # A short tag whose readable text is cut off is one of the next range, unless the file ends here.
+    ends = F.col("offset") + F.col("own") >= F.col("length")
+    seen = F.when(ends, text).otherwise(F.regexp_replace("text", r"(?s)<\?=(?!.{48})", ""))
+    return t.select(
+        "path", "range_no", "length", "base", "site", "is_php", "is_image", "is_htaccess", (F.col("late") - F.col("early")).cast("long").alias("breaks"),
+        F.when((F.col("late") > 0) | (F.col("range_no") == 0), head).alias("head"), F.contains("text", F.lit("<?")).alias("open_tag"),
+        ((F.col("range_no") == 0) & is_.cms_guard(text)).alias("guarded"), _met(fixed.EXEC_SURFACE).alias("surface"),
+        (F.contains(F.lower("text"), F.lit("<?php")) | is_.short_tag_is_source(seen)).alias("image_hit"))
+
+
+def _range_lines(texts: DataFrame, rules, spanning: bool = False) -> DataFrame:
+    """path, range_no, n (line breaks of the range before the line), continues (the line began in an
+    earlier range), rule_id, severity, rule, content_line: lines on which a match begins among the
+    range's own bytes. A match of a ``spanning`` rule may run over lines."""
+    mark, first = "\u0001", F.col("range_no") == 0
+    found = []
+    for rule_id, severity, name, pattern in rules:
+        lines = F.split("text", "\n")
+        if spanning:
+            plain = F.translate("text", mark, " ")
+            lines = F.split(F.when(first, F.regexp_replace(plain, f"({pattern})", mark + "$1")).otherwise(F.regexp_replace(plain, f"({_inner(pattern)})", mark + "$1")), "\n")
+        row = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(name).alias("rule"), F.lit(pattern).alias("whole"),
+                       F.lit(_inner(pattern)).alias("inner"), lines.alias("lines"))
+        found.append(F.when(_met(pattern), row))
+    rows = texts.select("path", "range_no", "early", "late", "limit", F.explode(F.array_compact(F.array(*found))).alias("r"))
+    rows = rows.select("path", "range_no", "early", "late", "limit", "r.rule_id", "r.severity", "r.rule", "r.whole", "r.inner", F.posexplode("r.lines").alias("i", "line"))
+    rows = rows.filter(F.col("i").between(F.col("early"), F.col("late")))
+    continues = (F.col("i") == 0) & (F.col("range_no") > 0)
+    at = F.instr("line", mark) if spanning else F.when(continues, F.regexp_instr("line", F.col("inner"))).otherwise(F.regexp_instr("line", F.col("whole")))
+    hit = (at > 0) & ((F.col("i") < F.col("late")) | (at <= F.col("limit")))
+    return rows.filter(hit).select(
+        "path", "range_no", (F.col("i") - F.col("early")).cast("long").alias("n"), continues.alias("continues"), "rule_id", "severity", "rule",
+        F.left(F.translate("line", mark, "") if spanning else F.col("line"), F.lit(1 << 16)).alias("content_line"))
+
+
+def _by_file(marks: DataFrame) -> DataFrame:
+    flags = [F.bool_or(c).alias(c) for c in ("open_tag", "guarded", "surface", "image_hit")]
+    return marks.groupBy("path", "length", "base", "site", "is_php", "is_image", "is_htaccess").agg(*flags)
+
+
+def _upload_php(guarded: Column, surface: Column) -> Column:
+    return F.col("is_php") & ~F.col("is_image") & ~F.col("is_htaccess") & is_.in_upload_directory(F.col("site")) & ~guarded & surface
+
+
+def large_findings(ranges: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """All content rules over files of any size, by byte ranges that overlap: line rules, the
+    negation over the whole file, handlers, images and dropped PHP. Line numbers are a prefix sum of
+    the ranges' line breaks. A match on the border of two ranges is found once. ``marks``: the rows
+    of `range_marks`, if they are stored."""
+    texts, marks = _range_texts(ranges), range_marks(ranges) if marks is None else marks
+    php = texts.filter(F.col("is_php") & ~F.col("is_image") & ~F.col("is_htaccess"))
+    conf = texts.filter("is_htaccess")
+    rule_id, severity, name = fixed.NO_PHP_RULE
+    pages = _range_lines(php, [(rule_id, severity, name, r"(?i)<html")])
+    closed = marks.groupBy("path").agg(F.bool_or("open_tag").alias("open")).filter("NOT open")
+    prepend, handler = fixed.HTACCESS_PREPEND, fixed.HTACCESS_HANDLER
+    hits = (_range_lines(php, fixed.CONTENT_RULES).unionByName(pages.join(closed.select("path"), "path", "left_semi"))
+            .unionByName(_range_lines(conf, [(*prepend, fixed.HTACCESS_PREPEND_PATTERN)]))
+            .unionByName(_range_lines(conf, [(*handler, p) for p in fixed.HTACCESS_HANDLER_PATTERNS], spanning=True)))
+    before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    placed = marks.select("path", "range_no", F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("base_line"), F.last("head", ignorenulls=True).over(before).alias("begun"))
+    lines = hits.join(placed, ["path", "range_no"])
+    shown = truncate(readable(F.when(F.col("continues"), F.coalesce("begun", "content_line")).otherwise(F.col("content_line"))), 160)
+    lines = lines.select("path", "rule_id", "severity", "rule", (F.col("base_line") + F.col("n") + 1).alias("line"), shown.alias("evidence"))
+    lines = lines.groupBy("path", "rule_id", "severity", "rule", "line").agg(F.max("evidence").alias("evidence"))
+    image = _finding("webshell.php_in_image", F.concat(F.lit("'<?php' tag found in "), is_.extension(F.col("base")), F.lit(" file")))
+    files = _by_file(marks).select("path", F.inline(F.array_compact(F.array(
+        F.when(F.col("is_image") & F.col("image_hit"), image),
+        F.when(_upload_php(F.col("guarded"), F.col("surface")), _finding("webshell.upload_php", F.col("base")))))))
+    return lines.unionByName(files.select(lines.columns))
+
+
+def large_inert(marks: DataFrame) -> DataFrame:
+    """`inert_files` for files of any size, from `range_marks`."""
+    inert = _upload_php(F.col("guarded"), ~F.col("surface"))
+    return _by_file(marks).filter(inert).select("path", _inert_reason())
+
+
+def large_own_findings(ranges: DataFrame, rules, limit: int = fixed.OWN_RULE_MATCHES) -> DataFrame:
+    """`own_rule_findings` for files of any size. Matches are counted in the range that they begin
+    in."""
+    t = _range_texts(ranges)
+    mark, first = "\u0001", F.col("range_no") == 0
+    found = []
+    for rule_id, name, severity, pattern in rules:
+        plain = F.translate("text", mark, " ")
+        marked = F.when(first, F.regexp_replace(plain, f"({pattern})", mark + "$1")).otherwise(F.regexp_replace(plain, f"({_inner(pattern)})", mark + "$1"))
+        found.append(F.when(_met(pattern), F.struct(
+            F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule"), F.lit(fixed.MEDIUM if severity is None else severity).alias("severity"), F.split(marked, mark).alias("parts"))))
+    rows = t.select("path", "offset", "before", "own", F.explode(F.array_compact(F.array(*found))).alias("r"))
+    sizes = F.transform(F.slice("r.parts", F.lit(1), F.size("r.parts") - 1), lambda p: F.length(p).cast("long"))
+    # Running sums of the lengths: where each match begins.
+    begins = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    begins = F.filter(begins, lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("own")))
+    rows = rows.select("path", "r.rule_id", "r.rule", "r.severity", F.transform(begins, lambda x: x - F.col("before") + F.col("offset")).alias("at")).filter(F.size("at") > 0)
+    each = rows.groupBy("path", "rule_id", "severity", "rule").agg(
+        F.sum(F.size("at")).cast("long").alias("matches"), F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("at", 1, limit)))), 1, limit).alias("at"))
+    return each.select("path", "rule_id", "severity", "rule", "matches", F.array_join(F.transform("at", lambda o: F.concat(F.col("rule_id"), F.lit("@"), o.cast("string"))), ", ").alias("evidence"))
 
 
 def content_findings(files: DataFrame) -> DataFrame:
@@ -180,11 +299,11 @@ def own_rule_findings(files: DataFrame, rules, limit: int = fixed.OWN_RULE_MATCH
         F.array_join(F.transform(offsets, lambda o: F.concat(F.col("r.rule_id"), F.lit("@"), o.cast("string"))), ", ").alias("evidence"))
 
 
-def findings(files: DataFrame, disabled: list[str] | None = None, pieces: DataFrame | None = None) -> DataFrame:
-    """All built-in file rules as findings on the file. `pieces`: large files in pieces."""
+def findings(files: DataFrame, disabled: list[str] | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """All built-in file rules as findings on the file. `ranges`: large files by byte ranges."""
     rows = structural_findings(files).unionByName(content_findings(files)).unionByName(htaccess_findings(files))
-    if pieces is not None:
-        rows = rows.unionByName(large_findings(pieces))
+    if ranges is not None:
+        rows = rows.unionByName(large_findings(ranges))
     rows = rows.filter(is_.rule_enabled(F.col("rule_id"), disabled or []))
     return rows.select(
         F.lit("webshell").alias("source"), "severity", "rule", "rule_id", F.lit("file").alias("artifact_kind"),
@@ -207,13 +326,28 @@ def _digest_of(files: DataFrame) -> Column:
 # --- comparison with a reference tree ------------------------------------------
 
 
-def tree(files: DataFrame) -> DataFrame:
+def range_digests(ranges: DataFrame) -> DataFrame:
+    """(path, digest) of large files: SHA-256 over the digests of their ranges in order, so that
+    many tasks take part in one file. Files compare equal by it if they were cut alike; it is not
+    the file's own SHA-256. A file of which a range could not be read has none."""
+    own = F.sha2(F.substring(F.col("content"), F.col("before").cast("int") + 1, F.col("own").cast("int")), 256)
+    each = ranges.select("path", "length", "range_no", "own", own.alias("d"))
+    files = each.groupBy("path", "length").agg(F.array_sort(F.collect_list(F.struct("range_no", "d"))).alias("parts"), F.sum("own").alias("read"))
+    whole = F.array_join(F.transform("parts", lambda p: p["d"]), "")
+    return files.filter(F.col("read") == F.col("length")).select("path", F.concat(F.lit("ranges:"), F.sha2(whole, 256)).alias("digest"))
+
+
+def tree(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """rel, size and digest of one tree. The digest is computed where the bytes are
-    read, so content never crosses a shuffle; a file that was not read has none."""
+    read, so content never crosses a shuffle; a file that was not read has none. `ranges`: large
+    files by byte ranges, which get their digests from these."""
     root = F.rtrim(uris.forward_slashes(F.col("root")), F.lit("/"))
-    return files.select(
-        F.substr(uris.forward_slashes(F.col("path")), F.length(root) + 2).alias("rel"), F.col("length").alias("size"),
-        _digest_of(files).alias("digest"))
+    rows = files.select("path", F.substr(uris.forward_slashes(F.col("path")), F.length(root) + 2).alias("rel"), F.col("length").alias("size"),
+                        _digest_of(files).alias("digest"))
+    if ranges is not None:
+        large = range_digests(ranges).select(F.col("path"), F.col("digest").alias("large"))
+        rows = rows.join(large, "path", "left").withColumn("digest", F.coalesce("large", "digest"))
+    return rows.select("rel", "size", "digest")
 
 
 def tree_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from webtrail.functions.text import computed_once, truncate
 from webtrail.operators import cms, errorlog, rules, webroot
 from webtrail.plans import bindings as b
 from webtrail.plans.registry import query
+from webtrail.sources import files as file_source
 
 
 def lit(text: str) -> str:
@@ -90,6 +91,74 @@ def flagged_digests(spark, sf):
     return webroot.digests(files, webroot.findings(files))
 
 
+# --- large files ------------------------------------------------------------------
+
+#: Files of _EACH pages, each with a name of its kind: with line breaks, or (kind 3) in one line.
+_EACH, _RANGE, _OVERLAP = 20, 10_000, 4_000
+_BIG_NAMES = ("/wp-content/uploads/big{}.php", "/lib/big{}.jpg.php", "/images/big{}.png", "/lib/big{}.phtml", "/lib/big{}.txt", "/images/big{}/.htaccess", "/wp-content/uploads/big{}.inc.php", "/lib/page{}.php", "/wp-content/uploads/stub{}.php")
+
+
+def large_files(spark, sf):
+    """The files of the web root put together to large ones, of a bounded number of pages each."""
+    number = F.regexp_extract("path", r"/f(\d+)", 1).cast("long")
+    g = F.floor(F.col("n") / _EACH)
+    kind = (g % len(_BIG_NAMES)).cast("int")
+    rows = b.files(spark, sf).select(number.alias("n"), F.decode("content", "UTF-8").alias("text"))
+    # Kind 7 holds pages without any PHP, kind 8 pages without the code in front of them.
+    rows = rows.select("n", g.alias("g"), kind.alias("kind"), F.when(kind == 8, F.regexp_replace("text", r"^[^\n]*\n", "")).when(kind == 7, F.replace("text", F.lit("<?"), F.lit("< ?"))).when(kind == 3, F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text")).alias("text"))
+    rows = rows.groupBy("g", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: x["text"])
+    whole = F.when(F.col("kind") == 3, F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n"))
+    path = F.lit(None)
+    for k, name in enumerate(_BIG_NAMES):
+        low, high = name.split("{}")
+        path = F.when(F.col("kind") == k, F.concat(F.lit("/srv/copy" + low), F.col("g").cast("string"), F.lit(high))).otherwise(path)
+    rows = computed_once(rows.select(path.alias("path"), whole.cast("binary").alias("content")))
+    return rows.select("path", F.lit("/srv/copy").alias("root"), F.length("content").cast("long").alias("length"), "content")
+
+
+def large_ranges(spark, sf):
+    return file_source.cut_ranges(large_files(spark, sf), _RANGE, _OVERLAP, fixed.RANGE_CONTEXT)
+
+
+_BIG_PATH = "CASE kind " + " ".join(f"WHEN {k} THEN '/srv/copy" + n.replace("{}", "' || g || '") + "'" for k, n in enumerate(_BIG_NAMES)) + " END"
+_BIG = b.FILES_SQL + f""",
+big0 AS (SELECT page_id // {_EACH} AS g, (page_id // {_EACH}) % {len(_BIG_NAMES)} AS kind, page_id, text FROM files),
+big1 AS (SELECT g, kind, CASE kind WHEN 3 THEN string_agg(replace(text, chr(10), ' '), ' ' ORDER BY page_id) WHEN 7 THEN string_agg(replace(text, '<?', '< ?'), chr(10) ORDER BY page_id)
+  WHEN 8 THEN string_agg(substr(text, strpos(text, chr(10)) + 1), chr(10) ORDER BY page_id) ELSE string_agg(text, chr(10) ORDER BY page_id) END AS text FROM big0 GROUP BY g, kind),
+bigs AS (SELECT path, lower(split_part(path, '/', -1)) AS base, substr(path, 10) AS site, text FROM (SELECT {_BIG_PATH} AS path, text FROM big1))"""
+_BIG_ALL = ",\n".join([_BIG, *(x.replace(" FROM files", " FROM bigs") for x in (_LINES, _CONTENT, _HTACCESS, _STRUCT))])
+
+
+@query("large_file_rules", "S7 R1 R6 R7 R8 R9 R10 R11 R12 R13 R14 R15 R16 R17 R18 R19 R20 R21", f"""WITH {_BIG_ALL}
+SELECT path, rule_id, severity, rule, line, evidence FROM (SELECT * FROM content UNION ALL SELECT * FROM htaccess UNION ALL SELECT * FROM structural WHERE rule_id <> 'webshell.double_ext')""")
+def large_file_rules(spark, sf):
+    """Every rule of the content over ranges of 10,000 bytes."""
+    ranges = large_ranges(spark, sf)
+    marks = b.stored(spark, sf, "large_marks", lambda: webroot.range_marks(ranges))
+    return webroot.large_findings(ranges, marks).select("path", "rule_id", "severity", "rule", "line", "evidence")
+
+
+@query("large_inert_files", "R1 K10", f"""WITH {_BIG_ALL}
+SELECT path, 'no executable surface (' || CAST(octet_length(encode(text)) AS VARCHAR) || ' bytes' || CASE WHEN octet_length(encode(text)) <= 4096 THEN ', likely a directory stub)' ELSE ')' END AS reason
+ FROM bigs WHERE {_IS_PHP} AND NOT {_IMAGE} AND {_UPLOAD} AND NOT {_GUARD} AND NOT {_SURFACE}""")
+def large_inert_files(spark, sf):
+    return webroot.large_inert(b.stored(spark, sf, "large_marks", lambda: webroot.range_marks(large_ranges(spark, sf))))
+
+
+@query("large_tree_diff", "R26 S8", f"""WITH {_BIG}
+SELECT substr(path, 11) AS rel, CASE WHEN contains(path, '/lib/') THEN 'modified' ELSE 'identical' END AS status,
+ octet_length(encode(text))::BIGINT AS size, octet_length(encode(text))::BIGINT AS ref_size FROM bigs""")
+def large_tree_diff(spark, sf):
+    """Large files against a tree in which some differ in their last byte."""
+    left = large_files(spark, sf)
+    last = F.when(F.contains("path", F.lit("/lib/")), F.concat(F.substring(F.col("content"), F.lit(1), F.col("length").cast("int") - 1), F.encode(F.lit("\u0002"), "UTF-8"))).otherwise(F.col("content"))
+    right = left.withColumn("content", last)
+    cut = lambda files: file_source.cut_ranges(files, _RANGE, _OVERLAP, fixed.RANGE_CONTEXT)
+    bare = lambda files: files.withColumn("content", F.lit(None).cast("binary"))
+    return webroot.tree_diff(webroot.tree(bare(left), cut(left)), webroot.tree(bare(right), cut(right)))
+
+
 _OWN = [("own.track", "Tracker call", None, r"track\(\d+\)"), ("own.any", "Any anchor", 2, r"(?i)<a href")]
 
 
@@ -101,6 +170,15 @@ def own_file_rules(spark, sf):
     return webroot.own_rule_findings(b.files(spark, sf), _OWN).drop("evidence")
 
 
+@query("large_own_rules", "R23", f"""WITH {_BIG}
+SELECT path, rule_id, severity, rule, len(regexp_extract_all(text, rx)) AS matches,
+ array_to_string(list_transform(range(0, least(20, len(regexp_extract_all(text, rx)))), lambda k: rule_id || '@' || (octet_length(encode(array_to_string(string_split_regex(text, rx)[1:k + 1], ''))) +
+  octet_length(encode(array_to_string(regexp_extract_all(text, rx)[1:k], ''))))), ', ') AS evidence FROM bigs,
+ (VALUES ('own.track', 1, 'Tracker call', 'track\\(\\d+\\)'), ('own.any', 2, 'Any anchor', '(?i)<a href')) r(rule_id, severity, rule, rx) WHERE regexp_matches(text, rx)""")
+def large_own_rules(spark, sf):
+    return webroot.large_own_findings(large_ranges(spark, sf), _OWN)
+
+
 _CATALOGUE = ", ".join(f"({lit(i)}, {lit(e)}, {s}, {lit(n)}, {lit(f)})" for i, e, s, n, f, _ in rules.rule_rows())
 
 

@@ -142,15 +142,18 @@ def _read_whole(frames):
             yield pd.DataFrame({"path": [path], "length": [length], "content": [data]})
 
 
-def contents(spark: SparkSession, targets: list[str], root: str, max_bytes: int = fixed.MAX_CONTENT_BYTES) -> DataFrame:
-    """Files with their bytes up to a size. Larger ones have NULL content here, but a digest;
-    `large_texts` reads them whole, in pieces. A file that cannot be read has neither.
+def contents(spark: SparkSession, targets: list[str], root: str, max_bytes: int = fixed.MAX_CONTENT_BYTES, large_digests: bool = True) -> DataFrame:
+    """Files with their bytes up to a size. Larger ones have NULL content here, but a digest, unless
+    that is not asked for; `ranges` reads them whole, by many tasks. A file that cannot be read has
+    neither.
 
     The size filter is pushed into the scan of the small ones."""
     scan = _scan(spark, targets)
     names = _without_links(scan.select(plain_path().alias("path"), "length"), targets).unionByName(hidden(spark, targets).select("path", "length"))
     small = names.filter(F.col("length") <= max_bytes).mapInPandas(_read_whole, "path string, length long, content binary")
-    large = names.filter(F.col("length") > max_bytes).mapInPandas(_digest, "path string, length long, digest string")
+    large = names.filter(F.col("length") > max_bytes)
+    none = F.lit(None).cast("string").alias("digest")
+    large = large.mapInPandas(_digest, "path string, length long, digest string") if large_digests else large.select("path", "length", none)
     both = small.withColumn("digest", F.sha2("content", 256)).unionByName(large.withColumn("content", F.lit(None).cast("binary")))
     return both.select("path", F.lit(root).alias("root"), "length", "content", "digest")
 
@@ -171,32 +174,39 @@ def _digest(frames):
             yield pd.DataFrame({"path": [path], "length": [length], "digest": pd.Series([seen], dtype=object)})
 
 
-def _pieces(frames):
+def _read_range(frames):
     for frame in frames:
-        for path, root, length in frame[["path", "root", "length"]].itertuples(index=False):
+        for path, root, length, number, offset, size in frame[["path", "root", "length", "range_no", "offset", "own"]].itertuples(index=False):
             try:
                 system, inner = _filesystem(path)
-                with system.open_input_stream(inner, compression=None) as stream:
-                    rest, line, number = b"", 0, 0
-                    while True:
-                        data = stream.read(CHUNK_BYTES)
-                        whole = rest + data
-                        cut = whole.rfind(b"\n") + 1 if data else len(whole)
-                        piece, rest = whole[:cut], whole[cut:]
-                        if piece:
-                            yield pd.DataFrame({"path": [path], "root": [root], "length": [length], "piece": [number], "first_line": [line], "content": [piece]})
-                            number, line = number + 1, line + piece.count(b"\n")
-                        if not data:
-                            break
+                before = min(offset, fixed.RANGE_CONTEXT)
+                with system.open_input_file(inner) as handle:
+                    handle.seek(offset - before)
+                    data = handle.read(before + size + fixed.RANGE_OVERLAP)
             except OSError:
-                continue  # it has no digest either, which a finding says
-
-
-def large_texts(files: DataFrame, max_bytes: int = fixed.MAX_CONTENT_BYTES) -> DataFrame:
-    """path, root, length, piece, first_line, content: the files above a size whole, as pieces of
-    about CHUNK_BYTES that end with a line, each with the number of lines before it."""
-    rows = files.filter((F.col("length") > max_bytes) & F.col("content").isNull()).select("path", "root", "length")
-    return rows.mapInPandas(_pieces, "path string, root string, length long, piece long, first_line long, content binary")
+                continue  # a finding says that the file could not be read
+            yield pd.DataFrame({"path": [path], "root": [root], "length": [length], "range_no": [number], "offset": [offset], "before": [before], "own": [size], "content": [data]})
+
+
+def ranges(files: DataFrame, max_bytes: int = fixed.MAX_CONTENT_BYTES, range_bytes: int = fixed.RANGE_BYTES) -> DataFrame:
+    """path, root, length, range_no, offset, before, own, content: the files above a size as byte
+    ranges that tasks seek to, however long a line is. content has ``before`` bytes in front of the
+    range's ``own`` ones and the next RANGE_OVERLAP behind them."""
+    rows = files.filter((F.col("length") > max_bytes) & F.col("content").isNull())
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
+    rows = rows.select("path", "root", "length", F.posexplode(starts).alias("range_no", "offset"))
+    rows = rows.withColumn("range_no", F.col("range_no").cast("long")).withColumn("own", F.least(F.lit(range_bytes), F.col("length") - F.col("offset")))
+    return rows.repartition("path", "range_no").mapInPandas(
+        _read_range, "path string, root string, length long, range_no long, offset long, before long, own long, content binary")
+
+
+def cut_ranges(files: DataFrame, range_bytes: int, overlap: int, context: int) -> DataFrame:
+    """The same of files whose content is in a column."""
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    rows = files.filter(F.col("content").isNotNull()).select("path", "root", "length", "content", F.posexplode(starts).alias("range_no", "offset"))
+    before, own = F.least("offset", F.lit(context)), F.least(F.lit(range_bytes), F.col("length") - F.col("offset"))
+    part = F.substring(F.col("content"), (F.col("offset") - before + 1).cast("int"), (before + own + overlap).cast("int"))
+    return rows.select("path", "root", "length", F.col("range_no").cast("long"), "offset", before.cast("long").alias("before"), own.cast("long").alias("own"), part.alias("content"))
 
 
 def _open(path: str):
