@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webtrail.functions import sqltext
 from webtrail.operators import accounts, actors, cms, coverage, dumps, errorlog, webroot
-from webtrail.sinks import exports
+from webtrail.sinks import exports, index
 from webtrail.sources import candidates, dumps as dump_source, files, logs, rules
 
 LINE = '{ip} - - [10/Jun/2026:22:{m:02d}:11 +0200] "GET /p{m} HTTP/1.1" 200 5 "-" "ua"'
@@ -73,6 +73,36 @@ def test_index_is_written_and_read_back(spark, log_folder, tmp_path):
     assert status.count() == 9
 
 
+def test_index_reads_changed_files_only(spark, tmp_path):
+    base, folder = tmp_path / "logs", str(tmp_path / "index")
+    line = LINE.format(ip="1.1.1.1", m=5) + "\n"
+    for name, n in (("a.log", 3), ("b.log", 2), ("c.log", 1)):
+        write(f"{base}/{name}", line * n + "no log line\n\n")
+    write(f"{base}/pic.log", b"\x00binary")
+    now = lambda: files.listing(spark, [str(base)])
+    state = lambda: tuple(index.status(spark, folder, now()).first())
+    held = lambda: {os.path.basename(r.path): (r.lines, r.unparsed, r.build) for r in index.sources(spark, folder).collect()}
+    assert state() == (False, False, 4, 0, 0)
+    assert index.update(spark, now(), folder) == 1 and state() == (True, True, 0, 0, 0)
+    assert held() == {"a.log": (3, 1, 1), "b.log": (2, 1, 1), "c.log": (1, 1, 1), "pic.log": (0, 0, 1)}
+    assert index.update(spark, now(), folder) == 1  # nothing to do
+    write(f"{base}/b.log", line * 5)
+    os.remove(base / "c.log")
+    write(f"{base}/d.log", line)
+    assert state() == (True, False, 1, 1, 1)
+    # The unchanged file is not opened again: it is not there to be read under its name.
+    listed = now().cache()
+    assert listed.count() == 4
+    os.rename(base / "a.log", base / "away")
+    assert index.update(spark, listed, folder) == 2
+    os.rename(base / "away", base / "a.log")
+    assert held() == {"a.log": (3, 1, 1), "b.log": (5, 0, 2), "d.log": (1, 0, 2), "pic.log": (0, 0, 1)}
+    assert index.requests(spark, folder).count() == 9 and index.unparsed(spark, folder).count() == 1
+    paths = index.derive(spark, folder)
+    assert spark.read.parquet(paths["actors"]).first().requests == 9
+    assert index.vacuum(spark, folder) == 2 and index.requests(spark, folder).count() == 9 and index.vacuum(spark, folder) == 0
+
+
 def test_error_log_meets_the_copy(spark, log_folder):
     lines = logs.error_lines(spark, logs.find(spark, [log_folder]).error)
     paths = errorlog.named_paths(lines)

@@ -10,7 +10,9 @@ from webtrail.functions.text import computed_once, spreadsheet_safe
 from webtrail.operators import actors, alerts, coverage, hunt, sigma, trace
 from webtrail.plans import bindings as b
 from webtrail.plans.registry import query
-from webtrail.sources import logs
+from webtrail.session import shared_dir
+from webtrail.sinks import index
+from webtrail.sources import files, logs
 
 # --- parsing ------------------------------------------------------------------
 
@@ -57,6 +59,71 @@ def parsed_log_lines(spark, sf):
     return logs.requests(logs.parsed(log_lines(spark, sf)))
 
 
+# --- the index over files ----------------------------------------------------------
+
+_LOGS = {"a": "/logs/a/access.log", "b": "/logs/b/access.log", "other": "/logs/b/other.log"}
+
+
+def _log_folders(spark, sf):
+    """The derived logs as text files, a folder for each source."""
+    base = "/".join([shared_dir(spark), "webtrail", spark.sparkContext.applicationId, sf.strip("/").replace("/", "_").replace(":", "_")])
+    lines = log_lines(spark, sf)
+
+    def written(name):
+        path = f"{base}/text-{name}"
+        lines.filter(F.col("source") == _LOGS[name]).select("value").write.mode("overwrite").text(path)
+        return path
+
+    return base, {name: written(name) for name in _LOGS}
+
+
+def _present(spark, folders):
+    return files.listing(spark, folders).filter(F.col("path").rlike(r"/part-[^/]*$") & (F.col("length") > 0))
+
+
+def _two_builds(spark, sf):
+    """An index over two logs, then over the first and a third: what the second build found, and where
+    its index lies."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        base, folder = _log_folders(spark, sf)
+        place = f"{base}/file-index"
+        index.update(spark, _present(spark, [folder["a"], folder["b"]]), place)
+        now = _present(spark, [folder["a"], folder["other"]])
+        met = [tuple(r) for r in index.changes(index.sources(spark, place), now).select(_folder_name("path"), "change").distinct().collect()]  # a row per folder
+        index.update(spark, now, place)
+        _BUILT[key] = (place, met)
+    return _BUILT[key]
+
+
+_BUILT: dict[tuple[str, str], tuple[str, list]] = {}
+
+
+def _folder_name(column):
+    return F.regexp_extract(column, "/text-([a-z]+)/", 1).alias("name")
+
+
+@query("index_status", "K1 U4", b.sql("""SELECT DISTINCT 'other' AS name, 'added' AS change FROM req WHERE source = '/logs/b/other.log'
+ UNION ALL SELECT DISTINCT 'b', 'gone' FROM req WHERE source = '/logs/b/access.log'"""))
+def index_status(spark, sf):
+    """What differs between an index and the files that there are now."""
+    return spark.createDataFrame(_two_builds(spark, sf)[1], "name string, change string")
+
+
+_CUT = "((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2)"
+
+
+@query("index_sources", "K1 U4 S3", b.sql(f"""SELECT CASE source WHEN '/logs/a/access.log' THEN 'a' ELSE 'other' END AS name, CASE source WHEN '/logs/a/access.log' THEN 1 ELSE 2 END AS build,
+ count(*) FILTER (WHERE NOT {_CUT}) AS lines, count(*) FILTER (WHERE {_CUT}) AS unparsed, count(DISTINCT ip) FILTER (WHERE NOT {_CUT}) AS clients
+ FROM req WHERE source <> '/logs/b/access.log' GROUP BY 1, 2"""))
+def index_sources(spark, sf):
+    """The sources after the second build: the log that did not change keeps its first build."""
+    place, _ = _two_builds(spark, sf)
+    rows = index.sources(spark, place).groupBy(_folder_name("path"), "build").agg(F.sum("lines").alias("lines"), F.sum("unparsed").alias("unparsed"))
+    clients = index.requests(spark, place).groupBy(_folder_name("source")).agg(F.countDistinct("ip").alias("clients"))
+    return rows.join(clients, "name")
+
+
 @query("log_source_counts", "A11 S3", b.sql("""SELECT source, count(*) FILTER (WHERE NOT ((pos % 5 = 4 AND pos % 3 = 0) OR pos = 2)) AS lines,
  count(*) FILTER (WHERE (pos % 5 = 4 AND pos % 3 = 0) OR pos = 2) AS unparsed FROM req GROUP BY source"""))
 def log_source_counts(spark, sf):
