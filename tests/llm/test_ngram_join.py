@@ -16,7 +16,7 @@ def grams(text, width):
 
 
 def plain(rows, width, percent):
-    """Components by comparing every pair; a doc_id may stand in several rows."""
+    """Components and links by comparing every pair; a doc_id may stand in several rows."""
     top = {i: i for i, _ in rows if i is not None}
 
     def find(a):
@@ -24,12 +24,15 @@ def plain(rows, width, percent):
             a = top[a]
         return a
 
-    sets = [(i, grams(t, width)) for i, t in rows if i is not None]
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and 100 * len(x & y) >= percent * len(x | y):
-            p, q = find(a), find(b)
+    sets = [grams(t, width) for _, t in rows]
+    links = [0] * len(rows)
+    for a, b in itertools.combinations([k for k, (i, _) in enumerate(rows) if i is not None and sets[k]], 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            p, q = find(rows[a][0]), find(rows[b][0])
             top[max(p, q)] = min(p, q)
-    return sorted(((i, len(grams(t, width)), None if i is None else find(i)) for i, t in rows), key=str)
+            links[a] += 1
+            links[b] += 1
+    return sorted(((i, len(sets[k]), None if i is None else find(i), links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def made(seed, copies=60, words=300):

@@ -21,7 +21,7 @@ def test_stages(spark, sf):
     assert one.columns == docs.columns and kept == {i for i, r in rows.items() if re.search(r"[^\W\d_]", r.text or "")}
 
     two = near(spark, one, sf)
-    want = {i for i, _, c in plain([(i, rows[i].text) for i in kept], 5, 80) if i == c}
+    want = {i for i, _, c, _ in plain([(i, rows[i].text) for i in kept], 5, 80) if i == c}
     assert two.columns == docs.columns and {r.doc_id for r in two.collect()} == want
 
     three = clean(spark, two, sf)

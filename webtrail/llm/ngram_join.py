@@ -7,21 +7,25 @@ prefixes, so nodes with fewer codes that anyone shares drop out without being co
 rest, their shared codes in order, are the paths of prefix trees. Codes that the same nodes
 share are one step of a path, with their number as its weight.
 
-Per shared code the node that shares most is asked first: each node is verified against the
-two such centres it meets most often. What these links join needs no further comparison; only
-codes whose nodes are not yet in one component are joined in full. There each task holds the
-tree of a block of nodes and walks it for each other node: partial overlaps are carried down
-shared paths, and a subtree is left as soon as the codes that remain in the tree or in the
-probe cannot reach the overlap needed. A pair is looked at where its first common code is, so
-once. Survivors are verified over their whole sets.
-
-A code that very many nodes share is cut into blocks: the largest component's nodes go to one
-block each, only the others are repeated. Nothing is capped; every link that joins two
-components is found. Only block-sized groups and fixed-width tables (the sketch, a bitmap of
-the nodes to be verified) reach a task or the driver.
+Components first: per shared code the node that shares most is asked, each node against the two
+such centres it meets most often; then codes whose nodes are not yet in one component are joined by
+their trees. A node is posted under such a code only while the rest of its path is as much as two
+linking nodes share at least. Then links: the nodes of each component, and only they can link, are
+joined with one another by their trees.
+
+Each task holds the tree of a block of nodes and walks it for each other node: partial overlaps are
+carried down shared paths, and a subtree is left as soon as the codes that remain in the tree or
+in the probe cannot reach the overlap needed. What is left is verified over the whole sets.
+
+Large components and codes that very many nodes share are cut into blocks, by their number and their
+bytes, and each pair of blocks meets once. Nothing is capped; every link between different sets is
+found. Only block-sized groups and fixed-width tables (the sketch, a bitmap of the nodes to be
+verified) reach a task or the driver.
 
 64-bit codes stand for n-grams and 128-bit digests for sets.
 
+Links count documents: the rows of other sets that link, and the other rows of the same set.
+
 Defined cases: null and empty texts and texts without words have no n-grams, size 0, and link
 with nothing. With fewer words than an n-gram has, the whole sequence is the one n-gram. A null
 doc_id gets a row with a null component and links with nothing. Rows with the same id are one
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webtrail.llm.common import WHITE, chunks, components, mix, query, scratch, settled, shingles, stored, table, text_pass, words
@@ -47,6 +51,7 @@ BITMAP_BITS = 24
 CLASSES = 32
 SHARE = 5  # percent of a set's size that two linking prefixes share
 BLOCK = 256
+BLOCK_BYTES = 8 << 20
 
 
 # --- sets ------------------------------------------------------------------------------
@@ -226,9 +231,9 @@ class Tree:
             node.most_beyond = max(node.most_beyond, beyond)
         node.records.append(record)
 
-    def walk(self, start: int, path: list[int], weights: list[int], n: int, beyond: int, percent: int) -> Iterator[tuple[int, int]]:
+    def walk(self, start: int | None, path: list[int], weights: list[int], n: int, beyond: int, percent: int) -> Iterator[tuple[int, int]]:
         """(record, overlap of the paths) of the records that a probe may still link with and
-        whose first common step with it is `start`."""
+        whose first common step with it is `start`, if that is given."""
         index = {c: k for k, c in enumerate(path)}
         later = [0] * (len(path) + 1)  # weight of the probe's steps from each place on
         for k in range(len(path) - 1, -1, -1):
@@ -242,11 +247,11 @@ class Tree:
             for code, kid in node.kids.items():
                 at = index.get(code)
                 if at is not None:
-                    if code < start:
+                    if start is not None and code < start:
                         continue  # these pairs meet at that earlier step
                     over, gone = overlap + weights[at], at + 1
                 else:
-                    if code > start and not overlap:
+                    if start is not None and code > start and not overlap:
                         continue
                     over, gone = overlap, passed
                     while gone < len(path) and path[gone] < code:
@@ -256,33 +261,58 @@ class Tree:
                     stack.append((kid, over, gone))
 
 
-def tree_pairs(code: int, held: list[dict], asked: list[dict], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of `asked` and `held` records of different components whose first common step is
-    `code` and whose paths do not rule a link out."""
+def planted(held: list[dict]) -> Tree:
     tree = Tree()
     for k, r in enumerate(held):
         tree.add(k, r["path"], r["weights"], r["n"], r["n"] - r["size"])
+    return tree
+
+
+def met(tree: Tree, held: list[dict], q: dict, code: int | None, percent: int) -> Iterator[int]:
+    """Places of the held records that the paths do not rule out as links of a probe."""
+    for k, overlap in tree.walk(code, q["path"], q["weights"], q["n"], q["n"] - q["size"], percent):
+        r = held[k]
+        # Common codes up to the smaller last one are all in both paths.
+        first = r if r["last"] <= q["last"] else q
+        if (overlap + first["n"] - first["size"]) * (100 + percent) >= percent * (r["n"] + q["n"]):
+            yield k
+
+
+def tree_pairs(code: int, held: list[dict], asked: list[dict], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of `asked` and `held` records of different components whose first common step is
+    `code` and whose paths do not rule a link out."""
+    tree = planted(held)
     for q in asked:
-        for k, overlap in tree.walk(code, q["path"], q["weights"], q["n"], q["n"] - q["size"], percent):
-            r = held[k]
-            if r["component"] != q["component"]:
-                # Common codes up to the smaller last one are all in both paths.
-                first = r if r["last"] <= q["last"] else q
-                if (overlap + first["n"] - first["size"]) * (100 + percent) >= percent * (r["n"] + q["n"]):
-                    yield q["node"], r["node"]
+        for k in met(tree, held, q, code, percent):
+            if held[k]["component"] != q["component"]:
+                yield q["node"], held[k]["node"]
+
+
+def _paths(live: DataFrame, heads: DataFrame) -> DataFrame:
+    """node, n, size, last, path, weights: a node's own prefix."""
+    paths = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("code", "weight"))).alias("p"))
+    return paths.join(heads, "node").select("node", "n", "size", "last", F.col("p.code").alias("path"), F.col("p.weight").alias("weights"))
+
+
+def _posts(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """node, code: the codes of a node from which on its path weighs as much as it has in common with
+    any node it links with. The first common code of two linking nodes is one of both."""
+    rest = F.sum("weight").over(Window.partitionBy("node").orderBy("code").rowsBetween(0, Window.unboundedFollowing))
+    least = F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
+    return live.withColumn("rest", rest).join(heads.select("node", "n"), "node").where(F.col("rest") >= least).select("node", "code")
 
 
 def _across(live: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of nodes in different components."""
-    placed = live.join(groups, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component"))
+    posts = _posts(live, heads, percent)
+    placed = stored(posts.join(groups, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component")), "posts")
     counted = placed.groupBy("code", "component").agg(F.count("*").alias("c"))
     mixed = counted.groupBy("code").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK)).cast("int"))
     mixed = stored(mixed.select("code", F.col("top.component").alias("large"), blocks(F.col("top.c")).alias("ni"), blocks(F.col("all") - F.col("top.c")).alias("nj")), "mixed")
 
-    paths = live.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("code", "weight"))).alias("p"))  # a node's own prefix
-    paths = paths.join(groups, "node", "left").join(heads, "node").select(
-        "node", F.coalesce("component", "node").alias("component"), "n", "size", "last", F.col("p.code").alias("path"), F.col("p.weight").alias("weights"))
+    asked = placed.join(mixed, "code", "left_semi").select("node").distinct()
+    paths = _paths(live.join(asked, "node", "left_semi"), heads).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     paths = stored(paths, "paths")
     rows = placed.select("node", "code", "component").join(mixed, "code")
     big = F.col("component") == F.col("large")
@@ -422,15 +452,91 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many codes two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _within(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a > b: all links of components of three nodes or more. Nodes of a component are dealt to
+    blocks; a pair of blocks meets in one task, with the paths and whole sets of both."""
+    members = groups.join(heads.select("node", "n"), "node")
+    sizes = members.groupBy("component").agg(F.count("*").alias("s"), F.sum("n").alias("codes")).where("s > 2")
+    count = F.ceil(F.greatest(F.col("s") / BLOCK, F.col("codes") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = stored(sizes.select("component", F.greatest(F.lit(1), count).alias("blocks")), "component-sizes")
+    members = members.join(sizes, "component").select("component", "node", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("k"))
+    members = stored(members, "members")
+    paths = _paths(live.join(members.select("node"), "node", "left_semi"), heads)
+    rows = members.join(paths, "node").join(sets, "node")
+    # A node is held in the cells of its block with later ones and asked in those with earlier ones.
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    k = F.col("k")
+    cells = F.concat(
+        F.transform(F.sequence(k, F.col("blocks") - 1), lambda x: cell(k, x, 0)),
+        F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda x: cell(x, k, 1))).otherwise(F.expr("CAST(array() AS array<struct<i:int,j:int,role:int>>)")))
+    rows = rows.select("component", F.inline(cells), "node", "n", "size", "last", "path", "weights", "codes")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "role")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, tree = None, [], None
+        a, b = [], []
+
+        def ask(q: dict, upto: int) -> None:
+            for k in met(tree, held, q, None, percent):
+                r = held[k]
+                if k < upto and r["node"] != q["node"]:
+                    both = _both(r["set"], q["set"])
+                    if 100 * both >= percent * (r["n"] + q["n"] - both):
+                        a.append(max(r["node"], q["node"]))
+                        b.append(min(r["node"], q["node"]))
+
+        def inner() -> None:
+            """Pairs within a block, where it meets itself."""
+            if key and key[1] == key[2]:
+                for k, q in enumerate(held):
+                    ask(q, k)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                mine = (r["component"], r["i"], r["j"])
+                if mine != key:
+                    if tree is None and held:
+                        tree = planted(held)
+                        inner()
+                    key, held, tree = mine, [], None
+                r["set"] = np.frombuffer(r.pop("codes"), np.uint64)
+                if r["role"] == 0:
+                    held.append(r)
+                    continue
+                if tree is None:
+                    tree = planted(held)
+                ask(r, len(held))
+                if len(a) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a.clear()
+                    b.clear()
+        if tree is None and held:
+            tree = planted(held)
+            inner()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(work, "a long, b long").distinct()
+
+
 # --- the join --------------------------------------------------------------------------
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id; one row per row of docs."""
-    return settled(docs.sparkSession, lambda: _join(docs, width, percent), "joined")
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id, n_links; one row per row of docs. Without
+    links only components are asked for."""
+    return settled(docs.sparkSession, lambda: _join(docs, width, percent, links), "joined")
 
 
-def _join(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _join(docs: DataFrame, width: int, percent: int, count_links: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = stored(measured(docs, width), "sets")
@@ -450,24 +556,37 @@ def _join(docs: DataFrame, width: int, percent: int) -> DataFrame:
         heads = every.where("NOT copy").unionByName(stored(told.select(every.columns), "told"))
         live = hand_out(_live(heads.select("node", F.explode("prefix").alias("code")), heads, percent), "live")
         alive = live.select("node").distinct()
-        kept = heads.join(alive, "node").select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last"))
-        kept = hand_out(kept, "kept")
+        # Narrow before the join: a prefix is a quarter of a text's codes.
+        narrow = heads.select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last"))
+        kept = hand_out(narrow.join(alive, "node"), "kept")
     sets = stored(whole_sets(docs, kept, width), "whole")
 
     first = settled(spark, lambda: verified(_centres(live, kept, percent), sets, percent), "links-centres")
     groups = components(first)
     second = settled(spark, lambda: verified(_across(live, kept.drop("digest"), groups, percent), sets, percent), "links-across")
     groups = components(first.unionByName(second))
-
-    joined = rows.join(nodes, "digest", "left").join(groups, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    joined = rows.join(nodes, "digest", "left").join(groups, "node", "left")
+    if not count_links:
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    third = settled(spark, lambda: _within(live, kept.drop("digest"), sets, groups, percent), "links-within")
+
+    # Components of two nodes are one link, which is among those found before.
+    links = first.unionByName(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(third).distinct()
+    links = stored(links, "links")
+    held = stored(named.join(nodes, "digest").groupBy("node").agg(F.count("*").alias("held")), "held")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(held.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("held").alias("others"))
+    counts = stored(held.join(others, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("held") - 1).alias("n_links")), "link-counts")
+
+    return joined.join(counts, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the row with the smallest id (of rows that repeat the
     id, one). Rows with a null id stay."""
-    groups = join(docs, width, percent)
+    groups = join(docs, width, percent, links=False)
     kept = stored(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept-ids")
     once, more = kept.where("_rows = 1"), kept.where("_rows > 1")
     # Columns are named through their frames: docs may have an _id of its own.
@@ -488,7 +607,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
 l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id)::BIGINT AS n_links FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
 """
 
 
