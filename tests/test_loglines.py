@@ -1,5 +1,8 @@
 """Log lines by example: formats, vhost tokens, malformed requests, times."""
 
+import ipaddress
+import random
+
 from pyspark.sql import functions as F
 
 from webtrail.functions import indicators, loglines, times, uris
@@ -107,3 +110,39 @@ def test_indicator_types(spark):
     six = spark.createDataFrame([("2001:0DB8:0:0:0:0:0:1",), ("8:8",), ("::1",)], "v string")
     got = six.select(indicators.compressed_ipv6(F.col("v")).alias("c"), indicators.ipv6_range(F.col("v")).alias("r")).collect()
     assert [tuple(r) for r in got] == [("2001:db8::1", "documentation"), (None, None), ("::1", "loopback")]
+
+
+def test_ipv6_against_the_library(spark):
+    """Any text of the characters of an address, and addresses in random spellings."""
+    dice = random.Random(8)
+    texts = {"::", "::1", "1::", "0:0:1::", "::ffff:1.2.3.4", "::ffff:127.0.0.1", "::ffff:203.0.113.9", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.04", "fe80::1%eth0", "fe80::1%",
+             ":::", "1:::2", "12345::", "2002:a00:1::", "2001:20::1", "2001:3::", "2001:4:112::7", "2001:5::", "100::7", "100:0:0:1::", "fbff::", "febf::1", "fec0::", "ff00::", "", "1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8"}
+    for _ in range(400):
+        words = [dice.choice(["0", "0", "0000", "%x" % dice.randrange(1 << 16), "%04X" % dice.randrange(1 << 16), "2001", "db8", "fe80", "ff02"]) for _ in range(dice.choice([8, 8, 8, 3, 7, 9]))]
+        text = ":".join(words)
+        if dice.random() < 0.5 and len(words) > 2:
+            k = dice.randrange(len(words))
+            text = ":".join(words[:k]) + "::" + ":".join(words[k + dice.randint(1, 3):])
+        texts.add(text)
+        texts.add("".join(dice.choices("0:1fG.", k=dice.randint(1, 12))))
+
+    def compressed(v):
+        try:
+            return ipaddress.IPv6Address(v).compressed
+        except ValueError:
+            return None
+
+    def special(v):
+        try:
+            a = ipaddress.IPv6Address(v)
+        except ValueError:
+            return None
+        tests = (("documentation", a in ipaddress.ip_network("2001:db8::/32")), ("loopback", a.is_loopback), ("link-local", a.is_link_local), ("multicast", a.is_multicast),
+                 ("private", a.is_private), ("reserved", not a.is_global))
+        return next((name for name, holds in tests if holds), "")
+
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = rows.select("v", indicators.compressed_ipv6(F.col("v")).alias("c"), indicators.ipv6_range(F.col("v")).alias("r")).collect()
+    for r in got:
+        assert (r.v, r.c) == (r.v, compressed(r.v))
+        assert (r.v, r.r) == (r.v, special(r.v))

@@ -18,10 +18,9 @@ def _tags(*names) -> Column:
 
 
 def with_ipv6(df: DataFrame, value: str) -> DataFrame:
-    """Adds the compressed IPv6 form; only rows that can be one reach the Python worker."""
-    maybe = df.filter(ind.may_be_ipv6(F.trim(value))).select(F.trim(value).alias("_v")).distinct()
-    known = maybe.select("_v", ind.compressed_ipv6(F.col("_v")).alias("ipv6")).filter("ipv6 is not null")
-    return df.join(known, F.trim(F.col(value)) == F.col("_v"), "left").drop("_v")
+    """Adds the compressed IPv6 form; a plain test stands before the parsing."""
+    text = F.trim(F.col(value))
+    return df.withColumn("ipv6", F.when(ind.may_be_ipv6(text), ind.compressed_ipv6(text)))
 
 
 def manual(entries: DataFrame, now: int) -> DataFrame:
@@ -321,3 +320,24 @@ def country_of(clients: DataFrame, ranges: DataFrame) -> DataFrame:
     return hit.groupBy("a.ip", "a.range").agg(F.min(F.struct(
         (F.col("r.last") - F.col("r.first")).alias("width"), F.col("r.iso").alias("iso")))["iso"].alias("iso")).select(
         "ip", F.coalesce("range", F.lit("")).alias("range"), "iso")
+
+
+def country_of_ipv6(clients: DataFrame, networks: DataFrame) -> DataFrame:
+    """Country of each IPv6 address by a table of networks (``network`` as address/length, iso); special
+    ranges answer first, then the longest prefix that holds the address.
+
+    An address is two longs. It is cut at each length that occurs, 129 at most, and meets the table
+    by equality of length and prefix."""
+    parts = F.split("network", "/")
+    cut = networks.select(ind.ipv6_words(parts[0]).alias("w"), parts[1].cast("int").alias("length"), "iso").filter("w IS NOT NULL")
+    lengths = sorted(r.length for r in cut.select("length").distinct().collect())
+    masks = F.array(*[F.struct(F.lit(n).alias("length"), *[F.lit(m).cast("long").alias(k) for k, m in zip(("m1", "m2"), ind.prefix_mask(n))]) for n in lengths])
+    halves = lambda df: df.withColumns(dict(zip(("hi", "lo"), ind.ipv6_halves(F.col("w")))))
+    wanted = halves(clients.select("ip").distinct().select("ip", ind.ipv6_words(F.col("ip")).alias("w"), ind.ipv6_range(F.col("ip")).alias("range")).filter("w IS NOT NULL"))
+    if not lengths:
+        return wanted.select("ip", "range", F.lit(None).cast("string").alias("iso"))
+    masked = lambda df: df.withColumns({"hi": F.col("hi").bitwiseAND(F.col("m.m1")), "lo": F.col("lo").bitwiseAND(F.col("m.m2")), "length": F.col("m.length")})
+    table = masked(halves(cut).withColumn("m", F.element_at(F.filter(masks, lambda m: m["length"] == F.col("length")), 1))).select("hi", "lo", "length", "iso").distinct()
+    placed = masked(wanted.filter("range = ''").select("ip", "hi", "lo", F.explode(masks).alias("m")))
+    best = placed.join(table, ["hi", "lo", "length"]).groupBy("ip").agg(F.max(F.struct("length", "iso"))["iso"].alias("iso"))
+    return wanted.select("ip", "range").join(best, "ip", "left")

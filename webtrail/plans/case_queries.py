@@ -699,8 +699,8 @@ def case_indicators(spark, sf):
     """Every typed word of `documents` as an indicator of the case its source is."""
     words = b.table(spark, sf, "documents").select(
         F.col("source").alias("case"), F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("value")).distinct()
-    typed = computed_once(words.withColumn("type", ind.classify(F.col("value"))))
-    return b.stored(spark, sf, "case_indicators", lambda: typed.filter(~ind.may_be_ipv6(F.col("value")) & (F.col("type") != "other")))
+    typed = computed_once(iocs.with_ipv6(words, "value").withColumn("type", ind.classify(F.col("value"), F.col("ipv6"))).drop("ipv6"))
+    return b.stored(spark, sf, "case_indicators", lambda: typed.filter(F.col("type") != "other"))
 
 
 _EXTRACT = r"""ext AS (SELECT DISTINCT source AS "case", value, type FROM (
@@ -713,14 +713,16 @@ def extracted_indicators(spark, sf):
     return iocs.extract(b.table(spark, sf, "documents"), "text", "source")
 
 
-_CLASSED = r"""CASE WHEN regexp_matches(v, '^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$') THEN 'ip'
+_WORD6 = "[0-9A-Fa-f]{1,4}"
+_IPV6 = "^(" + "|".join([f"({_WORD6}:){{7}}{_WORD6}", f"({_WORD6}:){{1,7}}:", *(f"({_WORD6}:){{1,{7 - n}}}(:{_WORD6}){{1,{n}}}" for n in range(1, 7)), f":((:{_WORD6}){{1,7}}|:)"]) + ")(%[^%]+)?$"
+_CLASSED = f"CASE WHEN contains(v, ':') AND regexp_matches(v, '{_IPV6}') THEN 'ip' " + r"""WHEN regexp_matches(v, '^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$') THEN 'ip'
  WHEN regexp_matches(v, '^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$') THEN 'hash' WHEN regexp_matches(v, '(?i)^https?://') THEN 'url'
  WHEN regexp_matches(v, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'email' WHEN contains(v, '/') OR contains(v, '\') THEN 'path'
  WHEN regexp_matches(v, '^[\w.\- ()\[\]{}@#%+~!$]{1,255}\.[A-Za-z0-9]{1,12}$') THEN 'path' ELSE 'other' END"""
 
 
 _CASES = f"""cw AS (SELECT DISTINCT source AS "case", unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS v FROM documents),
-ci AS (SELECT "case", v AS value, {_CLASSED} AS kind FROM cw WHERE NOT regexp_matches(v, '^[0-9A-Fa-f:.]+(%\\w+)?$') OR NOT contains(v, ':')),
+ci AS (SELECT "case", v AS value, {_CLASSED} AS kind FROM cw),
 ck AS (SELECT *, CASE WHEN kind IN ('hash', 'domain', 'email') THEN lower(value) ELSE value END AS k FROM ci WHERE kind <> 'other'),
 cm AS (SELECT * FROM ck WHERE "case" <> 'src10' AND (kind, k) IN (SELECT (kind, k) FROM ck WHERE "case" = 'src10'))"""
 
@@ -738,11 +740,10 @@ def cross_case_summary(spark, sf):
 
 
 @query("classified_values", "P24", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS v FROM documents)
-SELECT v AS value, {_CLASSED} AS type FROM w WHERE NOT regexp_matches(v, '^[0-9A-Fa-f:.]+(%\\w+)?$') OR NOT contains(v, ':')""")
+SELECT v AS value, {_CLASSED} AS type FROM w""")
 def classified_values(spark, sf):
     words = b.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("value")).distinct()
-    kept = words.filter(~ind.may_be_ipv6(F.col("value")))
-    return kept.select("value", ind.classify(F.col("value")).alias("type"))
+    return iocs.with_ipv6(words, "value").select("value", ind.classify(F.col("value"), F.col("ipv6")).alias("type"))
 
 
 @query("manual_indicators", "N8 P24", """SELECT DISTINCT url AS value, 'url' AS type, 'analyst' AS tags FROM pages""")
@@ -786,6 +787,48 @@ def countries(spark, sf):
     return iocs.country_of(index(spark, sf).select("ip"), country_ranges(spark, sf))
 
 
+#: Spellings of addresses, their shortest form and the class of their range; {h}: hexadecimal key,
+#: {d}: one byte of it.
+_SPELT = (
+    ("2001:0DB8:0000:0000:0000:0000:0000:{h}", "2001:db8::{h}", "documentation"), ("fe80::{h}", "fe80::{h}", "link-local"), ("FF02:0:0:0:0:0:0:{h}", "ff02::{h}", "multicast"),
+    ("fd00:1:2:3:4:5:6:{h}", "fd00:1:2:3:4:5:6:{h}", "private"), ("2a00:1450:0:0:1:0:0:{h}", "2a00:1450::1:0:0:{h}", ""), ("::ffff:10.1.2.{d}", "::ffff:10.1.2.{d}", "private"),
+    ("::FFFF:45.12.0.{d}", "::ffff:45.12.0.{d}", ""), ("2a00:1450:4001:81b:0:0:0:{h}", "2a00:1450:4001:81b::{h}", ""), ("1:2:3:{h}", None, None), ("{h}::1::", None, None),
+    ("2001:20::{h}", "2001:20::{h}", ""), ("2001:0:1:0:0:2:0:{h}", "2001:0:1::2:0:{h}", "private"), ("64:ff9b::1.2.3.{d}", "64:ff9b::102:3{x}", ""))
+
+
+def _spelt(values):
+    fill = lambda t: t if t is None else "'" + t.replace("{h}", "' || h || '").replace("{d}", "' || d || '").replace("{x}", "' || x || '") + "'"
+    return f"CASE k % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else fill(v)}" for i, v in enumerate(values)) + " END"
+
+
+_SIX = f"""six AS (SELECT {_spelt([x for x, _, _ in _SPELT])} AS value, {_spelt([y for _, y, _ in _SPELT])} AS short, {_spelt([z for _, _, z in _SPELT])} AS range, n
+ FROM (SELECT c_custkey AS k, lower(to_hex(c_custkey % 60000 + 1)) AS h, CAST(c_custkey % 256 AS VARCHAR) AS d, lpad(lower(to_hex(c_custkey % 256)), 2, '0') AS x, c_nationkey AS n FROM customer))"""
+
+
+def ipv6_clients(spark, sf):
+    """`customer` as addresses in many spellings, some of them none."""
+    rows = b.table(spark, sf, "customer").selectExpr("c_custkey AS k", "lower(hex(c_custkey % 60000 + 1)) AS h", "CAST(c_custkey % 256 AS STRING) AS d", "lpad(lower(hex(c_custkey % 256)), 2, '0') AS x")
+    return rows.selectExpr(f"{_spelt([x for x, _, _ in _SPELT])} AS value")
+
+
+@query("ipv6_addresses", "P24 P44", f"WITH {_SIX}\nSELECT value, short, range, CASE WHEN short IS NULL THEN 'other' ELSE 'ip' END AS type FROM six")
+def ipv6_addresses(spark, sf):
+    v = F.col("value")
+    rows = iocs.with_ipv6(ipv6_clients(spark, sf), "value")
+    return rows.select("value", F.col("ipv6").alias("short"), ind.ipv6_range(v).alias("range"), ind.classify(v, F.col("ipv6")).alias("type"))
+
+
+@query("ipv6_countries", "J21", f"""WITH {_SIX}
+SELECT DISTINCT value AS ip, range, CASE WHEN range <> '' THEN NULL WHEN value LIKE '2a00:1450:4001:81b:%' THEN 'x81b' WHEN value LIKE '2a00:1450:%' THEN (SELECT min(n_name) FROM nation) END AS iso FROM six WHERE short IS NOT NULL""")
+def ipv6_countries(spark, sf):
+    """Networks in one another: the longest one that holds an address answers."""
+    name = b.table(spark, sf, "nation").agg(F.min("n_name").alias("iso"))
+    fixed_rows = lambda network, iso: name.select(F.lit(network).alias("network"), iso.alias("iso"))
+    networks = (fixed_rows("2a00:1450::/32", F.col("iso")).unionAll(fixed_rows("2a00:1450:4001:800::/56", F.lit("x800"))).unionAll(fixed_rows("2a00:1450:4001:81b::/64", F.lit("x81b")))
+                .unionAll(fixed_rows("fd00::/8", F.lit("no"))).unionAll(fixed_rows("::/1", F.lit("rest")).limit(0)))
+    return iocs.country_of_ipv6(ipv6_clients(spark, sf).withColumnRenamed("value", "ip"), networks)
+
+
 # --- chronology -----------------------------------------------------------------
 
 
