@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 import duckdb
 import pytest
@@ -229,3 +230,38 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_log_of_indicators_against_a_replay(spark):
+    """Random logs, replayed event by event."""
+    dice = random.Random(6)
+    for _ in range(3):
+        events, links, box, edges = [], [], {}, {}
+        for seq in range(160):
+            value = f"v{dice.randrange(6)}"
+            action = dice.choice(["add", "add", "retype", "note", "delete", "link", "link"])
+            if action == "link":
+                other, kind = f"v{dice.randrange(6)}", dice.choice("xy")
+                links.append((seq, value, other, kind, f"l{seq}"))
+                if value in box and other in box and value != other:
+                    edges.setdefault((value, other, kind), f"l{seq}")
+                continue
+            kind, note, tags = dice.choice(["ip", "domain", "bad"]), f"n{seq}", dice.sample("abc", 2)
+            events.append((seq, value, action, kind, note, tags, f"o{seq}", seq))
+            if action == "add" and value not in box:
+                box[value] = [kind, note, set(tags), f"o{seq}", seq]
+            elif action == "delete":
+                box.pop(value, None)
+                edges = {e: n for e, n in edges.items() if value not in e[:2]}
+            elif value in box:
+                if action == "add":
+                    box[value][2] |= set(tags)
+                elif action == "note":
+                    box[value][1] = note
+                elif kind != "bad":
+                    box[value][0] = kind
+        log = spark.createDataFrame(events, "seq long, value string, action string, type string, note string, tags array<string>, origin string, added long")
+        lines = spark.createDataFrame(links, "seq long, src string, dst string, kind string, note string")
+        got = {r.value: [r.type, r.note, set(r.tags), r.origin, r.added] for r in iocs.fold(log).collect()}
+        assert got == box
+        assert {(r.src, r.dst, r.kind): r.note for r in iocs.fold_links(log, lines).collect()} == edges

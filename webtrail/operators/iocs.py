@@ -56,6 +56,40 @@ def edit(stored: DataFrame, changes: DataFrame) -> DataFrame:
     }).drop("new_type", "new_note")
 
 
+def _alive(events: DataFrame) -> DataFrame:
+    """The changes after the last deletion of their value."""
+    ends = events.filter("action = 'delete'").groupBy("value").agg(F.max("seq").alias("since"))
+    return events.join(ends, "value", "left").filter(F.col("seq") > F.coalesce("since", F.lit(-1))).drop("since")
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """The indicators that a log of changes leaves. ``events``: seq (their order), value, action (add,
+    retype, note, delete), type, note, tags, origin, added; a row is never changed.
+
+    A deletion ends a life: what came before it counts no more, and an addition after it begins anew.
+    In one life the first addition gives type, note, origin and date, later ones only tags; the last
+    valid retype and the last note after it hold. A change of what is not there does nothing."""
+    add, retype, renote = (F.col("action") == a for a in ("add", "retype", "note"))
+    retype = retype & F.col("type").isin(*fixed.IOC_TYPES)
+    # Only the last edit of a kind matters: if it stands before the addition, no other one stands after.
+    rows = _alive(events).groupBy("value").agg(
+        F.min(F.when(add, F.struct("seq", "type", "note", "origin", "added"))).alias("first"),
+        F.max(F.when(retype, F.struct("seq", "type"))).alias("retyped"), F.max(F.when(renote, F.struct("seq", "note"))).alias("noted"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(add, F.col("tags")))))).alias("tags"))
+    rows = rows.filter("first IS NOT NULL")
+    after = lambda edit, name: F.when(F.col(edit)["seq"] > F.col("first.seq"), F.col(edit)[name]).otherwise(F.col("first")[name])
+    return rows.select("value", after("retyped", "type").alias("type"), after("noted", "note").alias("note"), "tags", "first.origin", "first.added")
+
+
+def fold_links(events: DataFrame, links: DataFrame) -> DataFrame:
+    """The edges that the log leaves: ``links`` are seq, src, dst, kind, note. An edge is drawn between
+    what is there, goes with either of its ends and does not come back with it; of repeated ones the
+    first stays."""
+    for end in ("src", "dst"):
+        links = links.join(_alive(events).filter("action = 'add'").groupBy(F.col("value").alias(end)).agg(F.min("seq").alias("begun")), end).filter("seq > begun").drop("begun")
+    return links.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.min_by("note", "seq").alias("note"))
+
+
 def delete(stored: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove indicators together with the edges at either end."""
     g = gone.select("value").distinct()

@@ -752,6 +752,52 @@ def manual_indicators(spark, sf):
     return iocs.manual(entries, NOW).select("value", "type", F.array_join("tags", ",").alias("tags"))
 
 
+def indicator_events(spark, sf):
+    """`customer` as a log of changes, in phases: a retype too early, additions, edits, deletions, and
+    additions again. Who has which is told by the key."""
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    tags = lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
+    host = F.concat(F.lit("host"), k, F.lit(".example.test"))
+    rows = b.table(spark, sf, "customer").select(k, host.alias("value"), (k % 5).alias("g"))
+    event = lambda phase, which, action, kind, note, t, origin: rows.filter(which).select(
+        (F.lit(phase * 10**12) + F.col("c_custkey")).alias("seq"), "value", F.lit(action).alias("action"), kind.alias("type"), note.alias("note"), t.alias("tags"), origin.alias("origin"),
+        F.lit(NOW + phase).cast("long").alias("added"))
+    text = F.lit
+    parts = [event(1, "g = 4", "retype", text("email"), none, tags(), none), event(2, "true", "add", text("domain"), text("n"), tags("a"), text("first")),
+             event(4, "g = 1", "retype", text("url"), none, tags(), none), event(5, "g IN (1, 3)", "note", none, text("edited"), tags(), none),
+             event(6, "g IN (2, 3)", "delete", none, none, tags(), none), event(7, "g = 3", "add", text("other"), text("again"), tags("c"), text("second")),
+             event(7, "g = 4", "add", text("other"), text("again"), tags("b", "a"), text("second")), event(8, "g = 4", "retype", text("no type"), none, tags(), none)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    link = lambda phase, step, kind: rows.select(
+        (F.lit(phase * 10**12) + F.col("c_custkey")).alias("seq"), F.col("value").alias("src"), F.concat(F.lit("host"), F.col("c_custkey") + step, F.lit(".example.test")).alias("dst"),
+        F.lit(kind).alias("kind"), F.lit("").alias("note"))
+    return whole, link(3, 1, "derived").unionAll(link(9, 2, "derived"))
+
+
+_LOG = """log AS (SELECT c_custkey AS k, c_custkey % 5 AS g, 'host' || c_custkey || '.example.test' AS value FROM customer),
+held AS (SELECT k, value, CASE g WHEN 1 THEN 'url' WHEN 3 THEN 'other' ELSE 'domain' END AS type, CASE g WHEN 1 THEN 'edited' WHEN 3 THEN 'again' ELSE 'n' END AS note,
+ CASE g WHEN 3 THEN 'c' WHEN 4 THEN 'a,b' ELSE 'a' END AS tags, CASE g WHEN 3 THEN 'second' ELSE 'first' END AS origin FROM log WHERE g <> 2)"""
+
+
+@query("indicator_log", "N8", f"WITH {_LOG}\nSELECT value, type, note, tags, origin FROM held")
+def indicator_log(spark, sf):
+    box = iocs.fold(indicator_events(spark, sf)[0])
+    return box.select("value", "type", "note", F.array_join("tags", ",").alias("tags"), "origin")
+
+
+@query("indicator_log_edges", "N8 K9", f"""WITH {_LOG}
+SELECT s.value AS src, s.type AS src_type, d.value AS dst, d.type AS dst_type FROM held s JOIN held d ON (d.k = s.k + 2 OR (d.k = s.k + 1 AND s.k % 5 NOT IN (2, 3) AND d.k % 5 NOT IN (2, 3)))
+ WHERE s.type <> 'url' AND d.type <> 'url'""")
+def indicator_log_edges(spark, sf):
+    """Edges that outlived the deletions, without those whose end is hidden."""
+    events, links = indicator_events(spark, sf)
+    shown = iocs.visible(iocs.fold(events), hide_types=("url",))
+    return iocs.edges(shown, iocs.fold_links(events, links)).select("src", "src_type", "dst", "dst_type")
+
+
 @query("actor_indicators", "N8 D12", b.sql(f"""SELECT ip AS value, 'actor: ' || CAST(requests AS VARCHAR) || ' request(s)' AS origin,
  array_to_string(list_filter(['actor', CASE WHEN scanner_uas <> '' THEN 'scanner' END, CASE WHEN login_posts >= 30 THEN 'brute-force' END,
  CASE WHEN {b._SUCCESS} THEN 'successful' END], lambda x: x IS NOT NULL), ',') AS tags FROM actors""", "actors"))
