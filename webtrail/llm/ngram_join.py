@@ -418,7 +418,9 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. The set of b travels once to each of its groups of at most
-    about BLOCK partners, that of a once for the pair."""
+    about BLOCK partners, that of a once for the pair. Pairs are stored first: they are asked twice, and
+    are the product of the trees."""
+    pairs = stored(pairs, "pairs")
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     salted = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     member = salted.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("role"), "a", "codes")
