@@ -109,12 +109,6 @@ def test_repeated_words_do_not_hide_a_leak(spark):
     assert all(abs(r.similarity - 0.8) < 1e-9 for r in got)
 
 
-def test_near_fingerprints_share_a_block():
-    for radius in (3, 20):
-        cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-        assert cuts[0] == 0 and cuts[-1] == 64 and all(b > a for a, b in zip(cuts, cuts[1:]))
-
-
 def test_plan_is_native_and_empty_tables(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     plan = de.leaks(docs, items)._jdf.queryExecution().toString()

@@ -1,3 +1,4 @@
+import random
 import re
 
 from webtrail.llm import licenses
@@ -54,3 +55,39 @@ def test_every_text_within_the_bound_holds_a_seed():
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_places_against_every_window():
+    """Every run of whole words, by its edit distance: what is reported has the edits it says, and
+    every run within the bound meets a reported place that is no worse."""
+    dice = random.Random(12)
+    notices = [("all rights reserved", "arr", 3), ("mit license", "mit", 1)]
+    finder = licenses.Finder(notices=notices)
+    words = ["all", "rights", "reserved", "mit", "license", "al", "right", "licence", "rightsx", "reservd", "a", "the", "allrights"]
+    met = 0
+    for _ in range(900):
+        text = " " + " ".join(dice.choice(words) for _ in range(dice.randint(1, 14))) + " "
+        got = finder.fuzzy(text.encode())
+        starts = [k + 1 for k, c in enumerate(text[:-1]) if c == " "]
+        ends = [k for k, c in enumerate(text) if c == " " and k]
+        for notice, label, most in notices:
+            mine = [(low, high, n) for name, low, high, n, _ in got if name == label]
+            for low, high, n in mine:
+                assert edits_between(text[low:high], notice) <= n <= most
+            for low in starts:
+                for high in ends:
+                    if low < high and abs(high - low - len(notice)) <= most:
+                        n = edits_between(text[low:high], notice)
+                        if n <= most:
+                            met += 1
+                            assert any(a < high and low < b for a, b, _ in mine), (text, label, text[low:high])
+    assert met > 100
