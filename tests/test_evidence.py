@@ -411,6 +411,25 @@ def test_large_files_are_scanned_and_compared(spark, tmp_path):
     assert found and {(os.path.basename(r.artifact), r.line) for r in found} == {("same.php", 400_001)}
 
 
+RANGES = "path string, root string, length long, content binary"
+
+
+def test_all_rules_read_the_ranges_in_one_pass(spark, tmp_path):
+    text = b"<?php\n" + b"x\n" * 40 + b"system($_GET['c']);\n" + b"<html>\n" * 3
+    conf = b"a\n" * 40 + b"auto_prepend_file x\nAddHandler application/x-httpd-php .jpg\n"
+    rows = [("/r/a.php", "/r", len(text), text), ("/r/b.php", "/r", len(text) - 2, text[2:]), ("/r/.htaccess", "/r", len(conf), conf)]
+    spark.createDataFrame(rows, RANGES).write.parquet(f"{tmp_path}/files")
+    ranges = files.cut_ranges(spark.read.parquet(f"{tmp_path}/files"), 60, 40, 64)
+    webroot.range_marks(ranges).write.parquet(f"{tmp_path}/marks")
+    found = webroot.large_findings(ranges, spark.read.parquet(f"{tmp_path}/marks"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("content#") > 0
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert leaves.count("content#") == 1
+    got = sorted((os.path.basename(r.path), r.rule_id, r.line) for r in found.filter("line IS NOT NULL").collect())
+    assert got == [(".htaccess", "webshell.htaccess_handler", 42), (".htaccess", "webshell.htaccess_prepend", 41), ("a.php", "webshell.cmd_input", 42),
+                   *[("b.php", "webshell.cmd_input", 42)], *[("b.php", "webshell.no_php", n) for n in (43, 44, 45)]]
+
+
 def test_links_brackets_and_missing_targets(spark, tmp_path):
     root = tmp_path / "g[1]"
     (root / "sub").mkdir(parents=True)
