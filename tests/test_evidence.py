@@ -5,6 +5,7 @@ import gzip
 import lzma
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -430,6 +431,16 @@ def test_all_rules_read_the_ranges_in_one_pass(spark, tmp_path):
                    *[("b.php", "webshell.cmd_input", 42)], *[("b.php", "webshell.no_php", n) for n in (43, 44, 45)]]
 
 
+def test_many_matches_in_a_range_are_counted_by_one_running_sum(spark):
+    many = 20_000
+    text = b"ab " * many
+    ranges = files.cut_ranges(spark.createDataFrame([("/r/a.txt", "/r", len(text), text)], RANGES), 1 << 20, 64, 64)
+    begun = time.monotonic()
+    (row,) = webroot.large_own_findings(ranges, [("r", "R", None, "ab")], 3).collect()
+    assert (row.matches, row.evidence) == (many, "r@0, r@3, r@6")
+    assert time.monotonic() - begun < 60  # a sum per match took the square of the matches
+
+
 def test_links_brackets_and_missing_targets(spark, tmp_path):
     root = tmp_path / "g[1]"
     (root / "sub").mkdir(parents=True)
