@@ -412,6 +412,17 @@ def test_large_files_are_scanned_and_compared(spark, tmp_path):
     assert found and {(os.path.basename(r.artifact), r.line) for r in found} == {("same.php", 400_001)}
 
 
+def test_accounts_of_a_table_in_one_file_are_read_by_many_tasks(spark, tmp_path):
+    from webtrail.plans import bindings
+
+    rows = [(k, f"Customer#{k}", 1, 0.0, "AUTO") for k in range(100)] + [(7, "Customer#7", 1, 0.0, "AUTO"), (None, None, 1, 0.0, None)]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = bindings.accounts(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert got.count() == len(rows)
+
+
 RANGES = "path string, root string, length long, content binary"
 
 
