@@ -127,6 +127,33 @@ def test_alignment_of_token_streams():
         assert all(pattern.fullmatch("".join(x)) for x in streams)
 
 
+def test_wrappers_know_every_page_of_a_host(spark, monkeypatch):
+    """What differs on two pages of 300 is not fixed; bins, their levels and the cut of the table
+    change nothing."""
+    note = lambda n: "Read the terms of this site." if n not in (70, 210) else f"Note {n}."
+    rows = [(n, f"http://n.example/{n}", f'<body><div class="text"><div>{note(n)}</div><p>Own words of {n} {"and more " * (n % 7)}</p><div>Same on all.</div></div></body>') for n in range(300)]
+    rows += rows[:40] + [(900, "http://e.example/", None)]
+    frame = pages(spark, rows)
+    want = {n: "\n\n".join([note(n), f"Own words of {n} {'and more ' * (n % 7)}".strip()]) for n in range(300)}
+    seen = set()
+    for pages_of_bin, fan_in, parts in ((128, 16, 3), (7, 3, 5), (1000, 16, 1)):
+        monkeypatch.setattr(html, "BIN_PAGES", pages_of_bin, raising=False)
+        monkeypatch.setattr(html, "FAN_IN", fan_in, raising=False)
+        learnt = html.wrappers(frame.repartition(parts))
+        found = {r.host: (r.n_pages, r.path, r.fixed) for r in learnt.collect()}
+        assert found["e.example"] == (1, "[]", "[]") and found["n.example"][0] == 340
+        seen.add(found["n.example"])
+    assert len(seen) == 1
+    got = {r.page_id: r.text for r in html.extract(frame, learnt).collect()}
+    assert {n: got[n] for n in want} == want
+
+
+def test_wrappers_as_bytes():
+    part = html.merge(*(html.generalise(html.parse(s)) for s in ("<div>" * 3000 + "a<p>b</p>", "<div>" * 3000 + "a<p>c</p><p>d</p>")))
+    again = html.unpacked(html.packed(part))
+    assert html.expression(again) == html.expression(part) and html.place(again) == html.place(part)
+
+
 def test_empty_table(spark):
     empty = pages(spark, [])
     assert html.extract(empty, html.wrappers(empty)).collect() == []

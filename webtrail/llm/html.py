@@ -1,16 +1,18 @@
 """Main text of web pages by wrappers inferred per host.
 
-A page is a stream of tags and texts. The streams of a host's sample are aligned one after
-another into a union-free regular expression, the wrapper: equal neighbours become repeated
+A page is a stream of tags and texts. The streams of all different pages of a host are aligned
+into a union-free regular expression, the wrapper: equal neighbours become repeated
 groups, what only some pages have becomes optional, texts that differ become slots. The part
 of the wrapper whose slots hold most of the varying text is where the host keeps its articles;
-every page of the host, in the sample or not, is then read there as a whole.
+every page of the host is then read there as a whole.
 
 The part of a page that stands there is read with all its instances (a repeated group is read
-whole). Whole containers whose text is the same on all pages of the sample are no part of an article.
+whole). Whole containers whose text is the same on all pages of the host are no part of an article.
 
-A wrapper is fitted on about SAMPLE_PAGES pages of a host, chosen by hash; all pages are
-extracted. A page that does not follow its host's wrapper is judged by its own tags.
+A wrapper is fitted on every page of its host. Pages are dealt by their digest to bins of about
+BIN_PAGES, each bin is aligned in one task, and the wrappers of FAN_IN bins are aligned with one
+another until a host has one: no task sees a host as a whole, and how the table is cut into files
+changes nothing. Copies count once. A page that does not follow its host's wrapper is judged by its own tags.
 
 Within the article, menus, headers without a heading, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out; character references are decoded;
@@ -29,9 +31,11 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
@@ -41,8 +45,9 @@ from pyspark.sql import functions as F
 
 from webtrail.llm.common import query, stored, table, text_pass
 
-SAMPLE_PAGES = 12
-LARGEST_SAMPLE = 64
+BIN_PAGES = 128
+FAN_IN = 16
+KNOWN_DIGESTS = 1 << 18  # that a task remembers to leave out copies before the shuffle
 FEWEST_PAGES = 3  # different pages that make a container fixed
 
 # Elements of HTML by their role.
@@ -272,6 +277,7 @@ class Part:
     repeated: bool = False
     outside: bool = False
     size: int = 0  # characters of varying text below
+    chars: int = 0  # characters of a text's instances on all pages
 
 
 def generalise(node: Node) -> Part:
@@ -286,7 +292,7 @@ def _generalise(node: Node, inside: bool, page_size: int):
             literal = " ".join(kid.split())
             if not literal:
                 continue
-            new = Part("#", literal=literal)
+            new = Part("#", literal=literal, chars=len(literal))
         else:
             new = yield _generalise(kid, inside or kid.tag == "article", page_size)
         if part.kids and part.kids[-1].name == new.name:
@@ -305,13 +311,14 @@ def merge(a: Part, b: Part) -> Part:
 def _merge(a: Part, b: Part):
     out = Part(a.name, literal=a.literal, optional=a.optional or b.optional, repeated=a.repeated or b.repeated, outside=a.outside or b.outside)
     if a.name == "#":
+        out.chars = a.chars + b.chars
         if a.literal is None or b.literal is None or a.literal != b.literal:
-            out.size = (a.size or len(a.literal or "")) + (b.size or len(b.literal or ""))
-            out.literal = None
+            out.literal, out.size = None, out.chars
         return out
     x, y = a.kids, b.kids
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
+    alike = len(x) == len(y) and all(m.name == n.name for m, n in zip(x, y))
+    best = [] if alike else [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(-1 if alike else len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i].name == y[j].name else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
@@ -483,29 +490,94 @@ def rows_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def packed(part: Part) -> bytes:
+    """A wrapper as bytes: its parts in page order, each with its depth."""
+    rows, waiting = [], [(0, part)]
+    while waiting:
+        depth, one = waiting.pop()
+        rows.append((depth, one.name, one.literal, one.optional | one.repeated << 1 | one.outside << 2, one.size, one.chars))
+        waiting += [(depth + 1, kid) for kid in reversed(one.kids)]
+    return zlib.compress(json.dumps(rows, ensure_ascii=False, separators=(",", ":")).encode(), 1)
+
+
+def unpacked(data: bytes) -> Part:
+    path: list[Part] = []
+    for depth, name, literal, flags, size, chars in json.loads(zlib.decompress(data)):
+        part = Part(name, [], literal, bool(flags & 1), bool(flags & 2), bool(flags & 4), size, chars)
+        del path[depth:]
+        if path:
+            path[-1].kids.append(part)
+        path.append(part)
+    return path[0]
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """host, n_pages, digest, form: the wrapper that a page is by itself."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for whole in batches:
+            for low in range(0, len(whole), 256):
+                batch = whole.slice(low, 256)
+                at, digests, forms = [], [], []
+                for k, (host, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                    if not (text := source.as_py()):
+                        continue
+                    digest = hashlib.blake2b(text.encode(), digest_size=16).digest()
+                    mine = hashlib.blake2b(digest + host.encode(), digest_size=16).digest()
+                    if mine in met:
+                        continue
+                    if len(met) >= KNOWN_DIGESTS:
+                        met.clear()
+                    met.add(mine)
+                    at.append(k)
+                    digests.append(digest)
+                    forms.append(packed(generalise(parse(text))))
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(digests, pa.binary()), pa.array(forms, pa.binary())], ["host", "n_pages", "digest", "form"])
+
+    return text_pass(rows.select("host", "n_pages", "html"), work, "host string, n_pages long, digest binary, form binary")
+
+
+def _aligned(group: pa.Table) -> tuple[Part, int]:
+    """The wrapper of the forms of one bin, in the order of their digests, and how many different
+    pages it stands for; of copies one tells as much as all."""
+    forms = {d: (f, n) for d, f, n in zip(group["digest"].to_pylist(), group["form"].to_pylist(), group["different"].to_pylist())}
+    wrapper = None
+    for digest in sorted(forms):
+        page = unpacked(forms[digest][0])
+        wrapper = page if wrapper is None else merge(wrapper, page)
+    return wrapper, sum(n for _, n in forms.values())
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
     """host, n_pages, path (JSON), fixed (JSON), wrapper: one row per host."""
     rows = rows_of(pages)
     counts = stored(rows.groupBy("host").agg(F.count("*").alias("n_pages")), "hosts")
-    # Only (host, count) meets the pages here: the sample is drawn before html is shuffled.
-    drawn = rows.join(counts, "host").where(F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample_pages / F.col("n_pages"))
+    largest = counts.agg(F.max("n_pages")).first()[0] or 0  # one number comes to the driver
+    # Only (host, count) meets the pages here; what is shuffled are forms, each once per task.
+    bins = F.ceil(F.col("n_pages") / BIN_PAGES).cast("long")
+    dealt = _forms(rows.join(counts, "host")).select("host", F.pmod(F.xxhash64("digest"), bins).alias("bin"), "digest", "form", F.lit(1).cast("long").alias("different"))
+
+    def joined(group: pa.Table) -> pa.Table:
+        wrapper, different = _aligned(group)
+        return pa.table({"host": group["host"].slice(0, 1), "bin": group["bin"].slice(0, 1), "form": pa.array([packed(wrapper)], pa.binary()), "different": pa.array([different], pa.int64())})
 
     def learn(group: pa.Table) -> pa.Table:
-        wrapper, met = None, set()
-        rows = sorted(zip(group["page_id"].to_pylist(), group["html"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0))
-        for _, source in rows[:LARGEST_SAMPLE]:
-            if source and source not in met:  # of copies one tells as much as all
-                met.add(source)
-                page = generalise(parse(source))
-                wrapper = page if wrapper is None else merge(wrapper, page)
-        path, text, fixed = [], "", []
-        if wrapper is not None:
-            path, text = place(wrapper), expression(wrapper)
-            if len(met) >= FEWEST_PAGES:
-                fixed = fixed_containers(wrapper, path)
-        return pa.table({"host": group["host"].slice(0, 1), "n_pages": group["n_pages"].slice(0, 1), "path": [json.dumps(path)], "fixed": [json.dumps(fixed)], "wrapper": [text]})
-
-    return drawn.select("host", "n_pages", "page_id", "html").groupBy("host").applyInArrow(learn, "host string, n_pages long, path string, fixed string, wrapper string")
+        wrapper, different = _aligned(group)
+        path, text = place(wrapper), expression(wrapper)
+        fixed = fixed_containers(wrapper, path) if different >= FEWEST_PAGES else []
+        return pa.table({"host": group["host"].slice(0, 1), "path": [json.dumps(path)], "fixed": [json.dumps(fixed)], "wrapper": [text]})
+
+    width = -(-largest // BIN_PAGES)
+    while width > 1:
+        dealt = dealt.groupBy("host", "bin").applyInArrow(joined, "host string, bin long, form binary, different long")
+        number = F.encode(F.lpad(F.col("bin").cast("string"), 20, "0"), "UTF-8")
+        dealt = dealt.select("host", F.floor(F.col("bin") / FAN_IN).alias("bin"), number.alias("digest"), "form", "different")
+        width = -(-width // FAN_IN)
+    learnt = dealt.groupBy("host").applyInArrow(learn, "host string, path string, fixed string, wrapper string")
+    none = lambda name, text: F.coalesce(name, F.lit(text)).alias(name)
+    return counts.join(learnt, "host", "left").select("host", "n_pages", none("path", "[]"), none("fixed", "[]"), none("wrapper", ""))
 
 
 def extract(pages: DataFrame, learnt: DataFrame) -> DataFrame:
