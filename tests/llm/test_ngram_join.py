@@ -107,6 +107,33 @@ def test_trees_find_every_pair_that_can_link():
     assert want and want <= found
 
 
+def test_marks_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 60_000):
+        codes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        one, other = codes[: n - n // 10], codes[n // 10:]
+        r, q = ({"n": len(c), "marks": np.frombuffer(ngram_join.marks(c), np.uint8)} for c in (one, other))
+        share = 100 * len(np.intersect1d(one, other)) // len(codes)
+        assert ngram_join.may_link(r, q, share)
+        assert n != 400 or not ngram_join.may_link(r, q, 95)
+
+
+def test_pairs_below_the_threshold_are_no_rows(spark, monkeypatch):
+    """80 copies of a text with a word changed in each: every two are alike to less than 90 percent."""
+    words = [f"w{k}" for k in range(62)]
+    docs = [(k, " ".join(f"changed{k}" if at == 3 * (k % 20) + 1 else w for at, w in enumerate(words))) for k in range(80)]
+    seen, plainly = [], ngram_join.verified
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return plainly(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    rows = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == plain(docs, 3, 90)
+    assert sum(seen) < 600
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

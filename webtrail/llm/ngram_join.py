@@ -15,7 +15,10 @@ joined with one another by their trees.
 
 Each task holds the tree of a block of nodes and walks it for each other node: partial overlaps are
 carried down shared paths, and a subtree is left as soon as the codes that remain in the tree or
-in the probe cannot reach the overlap needed. What is left is verified over the whole sets.
+in the probe cannot reach the overlap needed. What is left is held against the marks of both
+sets: their codes counted in cells, whose smaller counts add up to no less than what the sets share.
+A pair far below the threshold so becomes no row, however many of them a group of texts has. The rest
+is verified over the whole sets.
 
 Large components and codes that very many nodes share are cut into blocks, by their number and their
 bytes, and each pair of blocks meets once. Nothing is capped; every link between different sets is
@@ -49,6 +52,7 @@ SKETCH_BITS = 20
 SLICES = 64
 BITMAP_BITS = 24
 CLASSES = 32
+MARK_BITS = 7
 SHARE = 5  # percent of a set's size that two linking prefixes share
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
@@ -168,6 +172,38 @@ def prefixes(docs: DataFrame, width: int, percent: int, classes, copies) -> Data
 # --- candidates ------------------------------------------------------------------------
 
 
+def marks(codes: np.ndarray) -> bytes:
+    """The codes counted in cells of a byte each; nothing if a count does not fit."""
+    counts = np.bincount((codes >> np.uint64(64 - MARK_BITS)).astype(np.int64), minlength=1 << MARK_BITS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(r: dict, q: dict, percent: int) -> bool:
+    """Whether the marks of two sets, which share no more than the smaller counts, leave a link open."""
+    one, other = r.get("marks"), q.get("marks")
+    if one is None or other is None or not len(one) or not len(other):
+        return True
+    return int(np.minimum(one, other).sum()) * (100 + percent) >= percent * (r["n"] + q["n"])
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose marks leave a link open."""
+    of = lambda side, name: sets.select(F.col("node").alias(side), F.col("marks").alias(name))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = np.ones(len(batch), bool)
+            rows = np.flatnonzero([len(m) > 0 and len(n) > 0 for m, n in zip(x, y)])
+            if len(rows):
+                m, n = (np.frombuffer(b"".join(z[k] for k in rows), np.uint8).reshape(len(rows), -1) for z in (x, y))
+                size = m.sum(1, dtype=np.int64) + n.sum(1, dtype=np.int64)
+                keep[rows] = np.minimum(m, n).sum(1, dtype=np.int64) * (100 + percent) >= percent * size
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
 def _of(codes: DataFrame, wanted) -> DataFrame:
     """The rows whose code may be among the wanted ones."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +316,11 @@ def met(tree: Tree, held: list[dict], q: dict, code: int | None, percent: int) -
 
 def tree_pairs(code: int, held: list[dict], asked: list[dict], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of `asked` and `held` records of different components whose first common step is
-    `code` and whose paths do not rule a link out."""
+    `code` and whose paths and marks do not rule a link out."""
     tree = planted(held)
     for q in asked:
         for k in met(tree, held, q, code, percent):
-            if held[k]["component"] != q["component"]:
+            if held[k]["component"] != q["component"] and may_link(held[k], q, percent):
                 yield q["node"], held[k]["node"]
 
 
@@ -302,7 +338,7 @@ def _posts(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     return live.withColumn("rest", rest).join(heads.select("node", "n"), "node").where(F.col("rest") >= least).select("node", "code")
 
 
-def _across(live: DataFrame, heads: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _across(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of nodes in different components."""
     posts = _posts(live, heads, percent)
     placed = stored(posts.join(groups, "node", "left").select("node", "code", F.coalesce("component", "node").alias("component")), "posts")
@@ -313,7 +349,7 @@ def _across(live: DataFrame, heads: DataFrame, groups: DataFrame, percent: int)
 
     asked = placed.join(mixed, "code", "left_semi").select("node").distinct()
     paths = _paths(live.join(asked, "node", "left_semi"), heads).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    paths = stored(paths, "paths")
+    paths = stored(paths.join(sets.select("node", "marks"), "node"), "paths")
     rows = placed.select("node", "code", "component").join(mixed, "code")
     big = F.col("component") == F.col("large")
     i, j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("nj")).cast("int")
@@ -352,6 +388,7 @@ def _across(live: DataFrame, heads: DataFrame, groups: DataFrame, percent: int)
                     if done is not None:
                         yield done
                     key, group = mine, []
+                r["marks"] = np.frombuffer(r["marks"], np.uint8)
                 group.append(r)
         done = close()
         if done is not None:
@@ -393,7 +430,7 @@ def _maybe(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, codes of the wanted nodes; the bitmap lets the pass over the texts skip nearly all
+    """node, codes, marks of the wanted nodes; the bitmap lets the pass over the texts skip nearly all
     others, so that no text is shuffled."""
     wanted = nodes.select("node", "digest")
     shared = bitmap(wanted.select("node"))
@@ -405,22 +442,24 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             if not len(rows):
                 continue
             keep = batch.take(pa.array(rows))
-            at, digest, blob = [], [], []
+            at, digest, blob, mark = [], [], [], []
             for row, codes in _sets(keep.column(1), width):
                 at.append(row)
                 digest.append(_digest(codes))
                 blob.append(codes.tobytes())
-            yield pa.RecordBatch.from_arrays([keep.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(blob, pa.binary())], ["node", "digest", "codes"])
+                mark.append(marks(codes))
+            yield pa.RecordBatch.from_arrays(
+                [keep.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(blob, pa.binary()), pa.array(mark, pa.binary())], ["node", "digest", "codes", "marks"])
 
-    found = text_pass(docs, work, "node long, digest binary, codes binary")
-    return found.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "codes")
+    found = text_pass(docs, work, "node long, digest binary, codes binary, marks binary")
+    return found.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "codes", "marks")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. The set of b travels once to each of its groups of at most
     about BLOCK partners, that of a once for the pair. Pairs are stored first: they are asked twice, and
     are the product of the trees."""
-    pairs = stored(pairs, "pairs")
+    pairs, sets = stored(pairs, "pairs"), sets.select("node", "codes")
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     salted = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     member = salted.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("role"), "a", "codes")
@@ -473,7 +512,7 @@ def _within(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFram
     members = members.join(sizes, "component").select("component", "node", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("k"))
     members = stored(members, "members")
     paths = _paths(live.join(members.select("node"), "node", "left_semi"), heads)
-    rows = members.join(paths, "node").join(sets, "node")
+    rows = members.join(paths, "node").join(sets.select("node", "codes"), "node")
     # A node is held in the cells of its block with later ones and asked in those with earlier ones.
     cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     k = F.col("k")
@@ -563,9 +602,9 @@ def _join(docs: DataFrame, width: int, percent: int, count_links: bool) -> DataF
         kept = hand_out(narrow.join(alive, "node"), "kept")
     sets = stored(whole_sets(docs, kept, width), "whole")
 
-    first = settled(spark, lambda: verified(_centres(live, kept, percent), sets, percent), "links-centres")
+    first = settled(spark, lambda: verified(_possible(_centres(live, kept, percent), sets, percent), sets, percent), "links-centres")
     groups = components(first)
-    second = settled(spark, lambda: verified(_across(live, kept.drop("digest"), groups, percent), sets, percent), "links-across")
+    second = settled(spark, lambda: verified(_across(live, kept.drop("digest"), sets, groups, percent), sets, percent), "links-across")
     groups = components(first.unionByName(second))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     joined = rows.join(nodes, "digest", "left").join(groups, "node", "left")
