@@ -134,6 +134,31 @@ def test_pairs_below_the_threshold_are_no_rows(spark, monkeypatch):
     assert sum(seen) < 600
 
 
+def test_links_of_a_component_are_counted_and_no_rows(spark, monkeypatch):
+    """60 texts that all link with one another, ids that stand for two of them, and copies: 1,770 links
+    and more, but a few rows for each text."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    words = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(f"changed{k}" if at == 6 * k + 1 else w for at, w in enumerate(words))) for k in range(60)]
+    docs += [(k + 100, docs[k][1]) for k in range(5)] + [(7, docs[30][1]), (200, "a b c d e f g h i j k l m n o p q r s t u v w"), (201, "a b c d e f g h i j k l m n o p q r s t u v w x")]
+    written, plainly = [], ngram_join.stored
+
+    def counted(df, name):
+        out = plainly(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    want = {}
+    for i, n, component, links in plain(docs, 3, 90):
+        want.setdefault(i, []).append((n, component, links))
+    got = {}
+    for i, n, component, links in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(i, []).append((n, component, links))
+    assert {i: sorted(v) for i, v in got.items() if i not in (7, 30)} == {i: sorted(v) for i, v in want.items() if i not in (7, 30)}
+    assert max(rows for name, rows in written if name in ("links", "held", "link-counts")) <= 70
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -11,7 +11,7 @@ Components first: per shared code the node that shares most is asked, each node
 such centres it meets most often; then codes whose nodes are not yet in one component are joined by
 their trees. A node is posted under such a code only while the rest of its path is as much as two
 linking nodes share at least. Then links: the nodes of each component, and only they can link, are
-joined with one another by their trees.
+joined with one another by their trees, and each link is counted where its two nodes meet.
 
 Each task holds the tree of a block of nodes and walks it for each other node: partial overlaps are
 carried down shared paths, and a subtree is left as soon as the codes that remain in the tree or
@@ -502,70 +502,84 @@ def _both(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _within(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a > b: all links of components of three nodes or more. Nodes of a component are dealt to
-    blocks; a pair of blocks meets in one task, with the paths and whole sets of both."""
+def _linked(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """node, others: how many documents (of `held`) the nodes have that link with a node. Nodes of a
+    component are dealt to blocks; a pair of blocks meets in one task, with the paths and whole sets of
+    both. Links are counted there and become no rows: a component has as many as pairs of its nodes."""
     members = groups.join(heads.select("node", "n"), "node")
-    sizes = members.groupBy("component").agg(F.count("*").alias("s"), F.sum("n").alias("codes")).where("s > 2")
+    sizes = members.groupBy("component").agg(F.count("*").alias("s"), F.sum("n").alias("codes"), F.min("node").alias("low"), F.max("node").alias("high"))
     count = F.ceil(F.greatest(F.col("s") / BLOCK, F.col("codes") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = stored(sizes.select("component", F.greatest(F.lit(1), count).alias("blocks")), "component-sizes")
-    members = members.join(sizes, "component").select("component", "node", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("k"))
+    sizes = stored(sizes.select("component", "s", "low", "high", F.greatest(F.lit(1), count).alias("blocks")), "component-sizes")
+    # Two nodes are a component by their one link.
+    two = sizes.where("s = 2").select(F.explode(F.array(F.struct(F.col("low").alias("node"), F.col("high").alias("b")), F.struct(F.col("high").alias("node"), F.col("low").alias("b")))).alias("x"))
+    two = two.select("x.node", "x.b").join(held.withColumnRenamed("node", "b"), "b").select("node", F.col("held").alias("others"))
+    members = members.join(sizes.where("s > 2").select("component", "blocks"), "component").select("component", "node", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("k"))
     members = stored(members, "members")
     paths = _paths(live.join(members.select("node"), "node", "left_semi"), heads)
-    rows = members.join(paths, "node").join(sets.select("node", "codes"), "node")
+    rows = members.join(paths, "node").join(sets.select("node", "codes"), "node").join(held, "node")
     # A node is held in the cells of its block with later ones and asked in those with earlier ones.
     cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     k = F.col("k")
     cells = F.concat(
         F.transform(F.sequence(k, F.col("blocks") - 1), lambda x: cell(k, x, 0)),
         F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda x: cell(x, k, 1))).otherwise(F.expr("CAST(array() AS array<struct<i:int,j:int,role:int>>)")))
-    rows = rows.select("component", F.inline(cells), "node", "n", "size", "last", "path", "weights", "codes")
+    rows = rows.select("component", F.inline(cells), "node", "n", "size", "last", "path", "weights", "codes", "held")
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "role")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, tree = None, [], None
-        a, b = [], []
+        key, mine, tree = None, [], None
+        links: set[tuple[int, int]] = set()
+        others: dict[int, int] = {}
 
         def ask(q: dict, upto: int) -> None:
-            for k in met(tree, held, q, None, percent):
-                r = held[k]
-                if k < upto and r["node"] != q["node"]:
-                    both = _both(r["set"], q["set"])
-                    if 100 * both >= percent * (r["n"] + q["n"] - both):
-                        a.append(max(r["node"], q["node"]))
-                        b.append(min(r["node"], q["node"]))
+            for k in met(tree, mine, q, None, percent):
+                r = mine[k]
+                if k >= upto or r["node"] == q["node"]:
+                    continue
+                pair = (max(r["node"], q["node"]), min(r["node"], q["node"]))
+                if pair in links:  # an id that stands for several sets meets several times
+                    continue
+                both = _both(r["set"], q["set"])
+                if 100 * both >= percent * (len(r["set"]) + len(q["set"]) - both):
+                    links.add(pair)
+                    others[r["node"]] = others.get(r["node"], 0) + q["held"]
+                    others[q["node"]] = others.get(q["node"], 0) + r["held"]
 
         def inner() -> None:
             """Pairs within a block, where it meets itself."""
             if key and key[1] == key[2]:
-                for k, q in enumerate(held):
+                for k, q in enumerate(mine):
                     ask(q, k)
 
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(others), pa.int64()), pa.array(list(others.values()), pa.int64())], ["node", "others"])
+            others.clear()
+            return out
+
         for batch in batches:
             for r in batch.to_pylist():
-                mine = (r["component"], r["i"], r["j"])
-                if mine != key:
-                    if tree is None and held:
-                        tree = planted(held)
+                cell = (r["component"], r["i"], r["j"])
+                if cell != key:
+                    if tree is None and mine:
+                        tree = planted(mine)
                         inner()
-                    key, held, tree = mine, [], None
+                    key, mine, tree = cell, [], None
+                    links.clear()
+                    if len(others) > 1 << 14:
+                        yield counted()
                 r["set"] = np.frombuffer(r.pop("codes"), np.uint64)
                 if r["role"] == 0:
-                    held.append(r)
+                    mine.append(r)
                     continue
                 if tree is None:
-                    tree = planted(held)
-                ask(r, len(held))
-                if len(a) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    a.clear()
-                    b.clear()
-        if tree is None and held:
-            tree = planted(held)
+                    tree = planted(mine)
+                ask(r, len(mine))
+        if tree is None and mine:
+            tree = planted(mine)
             inner()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield counted()
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    return two.unionByName(rows.mapInArrow(work, "node long, others long")).groupBy("node").agg(F.sum("others").alias("others"))
 
 
 # --- the join --------------------------------------------------------------------------
@@ -610,14 +624,8 @@ def _join(docs: DataFrame, width: int, percent: int, count_links: bool) -> DataF
     joined = rows.join(nodes, "digest", "left").join(groups, "node", "left")
     if not count_links:
         return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    third = settled(spark, lambda: _within(live, kept.drop("digest"), sets, groups, percent), "links-within")
-
-    # Components of two nodes are one link, which is among those found before.
-    links = first.unionByName(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(third).distinct()
-    links = stored(links, "links")
     held = stored(named.join(nodes, "digest").groupBy("node").agg(F.count("*").alias("held")), "held")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(held.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("held").alias("others"))
+    others = settled(spark, lambda: _linked(live, kept.drop("digest"), sets, groups, held, percent), "linked")
     counts = stored(held.join(others, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("held") - 1).alias("n_links")), "link-counts")
 
     return joined.join(counts, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
