@@ -84,6 +84,15 @@ def test_one_of_each_group_stays(spark):
     assert ngram_join.keep_one(docs.where("false")).collect() == []
 
 
+def test_texts_that_stay_are_not_dealt(spark):
+    """Each id stands once and no text is alike to another: what is joined to tell copies apart has no row."""
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(9)), k) for k in range(50)] + [(50, "a copy of it", 50), (51, "a copy of it", 51)]
+    got = ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string, _id int"))
+    first = got._jdf.queryExecution().optimizedPlan().children().head()
+    assert "Join" not in first.toString()
+    assert sorted(r.doc_id for r in got.collect()) == list(range(51))
+
+
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -159,6 +168,31 @@ def test_links_of_a_component_are_counted_and_no_rows(spark, monkeypatch):
     assert max(rows for name, rows in written if name in ("links", "held", "link-counts")) <= 70
 
 
+def test_sets_are_not_dealt_and_codes_travel_as_fingerprints(spark, monkeypatch):
+    """The sets of texts whose id stands once are written by the pass that makes them, and the codes of
+    a task are a row for each bucket, not a row each."""
+    plans, plainly = {}, ngram_join.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plainly(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    rows = made(6, copies=6)
+    got = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain(rows, 3, 90)
+    assert "Exchange" not in plans["whole"] and "Join" not in plans["whole"]
+    assert not [name for name, plan in plans.items() if name.startswith("shared") and "Aggregate" in plan]
+
+
+def test_fingerprints_that_collide_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PRINT_BITS", 2)
+    monkeypatch.setattr(ngram_join, "BUCKET_CODES", 64)
+    rows = made(5, copies=12, words=100) + EDGES
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.join(docs, 5, 80).collect()), key=str) == plain(rows, 5, 80)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

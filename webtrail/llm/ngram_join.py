@@ -38,6 +38,7 @@ document: their links join. Other columns are kept out of the result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ WIDTH, PERCENT = 3, 90
 SKETCH_BITS = 20
 SLICES = 64
 BITMAP_BITS = 24
+PRINT_BITS = 32
+BUCKET_CODES = 1 << 20  # codes of a bucket of fingerprints, about
 CLASSES = 32
 MARK_BITS = 7
 SHARE = 5  # percent of a set's size that two linking prefixes share
@@ -94,7 +97,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _sliced(values: np.ndarray) -> pa.RecordBatch:
     parts = np.split(values, SLICES)
-    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "part"])
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slice", "part"])
 
 
 def _combined(parts: DataFrame, kind: str, how) -> np.ndarray:
@@ -103,7 +106,7 @@ def _combined(parts: DataFrame, kind: str, how) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(part, kind)
+                got = np.frombuffer(zlib.decompress(part), kind)
                 held[at] = how(held[at], got) if at in held else got
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "part"])
 
@@ -204,25 +207,89 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _of(codes: DataFrame, wanted) -> DataFrame:
-    """The rows whose code may be among the wanted ones."""
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _shared(heads: DataFrame, bits: int) -> DataFrame:
+    """print: fingerprints, the last bits of a code, that stand in two prefixes at least. They are
+    among those of all shared codes, and hardly any other: the buckets are as many as the codes need.
+    A task sends the fingerprints of a bucket sorted in one row, each of them twice at most."""
+    low = np.uint64((1 << bits) - 1)
+
+    def sent(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        prints = np.sort(np.concatenate(waiting).view(np.uint64) & low)
+        prints = prints[np.concatenate((np.ones(min(2, len(prints)), bool), prints[2:] != prints[:-2]))]
+        bucket = (prints >> np.uint64(PRINT_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = np.split((prints & np.uint64((1 << PRINT_BITS) - 1)).astype(np.uint32), first[1:])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([x.tobytes() for x in parts], pa.binary())], ["bucket", "prints"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            codes, _ = _flat(batch.column(0))
+            if len(codes):
+                waiting.append(codes)
+                size += len(codes)
+            if size >= 2 * BUCKET_CODES:
+                yield sent(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield sent(waiting)
+
+    def twice(bucket: int, parts: list[bytes]) -> pa.RecordBatch:
+        prints = np.sort(np.frombuffer(b"".join(parts), np.uint32))
+        again = np.unique(prints[1:][prints[1:] == prints[:-1]]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(again + (bucket << PRINT_BITS))], ["print"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            for bucket, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != key:
+                    if parts:
+                        yield twice(key, parts)
+                    key, parts = bucket, []
+                parts.append(prints)
+        if parts:
+            yield twice(key, parts)
+
+    rows = heads.select("prefix").mapInArrow(spread, "bucket long, prints binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "print long")
+
+
+def _of(heads: DataFrame, wanted, bits: int) -> DataFrame:
+    """node, code of the prefixes: the codes whose fingerprint may be among the wanted ones."""
+    low = np.int64((1 << bits) - 1)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = wanted.value
         for batch in batches:
-            yield batch.filter(pa.array(_maybe(flags, batch.column(1).to_numpy())))
+            codes, row = _flat(batch.column(1))
+            keep = _maybe(flags, codes & low)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(codes[keep])], ["node", "code"])
 
-    return codes.mapInArrow(work, "node long, code long")
+    return heads.select("node", "prefix").mapInArrow(work, "node long, code long")
 
 
-def _live(codes: DataFrame, heads: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """node, code, weight: codes that two nodes share, of nodes that share enough of them. Of
-    codes with the same nodes the first one stands for all; weight is their number."""
-    least = F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
-    for k in range(rounds):
-        shared = stored(codes.groupBy("code").agg(F.count("*").alias("held")).where("held > 1").select("code"), f"shared-{k}")
-        codes = stored(_of(codes, bitmap(shared)).join(shared, "code").select("node", "code"), f"live-{k}")
-        enough = codes.groupBy("node").agg(F.count("*").alias("lives")).join(heads.select("node", "n"), "node").where(F.col("lives") >= least).select("node")
-        codes = stored(codes.join(enough, "node").select("node", "code"), f"enough-{k}")
+def _least(percent: int):
+    """How many live codes a node of n codes has at least, if it links with any."""
+    return F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
+
+
+def _live(heads: DataFrame, percent: int) -> DataFrame:
+    """node, code, weight: codes that two nodes share, of nodes that may share enough of them. Of
+    codes with the same nodes the first one stands for all; weight is their number. Fingerprints tell
+    nearly all codes that no other node has, and an exact count of what is left the rest."""
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    bits = PRINT_BITS + min(20, max(8, int(total * (100 - percent + SHARE) // 100 // BUCKET_CODES).bit_length()))
+    shared = stored(_shared(heads, bits), "shared")
+    codes = _of(heads, bitmap(shared), bits).join(shared, F.col("code").bitwiseAND(F.lit((1 << bits) - 1)) == F.col("print"), "left_semi")
+    codes = stored(codes, "maybe-live")
+    enough = codes.groupBy("node").agg(F.count("*").alias("lives")).join(heads.select("node", "n"), "node").where(F.col("lives") >= _least(percent)).select("node")
+    codes = stored(codes.join(enough, "node").select("node", "code"), "enough")
     members = codes.groupBy("code").agg(
         F.count("*").alias("held"), F.min("node").alias("low"), F.max("node").alias("high"),
         F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("held > 1")
@@ -334,8 +401,7 @@ def _posts(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """node, code: the codes of a node from which on its path weighs as much as it has in common with
     any node it links with. The first common code of two linking nodes is one of both."""
     rest = F.sum("weight").over(Window.partitionBy("node").orderBy("code").rowsBetween(0, Window.unboundedFollowing))
-    least = F.greatest(F.lit(1), F.floor(-F.floor(-F.col("n") * percent / 100) * SHARE / 100))
-    return live.withColumn("rest", rest).join(heads.select("node", "n"), "node").where(F.col("rest") >= least).select("node", "code")
+    return live.withColumn("rest", rest).join(heads.select("node", "n"), "node").where(F.col("rest") >= _least(percent)).select("node", "code")
 
 
 def _across(live: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -429,19 +495,22 @@ def _maybe(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, codes, marks of the wanted nodes; the bitmap lets the pass over the texts skip nearly all
-    others, so that no text is shuffled."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, width: int, copies) -> DataFrame:
+    """node, codes, marks of the wanted nodes, and of a few others that the bitmap lets through. It
+    lets the pass over the texts skip nearly all others, so that no text is shuffled; nor are sets,
+    but for those whose id may be among `copies`: only they can stand in several rows."""
     wanted = nodes.select("node", "digest")
     shared = bitmap(wanted.select("node"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
+        flags, doubted = shared.value, copies.value
         for batch in batches:
-            rows = np.flatnonzero(_maybe(flags, batch.column(0).fill_null(0).to_numpy()))
+            ids = batch.column(0).fill_null(0).to_numpy()
+            rows = np.flatnonzero(_maybe(flags, ids))
             if not len(rows):
                 continue
             keep = batch.take(pa.array(rows))
+            copy = keep.column(0).is_null().to_numpy(zero_copy_only=False) | _maybe(doubted, ids[rows])
             at, digest, blob, mark = [], [], [], []
             for row, codes in _sets(keep.column(1), width):
                 at.append(row)
@@ -449,10 +518,12 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 blob.append(codes.tobytes())
                 mark.append(marks(codes))
             yield pa.RecordBatch.from_arrays(
-                [keep.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(blob, pa.binary()), pa.array(mark, pa.binary())], ["node", "digest", "codes", "marks"])
+                [keep.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(blob, pa.binary()), pa.array(mark, pa.binary()), pa.array(copy[at])],
+                ["node", "digest", "codes", "marks", "copy"])
 
-    found = text_pass(docs, work, "node long, digest binary, codes binary, marks binary")
-    return found.join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"]).select("node", "codes", "marks")
+    found = stored(text_pass(docs, work, "node long, digest binary, codes binary, marks binary, copy boolean"), "whole")
+    told = found.where("copy").join(wanted, ["node", "digest"]).dropDuplicates(["node", "digest"])
+    return found.where("NOT copy").select("node", "codes", "marks").unionByName(stored(told.select("node", "codes", "marks"), "whole-told"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -605,16 +676,17 @@ def _join(docs: DataFrame, width: int, percent: int, count_links: bool) -> DataF
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
     others = named.join(nodes, "digest").where("doc_id <> node").select("doc_id").unionByName(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     # The prefixes are needed for the paths only; what is made of them on the way goes here.
+    copies = bitmap(others)
     with scratch(spark) as hand_out:
-        every = stored(prefixes(docs, width, percent, classes, bitmap(others)), "prefixes")
+        every = stored(prefixes(docs, width, percent, classes, copies), "prefixes")
         told = every.where("copy AND node IS NOT NULL").join(nodes, ["digest", "node"]).dropDuplicates(["digest", "node"])
         heads = every.where("NOT copy").unionByName(stored(told.select(every.columns), "told"))
-        live = hand_out(_live(heads.select("node", F.explode("prefix").alias("code")), heads, percent), "live")
-        alive = live.select("node").distinct()
+        live = hand_out(_live(heads, percent), "live")
+        alive = live.groupBy("node").agg(F.sum("weight").alias("lives"))
         # Narrow before the join: a prefix is a quarter of a text's codes.
         narrow = heads.select("node", "digest", "n", F.size("prefix").alias("size"), F.element_at("prefix", -1).alias("last"))
-        kept = hand_out(narrow.join(alive, "node"), "kept")
-    sets = stored(whole_sets(docs, kept, width), "whole")
+        kept = hand_out(narrow.join(alive, "node").where(F.col("lives") >= _least(percent)).drop("lives"), "kept")
+    sets = whole_sets(docs, kept, width, copies)
 
     first = settled(spark, lambda: verified(_possible(_centres(live, kept, percent), sets, percent), sets, percent), "links-centres")
     groups = components(first)
@@ -638,11 +710,21 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     groups = join(docs, width, percent, links=False)
     kept = stored(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept-ids")
     once, more = kept.where("_rows = 1"), kept.where("_rows > 1")
+    # Ids that stand in one row which stays are the most: the bitmap spares their texts the shuffle.
+    doubted = bitmap(groups.where("doc_id <> component_id").select("doc_id").unionByName(more.select(F.col("_id").alias("doc_id"))))
+
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(_maybe(doubted.value, ids.to_numpy()))
+
     # Columns are named through their frames: docs may have an _id of its own.
-    same = lambda ids: docs["doc_id"].cast("long") == ids["_id"]
+    own = docs["doc_id"].cast("long")
+    told = docs.where(own.isNotNull() & maybe(F.coalesce(own, F.lit(0))))
+    same = lambda ids: told["doc_id"].cast("long") == ids["_id"]
     # Only rows of repeated ids are brought together.
-    again = docs.join(more, same(more), "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(once, same(once), "left_semi").unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    again = told.join(more, same(more), "left_semi").dropDuplicates(["doc_id"])
+    stay = docs.where(own.isNotNull() & ~maybe(F.coalesce(own, F.lit(0))))
+    return stay.unionByName(told.join(once, same(once), "left_semi")).unionByName(again).unionByName(docs.where("doc_id IS NULL"))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
