@@ -338,3 +338,33 @@ def test_requests_of_a_table_in_one_file_have_many_tasks(spark, sf):
     from webtrail.plans import bindings
 
     assert bindings.requests(spark, sf).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_search_looks_at_accounts_of_every_system_and_at_indicators(spark, tmp_path):
+    from tools.check_oracle import rows
+
+    ts = "timestamp_seconds(1704067200 + 60 * id) AS ts"
+    tables = {"events": spark.range(80).selectExpr("id AS event_id", ts, "id % 12 AS user_id", "IF(id % 3 = 0, 'error', 'view') AS event_type"),
+              "pages": spark.range(100, 112).selectExpr("id AS page_id", "'http://a.test/' AS url", "'<p>x</p>' AS html"),
+              "documents": spark.range(6).selectExpr("id AS doc_id", "'plain' AS text", "'en' AS lang", "'s' AS source"),
+              "customer": spark.range(9, 11).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "1 AS c_nationkey", "'BUILDING' AS c_mktsegment")}
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query = catalogue.QUERIES["global_search"]
+    found = query.run(spark, str(tmp_path))
+    got = found.collect()
+    assert [r.value for r in got if r.group == "accounts"] == ["customer.10"] * 3
+    assert ("images/f104.php", "path") in {(r.value, r.extra) for r in got if r.group == "iocs"}
+    cursor = con.execute(query.check_sql)
+    assert rows(found.columns, got) == rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_search_shows_equal_logins_in_a_stated_order(spark):
+    from webtrail.operators import search
+
+    none = spark.createDataFrame([], "artifact string, worst int, ip string, requests long, value string, type string, note string, added long")
+    people = spark.createDataFrame([(f"/{i}.sql", "1", "admin", f"e{i * 7 % 20:02}") for i in range(20)], "dump string, user_id string, login string, email string")
+    found = search.global_search("adm", none, none, people.repartition(5), none)
+    assert sorted(r.extra for r in found.collect()) == [f"e{i:02}" for i in range(8)]
