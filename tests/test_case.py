@@ -368,3 +368,13 @@ def test_search_shows_equal_logins_in_a_stated_order(spark):
     people = spark.createDataFrame([(f"/{i}.sql", "1", "admin", f"e{i * 7 % 20:02}") for i in range(20)], "dump string, user_id string, login string, email string")
     found = search.global_search("adm", none, none, people.repartition(5), none)
     assert sorted(r.extra for r in found.collect()) == [f"e{i:02}" for i in range(8)]
+
+
+def test_a_cell_of_the_indicator_export_names_every_relation(spark):
+    box = spark.createDataFrame([("1.1.1.1", "ip", "", ["hunt"], "o", 1), ("/p7", "path", "", [], "o", 1)], schemas.IOCS).union(
+        spark.range(8, 508).selectExpr("concat('/p', id)", "'path'", "''", "array()", "'o'", "1L"))
+    links = spark.range(7, 508).selectExpr("'1.1.1.1' AS src", "concat('/p', id) AS dst", "'requested' AS kind", "'' AS note")
+    spans = spark.createDataFrame([], "ip string, first_seen string, last_seen string")
+    cells = {r.Value: r.Related for r in exports.ioc_csv(box, iocs.edges(box, links.unionAll(links)), spans).collect()}
+    assert cells.pop("1.1.1.1") == "; ".join(sorted(f"requested /p{i}" for i in range(7, 508)))
+    assert len(cells) == 501 and set(cells.values()) == {"was requested by 1.1.1.1"}
